@@ -550,26 +550,6 @@ def what_if(calls: DataFrame, policy_a: dict, policy_b: dict) -> DataFrame:
     return both.where(F.col("before.verdict") != F.col("after.verdict"))
 
 
-def unmatched_server_rules(rules: DataFrame, servers: DataFrame) -> DataFrame:
-    """Rules whose `server` glob matches no server.
-
-    Literal names, prefixes and suffixes are compared by equality on a key of the same
-    length, so the join stays an equi-join; only patterns with inner wildcards are tested
-    against the server list one by one.
-    """
-    scoped = rules.where(F.col("server").isNotNull()).withColumn("_g", glob_shape("server"))
-    exact = scoped.where("_g.shape = 'equals'").join(
-        servers.select(F.col("server").alias("_s")).distinct(), F.col("_g.text") == F.col("_s"), "left_anti"
-    )
-    fuzzy = scoped.where("_g.shape <> 'equals'")
-    tested = fuzzy.join(
-        servers.select(F.col("server").alias("_s")).distinct(),
-        glob_shape_match(F.col("_s"), F.col("_g")),
-        "left_anti",
-    )
-    return exact.unionByName(tested).drop("_g")
-
-
 def rule_table_problems(rules: DataFrame, placeholder: str = "{{server}}") -> DataFrame:
     """Pack rules that are duplicated, not scoped to the pack's server, or named without it."""
     duplicated = (
