@@ -96,29 +96,28 @@ def too_large(walk: Column, texts: Column) -> Column:
     return (F.size(walk["open"]) > 0) | (F.size(walk["done"]) > C.MAX_VALUES) | (characters > C.MAX_CHARACTERS)
 
 
+def _first_hit(name: str, texts: Column) -> Column:
+    first = F.array_min(
+        F.transform(
+            F.filter(texts, lambda n: detect(name, n)),
+            lambda n: F.struct(n["ord"].alias("ord"), n["label"].alias("label")),
+        )
+    )
+    return let(
+        first,
+        lambda f: F.when(
+            f.isNotNull(), F.struct(F.lit(name).alias("detector"), jsonx.cut_label(f["label"]).alias("argument"))
+        ),
+    )
+
+
 def hits_of(walk: Column, texts: Column, enabled: Column | None, detectors: list[str]) -> Column:
     """First hit of each detector in key order, in the fixed reporting order."""
     found = []
     for name in C.DETECTORS:
-        if name not in detectors:
-            continue
-        first = F.array_min(
-            F.transform(
-                F.filter(texts, lambda n, name=name: detect(name, n)),
-                lambda n: F.struct(n["ord"].alias("ord"), n["label"].alias("label")),
-            )
-        )
-        if enabled is not None:
-            first = F.when(F.array_contains(enabled, name), first)
-        found.append(
-            let(
-                first,
-                lambda f, name=name: F.when(
-                    f.isNotNull(),
-                    F.struct(F.lit(name).alias("detector"), jsonx.cut_label(f["label"]).alias("argument")),
-                ),
-            )
-        )
+        if name in detectors:
+            hit = _first_hit(name, texts)
+            found.append(hit if enabled is None else F.when(F.array_contains(enabled, name), hit))
     found.append(
         F.when(too_large(walk, texts), F.struct(F.lit(C.TOO_LARGE).alias("detector"), F.lit("").alias("argument")))
     )
@@ -247,47 +246,64 @@ def gate_arguments(decided: DataFrame) -> DataFrame:
 SECRET_MODES = ["redact_audit", "redact", "block", "off"]
 
 
+def _quoted(text: Column) -> Column:
+    """A string as it stands in compact JSON."""
+    whole = F.to_json(F.struct(text.alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _literal(text: Column) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def redact_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
-    """Add `arguments_redacted` (JSON text per top-level argument) and `argument_secrets`.
+    """Add `arguments_redacted` (compact JSON) and `argument_secrets` (kinds found).
 
-    Strings are masked after JSON decoding; a value whose own name says it is a credential is
-    masked whatever it looks like.  Names and structure stay: only string leaves change, and
-    they are put back into the text at the quoted form they came from.
+    Strings are masked after JSON decoding; a string whose own name says it is a credential is
+    masked whatever it looks like.  Names and structure stay: only the strings that changed are
+    put back, where they stand as values.
     """
-    leaves = F.transform(
-        F.filter(F.col("_nodes"), lambda n: n["leaf"]),
-        lambda n: F.struct(
-            n["path"].alias("path"),
-            F.coalesce(secrets.is_credential_key(n["name"]), F.lit(False)).alias("named"),
-            jsonx.as_string(n["value"]).alias("text"),
-        ),
-    )
+    field = secrets.marker(secrets.SENSITIVE_FIELD)
 
     def masked(n: Column) -> Column:
-        plain = secrets.redact_text(n["text"], pii)
-        keep = n["text"].startswith("[REDACTED:") | (F.length(n["text"]) == 0)
+        text, name = jsonx.as_string(n["value"]), n["name"]
+        plain = secrets.redact_text(text, pii)
+        by_name = (
+            secrets.is_credential_key(name) & (plain == text) & (F.length(text) > 0) & ~text.startswith("[REDACTED:")
+        )
         return F.struct(
-            n["path"].alias("path"),
-            F.when(n["named"] & ~keep & (plain == n["text"]), F.lit(secrets.marker(secrets.SENSITIVE_FIELD)))
-            .otherwise(plain)
-            .alias("text"),
+            is_true(by_name).alias("named"),
+            name.alias("name"),
+            F.to_json(n["value"]).alias("before"),
+            _quoted(F.when(is_true(by_name), F.lit(field)).otherwise(plain)).alias("after"),
         )
 
-    out = (
-        with_inputs(calls)
-        .withColumn("_nodes", jsonx.json_nodes("args_v", F.col("arguments")))
-        .withColumn("_strings", F.filter(leaves, lambda n: n["text"].isNotNull()))
-        .withColumn("redacted_values", F.transform("_strings", masked))
-    )
-    kinds = [
-        F.when(
-            F.exists("redacted_values", lambda n, k=k: n["text"].contains(secrets.marker(k))), F.lit(k)
+    def put_back(acc: Column, n: Column) -> Column:
+        after = F.regexp_replace(n["after"], r"([\\$])", r"\\$1")
+        own = F.replace(
+            acc, F.concat(_quoted(n["name"]), F.lit(":"), n["before"]), F.concat(_quoted(n["name"]), F.lit(":"), n["after"])
         )
-        for k in secrets.patterns(pii)
-    ]
-    return out.withColumn("argument_secrets", F.coalesce(F.array_compact(F.array(*kinds)), strings([]))).drop(
-        "_nodes", "_strings"
+        anywhere = F.regexp_replace(acc, F.concat(_literal(n["before"]), F.lit("(?!:)")), after)
+        return F.when(n["named"], own).otherwise(anywhere)
+
+    strings_only = F.filter(
+        jsonx.json_nodes("args_v", F.col("arguments")),
+        lambda n: n["leaf"] & (F.schema_of_variant(n["value"]) == "STRING"),
     )
+    out = with_inputs(calls).withColumn("_masked", F.transform(strings_only, masked)).withColumn(
+        "_changed", F.filter("_masked", lambda n: n["before"] != n["after"])
+    )
+
+    def seen(kind: str) -> Column:
+        return F.when(F.exists("_masked", lambda n: n["after"].contains(secrets.marker(kind))), F.lit(kind))
+
+    kinds = [seen(kind) for kind in secrets.patterns(pii)]
+    return out.withColumns(
+        {
+            "arguments_redacted": F.aggregate("_changed", F.to_json("args_v"), put_back),
+            "argument_secrets": F.coalesce(F.array_compact(F.array(*kinds)), strings([])),
+        }
+    ).drop("_masked", "_changed")
 
 
 def gate_secrets(decided: DataFrame, mode: str = "redact_audit") -> DataFrame:
@@ -365,7 +381,8 @@ def summarise_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
         value = F.coalesce(jsonx.as_string(e["value"]), F.to_json(e["value"]))
         plain = secrets.redact_text(value, pii)
         named = F.when(
-            secrets.is_credential_key(e["key"]) & (plain == value), F.lit(secrets.marker(secrets.SENSITIVE_FIELD))
+            secrets.is_credential_key(e["key"]) & (plain == value) & ~value.startswith("[REDACTED:"),
+            F.lit(secrets.marker(secrets.SENSITIVE_FIELD)),
         ).otherwise(plain)
         name = secrets.redact_text(e["key"], pii)
         return F.concat(

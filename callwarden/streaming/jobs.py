@@ -6,13 +6,12 @@ projections and joins with static tables, and run on a streaming frame as they a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from callwarden.constants import DEFAULT_APPROVAL_TIMEOUT_S
@@ -81,7 +80,7 @@ def stream_budget(calls: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def split_late(calls: DataFrame, horizon: F.Column | str) -> tuple[DataFrame, DataFrame]:
+def split_late(calls: DataFrame, horizon: Column | str) -> tuple[DataFrame, DataFrame]:
     """(on time, late): late rows are refused as `daily.unavailable` instead of being metered
     against a day that is closed."""
     limit = F.col(horizon) if isinstance(horizon, str) else horizon
