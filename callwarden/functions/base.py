@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,14 @@ def char_class(characters: str) -> str:
 
 def words_regex(words: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in words)
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed exactly once per row.
+
+    A filter on a plain computed column is pushed below it, which writes the whole expression
+    into the filter and computes it (and, say, the JSON parse it reads) again for every
+    reference.  A one-element generator is where that stops; it stays inside generated code.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callwarden import constants as C
 from callwarden.functions import jsonx, secrets
-from callwarden.functions.base import all_of, is_true, let, strings
+from callwarden.functions.base import computed_once, is_true, let, strings
 from callwarden.functions.names import glob_match
 from callwarden.functions.paths import (
     has_sensitive_path,
@@ -135,26 +135,14 @@ def scan_arguments(calls: DataFrame, settings: dict | None = None) -> DataFrame:
     wanted = set(C.DETECTORS if settings.get("detectors") is None else settings["detectors"])
     for o in settings.get("overrides") or []:
         wanted |= set(o.get("detectors") or [])
-    empty = F.array().cast(HITS_TYPE)
+    nothing = F.col("args_v").isNull() | (F.col("_set.action") == "off") | (F.size("_set.detectors") == 0)
+    ready = with_inputs(calls).withColumns({"_set": chosen, "_shell": is_shell_tool("tool")})
+    walked = computed_once(ready, "_walk", jsonx.argument_nodes("args_v", F.col("arguments")))
+    texts = computed_once(walked, "_texts", argument_texts(F.col("_walk"), F.col("_shell")))
+    enabled = F.col("_set.detectors") if settings.get("overrides") else None
+    hits = hits_of(F.col("_walk"), F.col("_texts"), enabled, sorted(wanted))
     return (
-        with_inputs(calls)
-        .withColumns(
-            {"_set": chosen, "_walk": jsonx.argument_nodes("args_v", F.col("arguments")), "_shell": is_shell_tool("tool")}
-        )
-        .withColumn("_texts", argument_texts(F.col("_walk"), F.col("_shell")))
-        .withColumn(
-            "argument_hits",
-            F.when(
-                F.col("args_v").isNull() | (F.col("_set.action") == "off") | (F.size("_set.detectors") == 0), empty
-            ).otherwise(
-                hits_of(
-                    F.col("_walk"),
-                    F.col("_texts"),
-                    F.col("_set.detectors") if settings.get("overrides") else None,
-                    sorted(wanted),
-                )
-            ),
-        )
+        computed_once(texts, "argument_hits", F.when(nothing, F.array().cast(HITS_TYPE)).otherwise(hits))
         .withColumn("argument_action", F.col("_set.action"))
         .drop("_set", "_walk", "_shell", "_texts")
     )
@@ -226,19 +214,23 @@ def gate_arguments(decided: DataFrame) -> DataFrame:
     )
     audited = d.withField("trail", F.concat(d["trail"], F.array(trail("audit"))))
     untouched = (F.size(hits) == 0) | (d["verdict"] == DENY) | (action == "off")
-    return decided.withColumns(
+    acted = decided.withColumns(
         {
             "argument_hits_action": F.when(untouched, F.lit(None).cast("string"))
             .when(action == "block", F.lit("blocked"))
             .when(action == "approve", F.lit("approval"))
             .otherwise(F.lit("audited")),
-            "decision": F.when(untouched, d)
-            .when(action == "block", blocked)
-            .when((action == "approve") & (d["verdict"] == REQUIRE_APPROVAL), noted.cast(DECISION_TYPE))
-            .when(action == "approve", escalated.cast(DECISION_TYPE))
-            .otherwise(audited.cast(DECISION_TYPE)),
         }
     )
+    return computed_once(
+        acted,
+        "decision",
+        F.when(untouched, d)
+        .when(action == "block", blocked)
+        .when((action == "approve") & (d["verdict"] == REQUIRE_APPROVAL), noted.cast(DECISION_TYPE))
+        .when(action == "approve", escalated.cast(DECISION_TYPE))
+        .otherwise(audited.cast(DECISION_TYPE)),
+    )
 
 
 # --- secrets in arguments -------------------------------------------------------------
@@ -290,7 +282,7 @@ def redact_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
         jsonx.json_nodes("args_v", F.col("arguments")),
         lambda n: n["leaf"] & (F.schema_of_variant(n["value"]) == "STRING"),
     )
-    out = with_inputs(calls).withColumn("_masked", F.transform(strings_only, masked)).withColumn(
+    out = computed_once(with_inputs(calls), "_masked", F.transform(strings_only, masked)).withColumn(
         "_changed", F.filter("_masked", lambda n: n["before"] != n["after"])
     )
 
@@ -328,8 +320,8 @@ def gate_secrets(decided: DataFrame, mode: str = "redact_audit") -> DataFrame:
         .when(F.lit(mode == "redact"), F.lit("redacted"))
         .otherwise(F.lit("forwarded"))
     )
-    return decided.withColumns(
-        {"argument_secrets_action": action, "decision": F.when(block, refused).otherwise(d)}
+    return computed_once(
+        decided.withColumn("argument_secrets_action", action), "decision", F.when(block, refused).otherwise(d)
     )
 
 
@@ -337,7 +329,7 @@ def result_secrets(results: DataFrame, mode: str = "redact", pii: bool = False)
     """Mask (`redact`), withhold (`block`) or pass (`off`) secrets in result text."""
     if mode not in ("redact", "block", "off"):
         raise PolicyError(f"unknown result secrets mode '{mode}'")
-    out = results.withColumn("_red", secrets.redact_text("text", pii)).withColumn(
+    out = computed_once(results, "_red", secrets.redact_text("text", pii)).withColumn(
         "result_secrets", F.coalesce(secrets.kinds_in_redacted("_red", pii), strings([]))
     )
     found = (F.size("result_secrets") > 0) & F.lit(mode != "off")

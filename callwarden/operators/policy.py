@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callwarden import constants as C
 from callwarden.functions import jsonx
-from callwarden.functions.base import all_of, any_of, is_true, strings
+from callwarden.functions.base import all_of, any_of, computed_once, is_true, strings
 from callwarden.functions.names import (
     HINTS,
     effective_hints,
@@ -285,7 +285,7 @@ def with_inputs(calls: DataFrame) -> DataFrame:
     missing = {c: F.lit(None).cast(t) for c, t in types.items() if c not in calls.columns}
     out = calls.withColumns(missing) if missing else calls
     if "args_v" not in out.columns:
-        out = out.withColumn("args_v", F.try_parse_json("arguments"))
+        out = computed_once(out, "args_v", F.try_parse_json("arguments"))
     return out
 
 
@@ -377,7 +377,7 @@ def evaluate_policy(
 ) -> DataFrame:
     """Add the `decision` of the first rule that matches; one projection, no shuffle."""
     validate_policy(policy)
-    return with_inputs(calls).withColumn("decision", policy_column(policy, explain, max_regex_chars))
+    return computed_once(with_inputs(calls), "decision", policy_column(policy, explain, max_regex_chars))
 
 
 def refusal_message(decision: Column | str) -> Column:
@@ -513,7 +513,7 @@ def evaluate_policies(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
     first = F.get(F.filter("rules", matches), F.lit(0))
     return (
-        joined.withColumn("_rule", first)
+        computed_once(joined, "_rule", first)
         .withColumn(
             "decision",
             F.when(
@@ -544,8 +544,8 @@ def what_if(calls: DataFrame, policy_a: dict, policy_b: dict) -> DataFrame:
     """Calls whose verdict changes when policy A is replaced by policy B; one scan."""
     validate_policy(policy_a)
     validate_policy(policy_b)
-    both = with_inputs(calls).withColumns(
-        {"before": policy_column(policy_a), "after": policy_column(policy_b)}
+    both = computed_once(
+        computed_once(with_inputs(calls), "before", policy_column(policy_a)), "after", policy_column(policy_b)
     )
     return both.where(F.col("before.verdict") != F.col("after.verdict"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from callwarden import constants as C
 from callwarden.functions import jsonx
-from callwarden.functions.base import is_true, strings
+from callwarden.functions.base import computed_once, is_true, strings
 from callwarden.functions.secrets import redact_text
 from callwarden.functions.text import count_of_heuristics, ordered_union, scan_text
 
@@ -27,7 +27,7 @@ def scan_blocks(results: DataFrame) -> DataFrame:
         hits = ordered_union(
             F.array(hits, F.when(F.col("structured").isNotNull(), structured).otherwise(strings([])))
         )
-    return results.withColumn("hits", hits)
+    return computed_once(results, "hits", hits)
 
 
 def union_hits(blocks: DataFrame, key: str = "call_id") -> DataFrame:
