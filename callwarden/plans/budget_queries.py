@@ -123,9 +123,9 @@ BUDGET_POLICY = {
     "budget_gate",
     with_views(
         f"""
-SELECT c.call_id, CASE WHEN event_type = 'error' THEN 'deny' WHEN NOT resolved THEN 'allow' WHEN principal IS NULL THEN 'deny' WHEN y.x.refused IS NOT NULL THEN 'deny' ELSE 'allow' END AS verdict,
-  CASE WHEN event_type = 'error' THEN 'errors' WHEN resolved AND principal IS NULL THEN 'principal.unidentified' WHEN y.x.refused IS NOT NULL THEN concat('principal.', y.x.refused) WHEN event_type = 'view' THEN 'views' END AS rule,
-  CASE WHEN event_type = 'error' THEN 'policy' WHEN resolved AND principal IS NULL THEN 'budget' WHEN y.x.refused IS NOT NULL THEN 'budget' ELSE 'policy' END AS source
+SELECT c.call_id, CASE WHEN event_type = 'error' THEN 'deny' WHEN NOT resolved THEN 'allow' WHEN c.principal IS NULL THEN 'deny' WHEN y.x.refused IS NOT NULL THEN 'deny' ELSE 'allow' END AS verdict,
+  CASE WHEN event_type = 'error' THEN 'errors' WHEN resolved AND c.principal IS NULL THEN 'principal.unidentified' WHEN y.x.refused IS NOT NULL THEN concat('principal.', y.x.refused) WHEN event_type = 'view' THEN 'views' END AS rule,
+  CASE WHEN event_type = 'error' THEN 'policy' WHEN resolved AND c.principal IS NULL THEN 'budget' WHEN y.x.refused IS NOT NULL THEN 'budget' ELSE 'policy' END AS source
 FROM (SELECT *, user_id % 5 <> 4 AS resolved FROM calls WHERE k % 10 <> 9) c LEFT JOIN ({fold_sql('''(SELECT call_id, ts, principal, CAST(CASE WHEN event_type = 'view' THEN 3 ELSE 1 END AS BIGINT) AS cost FROM calls
   WHERE k % 10 <> 9 AND event_type <> 'error' AND user_id % 5 <> 4 AND principal IS NOT NULL) c''', 'principal', max_calls=150, max_cost=40)}) y ON y.x.id = c.call_id""",
         "calls",
@@ -138,28 +138,33 @@ def budget_gate(spark, sf):
     return out.select("call_id", "decision.verdict", "decision.rule", "decision.source")
 
 
-# Both scopes in one fold per installation: its three sessions and the day's counter are the state.
-_TWO = """
+# Both scopes in one fold per installation and day: its three sessions and the day's counters
+# are the state.
+_STATE = "{'log': CAST([] AS STRUCT(id BIGINT, scope VARCHAR)[]), 's0': CAST(0 AS BIGINT), 's1': CAST(0 AS BIGINT), 's2': CAST(0 AS BIGINT), 'd': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'id': %s, 'cost': %s, 'who': %s}"
+_SESSION_OUT = "b.cost > 6 - CASE b.who WHEN 0 THEN a.s0 WHEN 1 THEN a.s1 ELSE a.s2 END"
+_DAY_OUT = "(a.n >= 4 OR b.cost > 9 - a.d)"
+_IN = f"NOT ({_SESSION_OUT}) AND NOT {_DAY_OUT}"
+_TWO = f"""
 SELECT y.x.id AS call_id, y.x.scope AS scope FROM (SELECT unnest(r.log) AS x FROM (
-  SELECT installation, list_reduce([{'log': CAST([] AS STRUCT(id BIGINT, scope VARCHAR)[]), 's': [CAST(0 AS BIGINT), 0, 0], 'd': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'day': DATE '1970-01-01', 'id': CAST(0 AS BIGINT), 'cost': CAST(0 AS BIGINT), 'who': CAST(0 AS BIGINT)}]
-    || list({'log': CAST([] AS STRUCT(id BIGINT, scope VARCHAR)[]), 's': [CAST(0 AS BIGINT), 0, 0], 'd': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'day': day, 'id': call_id, 'cost': cost, 'who': who} ORDER BY ts, call_id),
-    lambda a, b: {'log': a.log || [{'id': b.id, 'scope': CASE WHEN b.cost > 100 - a.s[b.who] THEN 'session' WHEN (CASE WHEN a.day = b.day THEN a.n ELSE 0 END) >= 9 OR b.cost > 8 - (CASE WHEN a.day = b.day THEN a.d ELSE 0 END) THEN 'daily' END}],
-      's': list_transform(a.s, lambda v, i: v + CASE WHEN i = b.who AND NOT (b.cost > 100 - a.s[b.who] OR (CASE WHEN a.day = b.day THEN a.n ELSE 0 END) >= 9 OR b.cost > 8 - (CASE WHEN a.day = b.day THEN a.d ELSE 0 END)) THEN b.cost ELSE 0 END),
-      'd': (CASE WHEN a.day = b.day THEN a.d ELSE 0 END) + CASE WHEN b.cost > 100 - a.s[b.who] OR (CASE WHEN a.day = b.day THEN a.n ELSE 0 END) >= 9 OR b.cost > 8 - (CASE WHEN a.day = b.day THEN a.d ELSE 0 END) THEN 0 ELSE b.cost END,
-      'n': (CASE WHEN a.day = b.day THEN a.n ELSE 0 END) + CASE WHEN b.cost > 100 - a.s[b.who] OR (CASE WHEN a.day = b.day THEN a.n ELSE 0 END) >= 9 OR b.cost > 8 - (CASE WHEN a.day = b.day THEN a.d ELSE 0 END) THEN 0 ELSE 1 END,
-      'day': b.day, 'id': b.id, 'cost': b.cost, 'who': b.who}) AS r
-  FROM (SELECT call_id, ts, CAST(ts AS DATE) AS day, user_id // 3 AS installation, CAST(1 + user_id % 3 AS BIGINT) AS who, CAST(k % 6 AS BIGINT) AS cost FROM calls) c GROUP BY installation) f) y WHERE y.x.scope IS NOT NULL"""
+  SELECT installation, day, list_reduce([{_STATE % ("CAST(0 AS BIGINT)", "CAST(0 AS BIGINT)", "CAST(0 AS BIGINT)")}]
+    || list({_STATE % ("call_id", "cost", "who")} ORDER BY ts, call_id),
+    lambda a, b: {{'log': a.log || [{{'id': b.id, 'scope': CASE WHEN {_SESSION_OUT} THEN 'session' WHEN {_DAY_OUT} THEN 'daily' END}}],
+      's0': a.s0 + CASE WHEN b.who = 0 AND {_IN} THEN b.cost ELSE 0 END, 's1': a.s1 + CASE WHEN b.who = 1 AND {_IN} THEN b.cost ELSE 0 END,
+      's2': a.s2 + CASE WHEN b.who = 2 AND {_IN} THEN b.cost ELSE 0 END, 'd': a.d + CASE WHEN {_IN} THEN b.cost ELSE 0 END,
+      'n': a.n + CASE WHEN {_IN} THEN 1 ELSE 0 END, 'id': b.id, 'cost': b.cost, 'who': b.who}}) AS r
+  FROM (SELECT call_id, ts, CAST(ts AS DATE) AS day, user_id // 3 AS installation, CAST(user_id % 3 AS BIGINT) AS who, CAST(k % 6 AS BIGINT) AS cost FROM calls) c
+  GROUP BY installation, day) f) y WHERE y.x.scope IS NOT NULL"""
 
 
 @query("budget_two_scopes", with_views(_TWO, "calls"))
 def budget_two_scopes(spark, sf):
     calls = view(spark, sf, "calls").select(
-        "call_id", "ts", "user_id", (F.col("k") % 6).alias("cost"), F.floor(F.col("user_id") / 3).alias("installation"),
+        "call_id", "ts", "session_id", (F.col("k") % 6).alias("cost"), F.floor(F.col("user_id") / 3).alias("installation"),
         F.lit(True).alias("chargeable"),
     )
     out = budgets.charge_two_budgets(
-        budgets.with_day(calls), Limits("session", ["user_id"], max_cost=100),
-        Limits("daily", ["installation", "day"], max_calls=9, max_cost=8), chunk_seconds=21_600,
+        budgets.with_day(calls), Limits("session", ["session_id"], max_cost=6),
+        Limits("daily", ["installation", "day"], max_calls=4, max_cost=9), chunk_seconds=21_600,
     )
     return out.where("refused_scope IS NOT NULL").select("call_id", F.col("refused_scope").alias("scope"))
 
