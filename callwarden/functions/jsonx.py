@@ -231,10 +231,12 @@ def json_leaves(root: Column | str, text: Column | None = None) -> Column:
 
 
 def _context(name: Column, words: list[str]) -> Column:
+    """Is one of the words among the words of a name?  Names without any are not split."""
     from callwarden.functions.names import name_words
 
     padded = F.concat(F.lit(" "), F.array_join(name_words(name), " "), F.lit(" "))
-    return padded.rlike(f" (?:{'|'.join(words)})s? ")
+    either = "|".join(words)
+    return F.when(name.rlike(f"(?i){either}"), padded.rlike(f" (?:{either})s? ")).otherwise(F.lit(False))
 
 
 def argument_nodes(root: Column | str, text: Column | None = None) -> Column:

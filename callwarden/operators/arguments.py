@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from callwarden import constants as C
 from callwarden.functions import jsonx, secrets
-from callwarden.functions.base import computed_once, is_true, let, strings
+from callwarden.functions.base import char_class, computed_once, is_true, let, strings
 from callwarden.functions.names import glob_match
 from callwarden.functions.paths import (
+    KEYWORD_REGEX,
+    SHELL_REGEX,
     has_sensitive_path,
     has_shell_metacharacters,
     has_traversal,
     is_shell_tool,
 )
-from callwarden.functions.urls import has_internal_url
+from callwarden.functions.urls import URL_HINT, has_internal_url
 from callwarden.operators.policy import DECISION_TYPE, DENY, REQUIRE_APPROVAL, PolicyError, refuse, with_inputs
 
 HITS_TYPE = "array<struct<detector:string,argument:string>>"
@@ -124,11 +126,26 @@ def hits_of(walk: Column, texts: Column, enabled: Column | None, detectors: list
     return F.array_compact(F.array(*found)).cast(HITS_TYPE)
 
 
+def worth_scanning(text: Column) -> Column:
+    """Can any detector fire on these arguments?  One pass over the raw JSON text.
+
+    Every hit needs one of these signs in some string, and strings stand in the text as they
+    are or with a backslash; sizes and depths past the limits need a long or bracketed text.
+    """
+    signs = "|".join(
+        [r"\\", URL_HINT, KEYWORD_REGEX, f"[{char_class(C.DOTS)}]{{2}}", SHELL_REGEX]
+    )
+    return is_true(
+        text.rlike(signs) | (F.length(text) > C.MAX_VALUES) | (jsonx.nesting_bound(text) > C.MAX_DEPTH)
+    )
+
+
 def scan_arguments(calls: DataFrame, settings: dict | None = None) -> DataFrame:
     """Add `argument_hits`: what the detectors found in a call's arguments.
 
     The nested arguments are walked and inspected inside their row, so the scan is a
-    projection: no explode, no shuffle, no grouping back by call.
+    projection: no shuffle and no grouping back by call.  Arguments whose text shows none of the
+    signs of a hit are not walked at all.
     """
     settings = settings or {}
     chosen = argument_settings("tool", settings)
@@ -137,7 +154,8 @@ def scan_arguments(calls: DataFrame, settings: dict | None = None) -> DataFrame:
         wanted |= set(o.get("detectors") or [])
     nothing = F.col("args_v").isNull() | (F.col("_set.action") == "off") | (F.size("_set.detectors") == 0)
     ready = with_inputs(calls).withColumns({"_set": chosen, "_shell": is_shell_tool("tool")})
-    walked = computed_once(ready, "_walk", jsonx.argument_nodes("args_v", F.col("arguments")))
+    walk = F.when(worth_scanning(F.col("arguments")), jsonx.argument_nodes("args_v", F.col("arguments")))
+    walked = computed_once(ready, "_walk", walk)
     texts = computed_once(walked, "_texts", argument_texts(F.col("_walk"), F.col("_shell")))
     enabled = F.col("_set.detectors") if settings.get("overrides") else None
     hits = hits_of(F.col("_walk"), F.col("_texts"), enabled, sorted(wanted))
