@@ -97,7 +97,8 @@ FROM (SELECT concat('srv', p_partkey % 5) AS server, capture, p_partkey,
          ELSE '{{"type": "object", "properties": {{"x": {{"type": "string", "maximum": 10}}}}}}' END AS input_schema,
     CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS read_only,
     CASE p_partkey % 6 WHEN 0 THEN true WHEN 1 THEN false END AS destructive
-  FROM {part} CROSS JOIN (SELECT 1 AS capture UNION ALL SELECT 2 AS capture) c) t
+  FROM (SELECT p_partkey, p_name, p_type, p_brand, 1 AS capture FROM {part}
+    UNION ALL SELECT p_partkey, p_name, p_type, p_brand, 2 AS capture FROM {part}) c) t
 WHERE NOT (capture = 2 AND p_partkey % 17 = 0) AND NOT (capture = 1 AND p_partkey % 19 = 0)
 """
 
