@@ -262,7 +262,7 @@ def rules_matching_no_server(spark, sf):
     return joins.rules_matching_no_server(rules, _servers(spark, sf)).select("p_partkey")
 
 
-PACKS = [("alpha", "pkg-a"), ("beta", "@scope/pkg-b"), ("short", "pkg-b"), ("api", "https://api.example.com/mcp/1"), ("gamma", "pkg-c")]
+PACKS = [("alpha", "pkg-a"), ("beta", "@scope/pkg-b"), ("short", "pkg-b"), ("api", "https://api.example.com/tools/1"), ("gamma", "pkg-c")]
 _PACK_SQL = """
 SELECT server, pack FROM (SELECT server, unnest(CASE
   WHEN s_suppkey % 12 IN (1, 3, 7) THEN ['alpha'] WHEN s_suppkey % 12 = 9 THEN ['beta', 'short'] WHEN s_suppkey % 12 = 5 THEN ['short'] WHEN s_suppkey % 12 IN (2, 6, 10) THEN ['gamma']

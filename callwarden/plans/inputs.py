@@ -109,7 +109,7 @@ SELECT concat('srv', s_suppkey) AS server, s_suppkey,
   CASE s_suppkey % 12 WHEN 1 THEN '-y pkg-a' WHEN 5 THEN '--package=@scope/pkg-b@1.2.0 run' WHEN 9 THEN '-y @scope/pkg-b@latest'
     WHEN 2 THEN '--from pkg-c==2.0 tool' WHEN 6 THEN 'pkg-c' WHEN 10 THEN 'pkg-c@3.1' WHEN 3 THEN '-p pkg-a@9 x'
     WHEN 7 THEN 'pkg-a@^1' WHEN 11 THEN 'other' END AS arg_line,
-  CASE WHEN s_suppkey % 4 = 0 THEN concat('https://api.example.com/mcp/', s_suppkey) END AS url,
+  CASE WHEN s_suppkey % 4 = 0 THEN concat('https://api.example.com/tools/', s_suppkey) END AS url,
   s_suppkey % 5 = 0 AS optional, s_suppkey % 10 <> 0 AS reachable
 FROM {supplier}
 """
