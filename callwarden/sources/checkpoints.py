@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; a temporary one only where neither
-    the setting nor the context names any (local tests)."""
+    """The folder that `spark.checkpoint.dir` or the context names, shared by driver and executors.
+
+    Without one, a local session gets a temporary folder; a cluster has to name a shared one.
+    """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="callwarden-checkpoints-"))
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="callwarden-checkpoints-"))
     return context.getCheckpointDir()
 
 
