@@ -3,6 +3,9 @@
 A byte-level pre-tokenizer attaches at most one space to what follows it and never looks across
 "non-space, one space, non-space".  Text can be cut before such spaces, each piece encoded alone,
 and the ids joined, with the same result as for the whole text.
+
+Pieces are named by keys: most are one space and a word, named by the word; any other piece is
+named by a NUL and itself.
 """
 
 from __future__ import annotations
@@ -10,8 +13,12 @@ from __future__ import annotations
 import os
 import re
 
-_odd_space = re.compile(r" \s|\s ")
+NUL = "\x00"
+_rare_space = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _cut = re.compile(r"(?<=\S)(?= \S)")
+#: A word of ASCII or Latin-1 letters, then marks: the pre-tokenizer cuts between them.
+_marked = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+_odd = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\n\n", NUL)
 
 
 def load_tokenizer(path: str):
@@ -25,24 +32,39 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def surface(key: str) -> str:
+    """The text that a key names."""
+    return key[1:] if key[:1] == NUL else " " + key
+
+
+def parts(key: str) -> tuple[str, str] | None:
+    """A word and the marks after it, where the key names both together."""
+    lead = key[:1] == NUL
+    match = _marked.fullmatch(key, 1 if lead else 0)
+    return (NUL * lead + match[1], NUL + match[2]) if match else None
+
+
 class Splitter:
-    """Cuts texts into such words; literal added tokens become words of their own."""
+    """Cuts texts into such pieces; literal added tokens become pieces of their own."""
 
     def __init__(self, tokenizer):
-        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.pattern = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
 
     def __call__(self, text: str) -> list[str]:
-        if self.added is not None and self.added.search(text):
-            return [w for part in self.added.split(text) if part for w in self._plain(part)]
+        """The keys of the pieces of a text, in order."""
+        if any(a in text for a in self.added):
+            return [k for part in self.pattern.split(text) if part for k in self._plain(part)]
         return self._plain(text) if text else []
 
     @staticmethod
     def _plain(text: str) -> list[str]:
-        if _odd_space.search(text):
-            return _cut.split(text)
-        first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        if first:
-            words.insert(0, first)
-        return words
+        if any(o in text for o in _odd) or "\n" in (text[0], text[-1]) or not text.isascii() and _rare_space.search(text):
+            return [p[1:] if p[0] == " " and p[1:].isalnum() else NUL + p for p in _cut.split(text)]
+        # a line feed between other characters is a piece, and so is what follows it
+        keys = text.replace("\n", " \x00\n \x00").split(" ")
+        if keys[0]:
+            keys[0] = NUL + keys[0]
+        else:
+            del keys[0]
+        return keys

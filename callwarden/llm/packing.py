@@ -8,31 +8,38 @@ a document across a boundary yields one record on each side.  Only the last sequ
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callwarden.llm.bpe_words import Splitter, load_tokenizer
+from callwarden.llm.bpe_words import Splitter, load_tokenizer, parts, surface
 from callwarden.llm.storage import keyed_texts, stored
 
 #: Encoded words that a worker keeps; beyond that it starts anew.  Results do not depend on it.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 
 
 class _Encoded(dict):
-    """Little-endian 32-bit ids by word, filled on demand."""
+    """Little-endian 32-bit ids by key of a piece, filled on demand."""
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, key: str) -> bytes:
+        simpler = parts(key)
+        if simpler:
+            packed = self[simpler[0]] + self[simpler[1]]
+        else:
+            ids = self.tokenizer.encode(surface(key), add_special_tokens=False).ids
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= KEPT_WORDS:
             self.clear()
-        self[word] = ids
-        return ids
+        self[key] = packed
+        return packed
 
 
 _encoders: dict[str, tuple[Splitter, _Encoded]] = {}
