@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwarden.llm import bpe, packing, quality_classifier, sharding, simhash, toxicity
+from callwarden.llm import bpe, packing, quality_classifier, sharding, simhash, toxicity, vantage_trees, weak_supervision
 from callwarden.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 
@@ -55,3 +55,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_supervision.judge_quality(table(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+
+
+@query("op4_vantage_trees")
+def op4_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_trees.nearest_of_every(table(spark, sf_dir, "embeddings"), every=20, k=20)
