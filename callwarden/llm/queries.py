@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwarden.llm import bpe, packing, quality_classifier, sharding, simhash, toxicity, vantage_trees, weak_supervision
+from callwarden.llm import bpe, packing, quality_classifier, sharding, simhash, suffix_index, toxicity, vantage_trees, weak_supervision
 from callwarden.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 
@@ -66,3 +66,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_vantage_trees")
 def op4_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_trees.nearest_of_every(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query("op8_suffix_arrays")
+def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_index.remove_repeats(table(spark, sf_dir), 400)
+    taken = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["z"] - s["a"])
+    return left.select(
+        "doc_id", "n_bytes", taken.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
