@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwarden.llm import bpe, packing, quality_classifier, sharding, simhash, suffix_index, toxicity, vantage_trees, weak_supervision
+from callwarden.llm import bpe, line_dedup, packing, quality_classifier, sharding, simhash, suffix_index, toxicity, vantage_trees, weak_supervision
 from callwarden.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
 
@@ -46,6 +46,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir))
+    return left.select(
+        "doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.decode(bpe.encode(table(spark, sf_dir), tokenizer_path()), tokenizer_path())
