@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from callwarden.llm.arrays import blocks, text_bytes
 from callwarden.llm.ngrams import features
@@ -99,21 +100,27 @@ def ftrl(examples: list[tuple[np.ndarray, int]], s: Settings) -> np.ndarray:
     return weights(np.arange(bias + 1))
 
 
-def score(docs: DataFrame, weights: np.ndarray, settings: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every whole text: a sparse dot product with the broadcast weights."""
+def with_score(docs: DataFrame, weights: np.ndarray, settings: Settings, text: str = "text", name: str = "score") -> DataFrame:
+    """The rows with a column `name`: a sparse dot product of the whole text with the broadcast weights."""
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    place = docs.columns.index(text)
 
     def run(batches):
         w = shared.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(place))
+            values = np.zeros(batch.num_rows)
             for lo, hi in blocks(offsets):
                 doc, found = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], settings.orders, settings.skips, settings.bits, settings.lower, settings.ditto)
                 hit = w[found] != 0
                 pairs = np.unique(doc[hit] << settings.bits | found[hit])
                 total = w[-1] + np.bincount(pairs >> settings.bits, w[pairs & ((1 << settings.bits) - 1)], hi - lo)
-                value = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(value)], ["key", "score"])
+                values[lo:hi] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
 
-    slim = keyed_texts(docs, key, text)
-    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def score(docs: DataFrame, weights: np.ndarray, settings: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of every whole text."""
+    return with_score(keyed_texts(docs, key, text), weights, settings).select("key", "score")

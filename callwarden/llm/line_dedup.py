@@ -237,17 +237,10 @@ class Join:
         return done.select(F.col("x").alias("set"))
 
 
-def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_lines, removed, kept) per row: the numbers of the removed lines, the text left.
-
-    Lines end at line feeds; words are runs of other than ASCII white space.  A line of at least `least`
-    different words goes if an earlier line, removed or not, has the same words or a Jaccard
-    similarity of at least num / den; earlier means a smaller key (null first), then a smaller line
-    number.  Shorter lines and lines without words stay.  Rows repeated with key and text are one document and lose
-    the same lines; null texts have no lines and stay null; an empty table gives no rows; other
-    columns are ignored.  Runs actions.
-    """
-    slim = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"))
+def _marked(docs: DataFrame, similarity: tuple[int, int], least: int, key: str, text: str) -> DataFrame:
+    """(key, text, row, removed): `row` is the whole row, `removed` the lines that go or null."""
+    named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    slim = named.select("key", "h", "text")
     num, den = similarity
     rows = stored(_occurrences(slim, least))
     matched = Join(slim, _rarity(rows), least, num, den).matched()
@@ -257,13 +250,40 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: in
     gone = lines.join(earliest, "set").where(F.col("near") | ~place.eqNullSafe(F.col("first")))
     # per document at most one entry per line
     gone = gone.select("key", "h", "line").distinct().groupBy("key", "h").agg(F.collect_list("line").alias("removed")).withColumnsRenamed({"key": "key2", "h": "h2"})
-    both = slim.join(gone, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2")), "left")
-    all_lines = F.split("text", "\n", -1)
-    removed = F.array_sort(F.coalesce("removed", F.array().cast("array<int>")))
-    left = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
-    return both.select(
+    both = named.join(gone, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2")), "left")
+    return both.select("key", "text", "row", "removed")
+
+
+def _left() -> Column:
+    """The text without the removed lines."""
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i))
+    return F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+
+def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_lines, removed, kept) per row: the numbers of the removed lines, the text left.
+
+    Lines end at line feeds; words are runs of other than ASCII white space.  A line of at least `least`
+    different words goes if an earlier line, removed or not, has the same words or a Jaccard
+    similarity of at least num / den; earlier means a smaller key (null first), then a smaller line
+    number.  Shorter lines and lines without words stay.  Rows repeated with key and text are one
+    document and lose the same lines; null texts have no lines and stay null; an empty table gives
+    no rows; other columns are ignored.  Runs actions.
+    """
+    return _marked(docs.select(docs[key].alias("key"), docs[text].alias("text")), similarity, least, "key", "text").select(
         F.col("key").alias(key),
-        F.coalesce(F.size(all_lines), F.lit(0)).cast("bigint").alias("n_lines"),
-        removed.alias("removed"),
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("kept"),
+        F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.array_sort(F.coalesce("removed", F.array().cast("array<int>"))).alias("removed"),
+        _left().alias("kept"),
     )
+
+
+def without_repeated_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with such lines cut out of the text; rows that lose all their words are left out.
+
+    Repeated rows stay as they are left.  Runs actions.
+    """
+    marked = _marked(docs, similarity, least, key, text)
+    worded = F.col("removed").isNull() | F.col("left").rlike("[^\\x20\\x09-\\x0D]")
+    kept = marked.withColumn("left", _left()).where(worded)
+    return kept.select(*[F.col("left").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -24,3 +24,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: ftrl.Settings =
     return scored.select(
         F.col("key").alias(key), is_held_out(F.col("key"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, settings: ftrl.Settings = SETTINGS, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of `docs` that score at least `threshold`; learns as `score_quality`.  Runs actions."""
+    known = labels.where(~is_held_out(labels[key], 3, 1))
+    weights = ftrl.train(docs, known, settings, key, text, label)
+    if not weights.any():  # nothing to judge by
+        return docs
+    kept = ftrl.with_score(docs, weights, settings, text, "quality_score_of_text")
+    return kept.where(F.col("quality_score_of_text") >= threshold).select(*docs.columns)

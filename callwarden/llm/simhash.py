@@ -122,3 +122,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, key: s
     names = top.groupBy("root").agg(F.min("least").alias("component"))
     classes = top.join(names, "root").select("fp", "component")
     return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` without near duplicates: of each component the row with the smallest key stays,
+    and of several such rows the one whose text has the smallest hash.  Runs actions."""
+    hashed = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"))
+    name = F.struct("key", "h")
+    marked = near_duplicates(hashed.select(name.alias("key"), "text"), shingle, distance, "key", "text")
+    # a component is named by its smallest (key, hash)
+    stay = marked.select(F.col("component.key").alias("key2"), F.col("component.h").alias("h2")).distinct()
+    whole = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = whole.join(stay, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2")), "left_semi").dropDuplicates(["key", "h"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from callwarden.llm.arrays import Hasher, blocks, text_bytes
 from callwarden.llm.storage import stored
@@ -221,41 +222,60 @@ def repeated_spans(slim: DataFrame, length: int, gram: int) -> DataFrame:
     return spans.unionByName(whole).distinct().groupBy("key", "h").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
+def _marked(docs: DataFrame, length: int, gram: int | None, key: str, text: str) -> DataFrame:
+    """(row, text, spans): `row` is the whole row, `spans` its repeats or null."""
+    named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), F.coalesce(docs[text], F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    spans = repeated_spans(named.select("key", "h", "text"), length, gram or max(1, length // 2)).withColumnsRenamed({"key": "key2", "h": "h2"})
+    return named.join(spans, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2")), "left").select("row", "text", "spans")
+
+
+def _cut_out(raw: bytes, spans) -> tuple[list[dict], bytes]:
+    """(maximal removed ranges, bytes left)."""
+    if not spans.is_valid:
+        return [], raw
+    a, z = (spans.values.field(f).to_numpy() for f in ("a", "z"))
+    order = np.argsort(a, kind="stable")
+    a, z = a[order], np.maximum.accumulate(z[order])
+    first = np.append(0, np.flatnonzero(a[1:] > z[:-1]) + 1)
+    removed = list(zip(a[first].tolist(), z[np.append(first[1:] - 1, len(z) - 1)].tolist(), strict=True))
+    edges = [0, *[e for r in removed for e in r], len(raw)]
+    return [{"a": a, "z": z} for a, z in removed], b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, removed, kept) per row of `docs`: the maximal removed byte ranges, the bytes left.
 
-    Every byte of a `length`-byte string that also starts elsewhere goes, in all places, judged on the texts as
-    given.  Null and empty texts have no bytes; shorter texts stay whole; rows repeated with key and
-    text count as several places and are treated alike; null keys are keys; an empty table gives no
-    rows; other columns are ignored.  Runs actions.
+    Every byte of a `length`-byte string that also starts elsewhere goes, in all places, judged on the
+    texts as given.  Null and empty texts have no bytes; shorter texts stay whole; rows repeated with
+    key and text count as several places and are treated alike; null keys are keys; an empty table
+    gives no rows; other columns are ignored.  Runs actions.
     """
-    gram = gram or max(1, length // 2)
-    slim = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    spans = repeated_spans(slim, length, gram).withColumnsRenamed({"key": "key2", "h": "h2"})
-    both = slim.join(spans, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2")), "left").select("key", "text", "spans")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text_, spans_ in zip(batch.column(1), batch.column(2), strict=True):
-                raw, removed, kept, at = text_.as_buffer().to_pybytes(), [], [], 0
-                if spans_.is_valid:
-                    fields = spans_.values
-                    a, z = fields.field("a").to_numpy(), fields.field("z").to_numpy()
-                    order = np.argsort(a, kind="stable")
-                    a, z = a[order], np.maximum.accumulate(z[order])
-                    first = np.append(0, np.flatnonzero(a[1:] > z[:-1]) + 1)
-                    removed = list(zip(a[first].tolist(), z[np.append(first[1:] - 1, len(z) - 1)].tolist(), strict=True))
-                for a, z in removed:
-                    kept.append(raw[at:a])
-                    at = z
-                kept.append(raw[at:])
-                out.append((len(raw), [{"a": a, "z": z} for a, z in removed], b"".join(kept)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())]))), pa.array([o[2] for o in out], pa.binary())],
-                ["key", "n_bytes", "removed", "kept"],
-            )
-
-    kind = slim.schema["key"].dataType.simpleString()
-    out = both.mapInArrow(run, f"key {kind}, n_bytes bigint, removed array<struct<a:bigint,z:bigint>>, kept binary")
+            raws = [t.as_buffer().to_pybytes() for t in batch.column(1)]
+            out = [_cut_out(r, s) for r, s in zip(raws, batch.column(2), strict=True)]
+            ranges = pa.array([o[0] for o in out], pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raws], pa.int64()), ranges, pa.array([o[1] for o in out], pa.binary())], ["key", "n_bytes", "removed", "kept"])
+
+    slim = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    marked = _marked(slim, length, gram, "key", "text").select(F.col("row.key").alias("key"), "text", "spans")
+    out = marked.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, n_bytes bigint, removed array<struct<a:bigint,z:bigint>>, kept binary")
     return out.withColumnRenamed("key", key)
+
+
+def without_repeats(docs: DataFrame, length: int = 400, gram: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with the repeats cut out of the text; rows with nothing left are left out.
+
+    A character that is cut through goes as a whole.  Runs actions.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = [None if not s.is_valid else _cut_out(t.as_buffer().to_pybytes(), s)[1].decode("utf-8", "ignore") for t, s in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "left"])
+
+    marked = _marked(docs, length, gram, key, text)
+    schema = StructType([marked.schema["row"], StructField("left", StringType())])
+    done = marked.mapInArrow(run, schema).where("left is null or left <> ''")
+    return done.select(*[F.coalesce("left", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
