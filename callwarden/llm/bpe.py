@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwarden.llm.bpe_words import Splitter, load_tokenizer, parts, surface
+from callwarden.llm.bpe_words import Splitter, WordEncoder, load_tokenizer, parts
 from callwarden.llm.storage import keyed_texts
 
 #: A block ends at so many distinct words or bytes of text.
@@ -102,24 +102,24 @@ def _encode_words(rows: DataFrame, tokenizer_path: str) -> DataFrame:
     key_type = rows.schema["keys"].dataType.simpleString()
 
     def run(batches):
-        tokenizer, now, known = load_tokenizer(tokenizer_path), None, {}
-
-        def look_up(key):
-            ids = known.get(key)
-            if ids is None:
-                pair = parts(key)
-                ids = look_up(pair[0]) + look_up(pair[1]) if pair else tokenizer.encode(surface(key), add_special_tokens=False).ids
-                known[key] = ids
-            return ids
-
+        encoder, now, known = WordEncoder(load_tokenizer(tokenizer_path)), None, {}
         for batch in batches:
             lens, ids = [], []
             for bucket, words in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
                 if bucket != now:
                     now, known = bucket, {}
-                found = [look_up(w) for w in words.as_py()] if words.is_valid else None
-                lens.append(None if found is None else [len(f) for f in found])
-                ids.append(None if found is None else [i for f in found for i in f])
+                if not words.is_valid:
+                    lens.append(None)
+                    ids.append(None)
+                    continue
+                words = words.as_py()
+                pairs = {w: p for w in words if w not in known and (p := parts(w))}
+                simple = [w for w in dict.fromkeys([*words, *(x for p in pairs.values() for x in p)]) if w not in known and w not in pairs]
+                known.update(zip(simple, encoder.many(simple), strict=True))
+                known.update((w, known[a] + known[b]) for w, (a, b) in pairs.items())
+                found = [known[w] for w in words]
+                lens.append([len(f) // 4 for f in found])
+                ids.append(np.frombuffer(b"".join(found), "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array(lens, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32())), *batch.columns[4:]],
                 ["block", "numbers", "lens", "ids", "keys", "counts", "text"],

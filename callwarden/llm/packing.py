@@ -8,47 +8,47 @@ a document across a boundary yields one record on each side.  Only the last sequ
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callwarden.llm.bpe_words import Splitter, load_tokenizer, parts, surface
+from callwarden.llm.bpe_words import Splitter, WordEncoder, load_tokenizer, parts
 from callwarden.llm.storage import keyed_texts, stored
 
 #: Encoded words that a worker keeps; beyond that it starts anew.  Results do not depend on it.
 KEPT_WORDS = 800_000
 
 
-class _Encoded(dict):
-    """Little-endian 32-bit ids by key of a piece, filled on demand."""
+class _Encoder:
+    """Little-endian 32-bit ids of texts, with those of recent words kept."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, path: str):
+        tokenizer = load_tokenizer(path)
+        self.split, self.words, self.kept = Splitter(tokenizer), WordEncoder(tokenizer), {}
 
-    def __missing__(self, key: str) -> bytes:
-        simpler = parts(key)
-        if simpler:
-            packed = self[simpler[0]] + self[simpler[1]]
-        else:
-            ids = self.tokenizer.encode(surface(key), add_special_tokens=False).ids
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[key] = packed
-        return packed
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        keys = [self.split(t) for t in texts]
+        kept = self.kept
+        missing = set().union(*keys).difference(kept)
+        if missing:
+            if len(kept) + len(missing) > KEPT_WORDS:
+                kept.clear()
+                missing = set().union(*keys)
+            pairs = {k: p for k in missing if (p := parts(k))}
+            simple = list({w for p in pairs.values() for w in p if w not in kept} | (missing - pairs.keys()))
+            kept.update(zip(simple, self.words.many(simple), strict=True))
+            kept.update((k, kept[a] + kept[b]) for k, (a, b) in pairs.items())
+        return [b"".join(map(kept.__getitem__, k)) for k in keys]
 
 
-_encoders: dict[str, tuple[Splitter, _Encoded]] = {}
+_encoders: dict[str, _Encoder] = {}
 
 
-def _encoder(path: str) -> tuple[Splitter, _Encoded]:
+def _encoder(path: str) -> _Encoder:
     if path not in _encoders:
-        tokenizer = load_tokenizer(path)
-        _encoders[path] = Splitter(tokenizer), _Encoded(tokenizer)
+        _encoders[path] = _Encoder(path)
     return _encoders[path]
 
 
@@ -57,17 +57,17 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
-        split, encoded = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                ids = [b"".join([*map(encoded.__getitem__, split(t or "")), end]) for t in texts[at : at + 256].to_pylist()]
+            for at in range(0, len(texts), 64):
+                ids = [i + end for i in encoder([t or "" for t in texts[at : at + 64].to_pylist()])]
                 n = np.array([len(i) // 4 for i in ids], np.int64)
                 starts = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 256), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
+                    [batch.column(0).slice(at, 64), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
                     ["key", "part", "before", "n", "ids"],
                 )
 
