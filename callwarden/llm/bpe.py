@@ -4,7 +4,7 @@ Encoding: a task splits a block of texts into words and keeps each text as numbe
 distinct words.  Those words, dealt out by hash, meet the same words of all other blocks; each
 distinct word is encoded once, and its ids go back to the blocks that asked for it, where they are
 put in the places of the word.  Per block a word travels once, however often it occurs, so frequent words
-are no hot keys; the numbers travel compressed.  Decoding: ids take their bytes from the id-to-piece
+are no hot keys; words, numbers and ids travel compressed.  Decoding: ids take their bytes from the id-to-piece
 table, whose size is that of the vocabulary.
 """
 
@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ from callwarden.llm.bpe_words import Splitter, WordEncoder, load_tokenizer, part
 from callwarden.llm.storage import keyed_texts
 
 #: A block ends at so many distinct words or bytes of text.
-BLOCK_WORDS, BLOCK_TEXT = 150_000, 12 << 20
+BLOCK_WORDS, BLOCK_TEXT = 600_000, 32 << 20
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
@@ -38,94 +37,104 @@ def _unsqueeze(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _lists(values, edges, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
+def _squeeze_words(words: list[str]) -> tuple[bytes, bytes]:
+    raw = [w.encode() for w in words]
+    return _squeeze(np.array([len(r) for r in raw], np.uint32)), zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
-def _split(docs: DataFrame, tokenizer_path: str, buckets: int) -> DataFrame:
-    """Rows of words (bucket of the words, block, their numbers in the block, words) and one row of
-    texts per block (keys, words per text, numbers)."""
+def _unsqueeze_words(lens: bytes, packed: bytes) -> list[str]:
+    raw, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(_unsqueeze(lens)).tolist()
+    return [raw[a:z].decode() for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _lists(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _blocks(batches, tokenizer_path: str):
+    """(block, words in the order of their numbers, keys, words per text, numbers) of each block.
+
+    A block is named by its list of words, so equal names mean equal numbers.
+    """
+    split = Splitter(load_tokenizer(tokenizer_path))
+    numbers, keys, counts, chunks, size = {}, [], [], [], 0
+
+    def closed():
+        words = list(numbers)
+        name = xxhash.xxh64_intdigest("\x01".join(words)) - (1 << 63)
+        return name, words, keys, counts, np.concatenate(chunks)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            keys += batch.column(0).slice(at, 64).to_pylist()
+            for text in batch.column(1).slice(at, 64).to_pylist():
+                words = split(text or "")
+                chunks.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
+                counts.append(len(words))
+                size += len(text or "")
+            if len(numbers) >= BLOCK_WORDS or size >= BLOCK_TEXT:
+                yield closed()
+                numbers, keys, counts, chunks, size = {}, [], [], [], 0
+    if keys:
+        yield closed()
+
+
+def _words(docs: DataFrame, tokenizer_path: str, buckets: int) -> DataFrame:
+    """(bucket, block, numbers, lens, words): a block's words of one bucket; a word and the same with marks share one."""
+
+    def run(batches):
+        for block, words, *_ in _blocks(batches, tokenizer_path):
+            home = np.array([xxhash.xxh32_intdigest((parts(w) or (w,))[0]) % buckets for w in words], np.int64)
+            for at in np.split(np.argsort(home, kind="stable"), np.flatnonzero(np.diff(np.sort(home))) + 1):
+                if len(at):
+                    at = np.array(sorted(at.tolist(), key=words.__getitem__))
+                    lens, packed = _squeeze_words([words[i] for i in at.tolist()])
+                    row = [[int(home[at[0]])], [block], [_squeeze(at)], [lens], [packed]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "numbers", "lens", "words"])
+
+    return docs.mapInArrow(run, "bucket int, block bigint, numbers binary, lens binary, words binary")
+
+
+def _texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(block, keys, counts, text): the texts of a block as numbers of its words."""
     key_type = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
-        split = Splitter(load_tokenizer(tokenizer_path))
-        key_arrow = None
-        block, numbers, keys, counts, chunks, size = TaskContext.get().partitionId() << 32, {}, [], [], [], 0
-
-        def close():
-            words = list(numbers)
-            home = [xxhash.xxh32_intdigest((parts(w) or (w,))[0]) % buckets for w in words]
-            order = np.argsort(home, kind="stable")
-            homes = np.asarray(home)[order]
-            edges = np.flatnonzero(np.concatenate(([True], homes[1:] != homes[:-1], [True]))) if words else np.zeros(1, int)
-            n = len(edges) - 1
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(homes[edges[:-1]].astype(np.int32)), pa.array([block] * n, pa.int64()),
-                        _lists(order.astype(np.int32), edges, pa.int32()), _lists(pa.array([words[i] for i in order.tolist()], pa.string()), edges, None),
-                        pa.nulls(n, pa.list_(key_arrow)), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()),
-                    ],
-                    names,
-                )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block % buckets], pa.int32()), pa.array([block], pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.string())),
-                    pa.array([keys], pa.list_(key_arrow)), pa.array([counts], pa.list_(pa.int32())), pa.array([_squeeze(np.concatenate(chunks))], pa.binary()),
-                ],
-                names,
-            )
-
-        names = ["bucket", "block", "numbers", "words", "keys", "counts", "text"]
-        for batch in batches:
-            key_arrow = batch.column(0).type
-            for at in range(0, batch.num_rows, 64):
-                texts = batch.column(1).slice(at, 64).to_pylist()
-                keys += batch.column(0).slice(at, 64).to_pylist()
-                for text in texts:
-                    words = split(text or "")
-                    chunks.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.uint32, len(words)))
-                    counts.append(len(words))
-                    size += len(text or "")
-                if len(numbers) >= BLOCK_WORDS or size >= BLOCK_TEXT:
-                    yield from close()
-                    block, numbers, keys, counts, chunks, size = block + 1, {}, [], [], [], 0
-        if keys:
-            yield from close()
-
-    schema = f"bucket int, block bigint, numbers array<int>, words array<string>, keys array<{key_type}>, counts array<int>, text binary"
-    return docs.mapInArrow(run, schema)
+        kind = None
+
+        def seen():
+            nonlocal kind
+            for batch in batches:
+                kind = batch.column(0).type
+                yield batch
+
+        for block, _, keys, counts, numbers in _blocks(seen(), tokenizer_path):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys], pa.list_(kind)), pa.array([counts], pa.list_(pa.int32())), pa.array([_squeeze(numbers)], pa.binary())], ["block", "keys", "counts", "text"])
+
+    return docs.mapInArrow(run, f"block bigint, keys array<{key_type}>, counts array<int>, text binary")
 
 
 def _encode_words(rows: DataFrame, tokenizer_path: str) -> DataFrame:
-    """The word rows with ids in place of words; rows of texts pass.  Rows come bucket by bucket."""
-    key_type = rows.schema["keys"].dataType.simpleString()
+    """(block, numbers, lens, ids): ids in place of words.  Rows come bucket by bucket."""
 
     def run(batches):
         encoder, now, known = WordEncoder(load_tokenizer(tokenizer_path)), None, {}
         for batch in batches:
             lens, ids = [], []
-            for bucket, words in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+            for bucket, sizes, packed in zip(*[batch.column(i).to_pylist() for i in (0, 3, 4)], strict=True):
                 if bucket != now:
                     now, known = bucket, {}
-                if not words.is_valid:
-                    lens.append(None)
-                    ids.append(None)
-                    continue
-                words = words.as_py()
+                words = _unsqueeze_words(sizes, packed)
                 pairs = {w: p for w in words if w not in known and (p := parts(w))}
                 simple = [w for w in dict.fromkeys([*words, *(x for p in pairs.values() for x in p)]) if w not in known and w not in pairs]
                 known.update(zip(simple, encoder.many(simple), strict=True))
                 known.update((w, known[a] + known[b]) for w, (a, b) in pairs.items())
                 found = [known[w] for w in words]
-                lens.append([len(f) // 4 for f in found])
-                ids.append(np.frombuffer(b"".join(found), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(lens, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32())), *batch.columns[4:]],
-                ["block", "numbers", "lens", "ids", "keys", "counts", "text"],
-            )
+                lens.append(_squeeze(np.array([len(f) // 4 for f in found], np.uint32)))
+                ids.append(_squeeze(np.frombuffer(b"".join(found), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(lens, pa.binary()), pa.array(ids, pa.binary())], ["block", "numbers", "lens", "ids"])
 
-    return rows.mapInArrow(run, f"block bigint, numbers array<int>, lens array<int>, ids array<int>, keys {key_type}, counts array<int>, text binary")
+    return rows.mapInArrow(run, "block bigint, numbers binary, lens binary, ids binary")
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -138,42 +147,42 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     """(key, ids) per row of `docs`, with the ids of the tokenizer for the whole text.
 
     Null and empty texts have no ids.  Repeated rows and keys are encoded alike; texts of any length
-    are one row; an empty table gives no rows; other columns are ignored.
+    are one row; an empty table gives no rows; other columns are ignored.  `docs` is read twice and
+    has to give the same rows in the same order; blocks named by their words make sure of that.
     """
     slim = keyed_texts(docs, key, text)
     key_type = slim.schema["key"].dataType.simpleString()
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _split(slim, tokenizer_path, 8 * partitions)
-    dealt = _encode_words(rows.repartition("bucket").sortWithinPartitions("bucket"), tokenizer_path)
-    # the row of texts comes after the words of its block
-    back = dealt.repartition("block").sortWithinPartitions("block", F.col("text").isNotNull())
+    words = _words(slim, tokenizer_path, 8 * partitions).repartition("bucket").sortWithinPartitions("bucket")
+    rows = _encode_words(words, tokenizer_path).unionByName(_texts(slim, tokenizer_path), allowMissingColumns=True)
+    # the texts come after the words of their block
+    back = rows.repartition("block").sortWithinPartitions("block", F.col("text").isNotNull()).select("block", "numbers", "lens", "ids", "keys", "counts", "text")
 
     def join_back(batches):
-        number, size, ids = [], [], []
+        now, fresh, where, long, flat = None, [], None, None, None
         for batch in batches:
-            for at in range(batch.num_rows):
+            for at, block in enumerate(batch.column(0).to_pylist()):
+                if block != now:
+                    now, fresh, where, long, flat = block, [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
                 if not batch.column(6)[at].is_valid:
-                    number.append(batch.column(1)[at].values.to_numpy())
-                    size.append(batch.column(2)[at].values.to_numpy())
-                    ids.append(batch.column(3)[at].values.to_numpy())
+                    fresh.append([_unsqueeze(batch.column(i)[at].as_py()) for i in (1, 2, 3)])
                     continue
-                keys, counts = batch.column(4)[at].values, batch.column(5)[at].values.to_numpy()
-                if number:
-                    place, lens, flat = np.concatenate(number), np.concatenate(size), np.concatenate(ids)
-                    where, long = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+                if fresh:
+                    place, lens, flat = (np.concatenate([f[i] for f in fresh]) for i in range(3))
+                    lens, fresh = lens.astype(np.int64), []
+                    where, long = np.full(int(place.max()) + 1, -1), np.zeros(int(place.max()) + 1, np.int64)
                     where[place], long[place] = np.cumsum(lens) - lens, lens
+                keys, counts = batch.column(4)[at].values, batch.column(5)[at].values.to_numpy()
                 codes = _unsqueeze(batch.column(6)[at].as_py())
-                number, size, ids = [], [], []
+                if len(codes) and (codes.max() >= len(where) or (where < 0).any()):
+                    raise RuntimeError("the input gave other rows when it was read again")
                 edges = np.concatenate(([0], np.cumsum(counts)))
                 for lo in range(0, len(counts), 64):
                     hi = min(lo + 64, len(counts))
                     c = codes[edges[lo] : edges[hi]]
-                    if len(c):
-                        out, each = gathered(flat, where[c], long[c]), np.concatenate(([0], np.cumsum(long[c])))
-                        cut = each[edges[lo : hi + 1] - edges[lo]]
-                    else:
-                        out, cut = np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64)
-                    yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), _lists(out.astype(np.int32), cut, pa.int32())], ["key", "ids"])
+                    each = np.concatenate(([0], np.cumsum(long[c]))).astype(np.int64)
+                    out = gathered(flat, where[c], long[c]) if len(c) else flat[:0]
+                    yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), _lists(out.astype(np.int32), each[edges[lo : hi + 1] - edges[lo]])], ["key", "ids"])
 
     return back.mapInArrow(join_back, f"key {key_type}, ids array<int>").withColumnRenamed("key", key)
 
