@@ -54,11 +54,11 @@ TOO_LARGE = "argument-too-large"
 DETECTORS = [SSRF, SENSITIVE_PATH, PATH_TRAVERSAL, SHELL_METACHAR]
 REPORTING_ORDER = DETECTORS + [TOO_LARGE]
 DETECTOR_TEXT = {
-    SSRF: "a URL pointing at an internal, loopback or cloud-metadata address",
-    SENSITIVE_PATH: "the location of a credential file",
-    PATH_TRAVERSAL: "a path that climbs out of its directory with '..'",
-    SHELL_METACHAR: "shell metacharacters in a command argument",
-    TOO_LARGE: "more data than the proxy inspects (too large or too deeply nested)",
+    SSRF: "an address inside the own network or of a cloud's metadata service",
+    SENSITIVE_PATH: "a file that usually holds credentials",
+    PATH_TRAVERSAL: "a path with steps upwards",
+    SHELL_METACHAR: "shell syntax in a command",
+    TOO_LARGE: "too many, too long or too deeply nested values",
 }
 
 MAX_DEPTH = 64

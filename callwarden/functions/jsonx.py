@@ -106,14 +106,15 @@ def nesting_bound(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\[{]"))
 
 
-def _walk(root: Column, node_type: str, from_member, from_item, text: Column | None) -> Column:
+def _walk(root: Column, node_type: str, from_member, from_item, text: Column | None, from_scalar=None) -> Column:
     """Breadth-first walk of one JSON value inside one row: struct<open, done>.
 
-    One fold over the depth levels.  `open` holds the nodes of the next level, `done` all
-    nodes seen; no rows are exploded, so nothing has to be shuffled back together.  The raw
-    `text`, when at hand, says how many levels there can be: one for flat arguments.
+    One fold over the depth levels, to the last one.  `open` holds the nodes of the next level,
+    `done` all nodes seen; no rows are exploded, so nothing has to be shuffled back together.  The
+    JSON text says how many levels there can be: one for flat arguments.
     """
     empty = F.array().cast(f"array<{node_type}>")
+    any_root = from_scalar is not None
 
     def members_of(parent: Column, value: Column) -> Column:
         return F.transform(_members(value), lambda e, i: from_member(parent, e["key"], e["value"], i))
@@ -126,7 +127,8 @@ def _walk(root: Column, node_type: str, from_member, from_item, text: Column | N
             F.coalesce(members_of(node, node["value"]), items_of(node, node["value"]), empty)
         )
 
-    top = F.coalesce(members_of(None, root), empty)
+    roots = [members_of(None, root), *([items_of(None, root), from_scalar(root)] if any_root else [])]
+    top = F.coalesce(*roots, empty)
     start = F.struct(top.alias("open"), empty.alias("done"))
 
     def level(acc: Column, _: Column) -> Column:
@@ -136,10 +138,8 @@ def _walk(root: Column, node_type: str, from_member, from_item, text: Column | N
         )
         return F.when(F.size(acc["open"]) == 0, acc).otherwise(nested)
 
-    limit = F.lit(C.MAX_DEPTH)
-    if text is not None:
-        limit = F.coalesce(F.greatest(F.lit(1), F.least(limit, nesting_bound(text))), limit)
-    return F.aggregate(F.sequence(F.lit(1), limit), start, level)
+    levels = F.coalesce(F.greatest(F.lit(1), nesting_bound(F.to_json(root) if text is None else text)), F.lit(1))
+    return F.aggregate(F.sequence(F.lit(1), levels), start, level)
 
 
 def _is_leaf(value: Column) -> Column:
@@ -147,9 +147,10 @@ def _is_leaf(value: Column) -> Column:
 
 
 def json_nodes(root: Column | str, text: Column | None = None) -> Column:
-    """Every nested value of an object with its path and the property name it hangs under.
+    """Every nested value with its path and the property name it hangs under.
 
-    Array items repeat no name.  Values deeper than the depth limit are left out.
+    Array items repeat no name.  A root that is no object is walked as well: an array's items come
+    first, and a lone scalar is a node of its own at `$`.
     """
 
     def node(parent, path, name, value, i):
@@ -171,14 +172,19 @@ def json_nodes(root: Column | str, text: Column | None = None) -> Column:
         return node(parent, F.concat(base, step), key, value, i)
 
     def item(parent, value, i):
-        path = F.concat(parent["path"], F.lit("["), i.cast("string"), F.lit("]"))
+        base = F.lit("$") if parent is None else parent["path"]
+        path = F.concat(base, F.lit("["), i.cast("string"), F.lit("]"))
         return node(parent, path, F.lit(None).cast("string"), value, i)
 
-    return _walk(col(root), NODE_TYPE, member, item, text)["done"]
+    def scalar(value):
+        alone = node(None, F.lit("$"), F.lit(None).cast("string"), value, F.lit(0))
+        return F.when(value.isNotNull() & _is_leaf(value), F.array(alone))
+
+    return _walk(col(root), NODE_TYPE, member, item, text, scalar)["done"]
 
 
 def json_strings(root: Column | str, text: Column | None = None) -> Column:
-    """All strings of an object in document order, property names included."""
+    """All strings of a value in document order, property names included."""
     nodes = F.array_sort(
         F.transform(
             json_nodes(root, text),
@@ -243,7 +249,7 @@ def argument_nodes(root: Column | str, text: Column | None = None) -> Column:
     """struct<open, done>: the values of a call's arguments with their reporting label.
 
     `command` is inherited from any enclosing property, `path_named` is the nearest
-    property's own.  `open` is not empty when nesting went past the depth limit.
+    property's own.  `open` is empty at the end; the length of `ord` is a value's depth.
     """
 
     def node(order, label, chars, command, path_named, value):
@@ -290,3 +296,50 @@ def cut_label(label: Column) -> Column:
     return F.when(
         F.length(label) > C.MAX_LABEL, F.concat(F.substring(label, 1, C.MAX_LABEL), F.lit("\u2026"))
     ).otherwise(label)
+
+
+# --- rewriting ----------------------------------------------------------------
+
+#: Pieces of compact JSON: strings (with the colon after a name), brackets, commas, other scalars.
+_PIECES = r'"(?:[^"\\]|\\.)*":?|[{}\[\],]|[^\s"{}\[\],:]+'
+
+
+def quoted(text: Column) -> Column:
+    """A string as it stands in compact JSON."""
+    whole = F.to_json(F.struct(text.alias("t")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def unquoted(piece: Column) -> Column:
+    """The string that a piece of compact JSON stands for."""
+    plain = F.substring(piece, F.lit(2), F.length(piece) - 2)
+    return F.when(~piece.contains("\\"), plain).otherwise(F.get_json_object(F.concat(F.lit('{"t":'), piece, F.lit("}")), "$.t"))
+
+
+def rewrite_scalars(text: Column, change) -> Column:
+    """Compact JSON with every scalar value replaced by change(piece, name).
+
+    `name` is the nearest enclosing property, which items of arrays inherit at any depth; names
+    and structure stay.  One fold over the pieces of the text, so values are replaced where they stand.
+    """
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit("").alias("out"), F.array().cast("array<string>").alias("outer"), none.alias("name"))
+
+    def state(out: Column, outer: Column, name: Column) -> Column:
+        return F.struct(out.alias("out"), outer.alias("outer"), name.alias("name"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        onward = F.concat(acc["out"], piece)
+        is_name = piece.startswith('"') & piece.endswith('":')
+        return (
+            F.when(is_name, state(onward, acc["outer"], unquoted(F.substring(piece, F.lit(1), F.length(piece) - 1))))
+            .when(piece.isin("{", "["), state(onward, F.concat(acc["outer"], F.array(acc["name"])), F.when(piece == "[", acc["name"])))
+            .when(
+                piece.isin("}", "]"),
+                state(onward, F.slice(acc["outer"], F.lit(1), F.size(acc["outer"]) - 1), F.element_at(acc["outer"], -1)),
+            )
+            .when(piece == ",", state(onward, acc["outer"], acc["name"]))
+            .otherwise(state(F.concat(acc["out"], change(piece, acc["name"])), acc["outer"], acc["name"]))
+        )
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), start, step, lambda acc: acc["out"])

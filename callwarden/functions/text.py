@@ -80,7 +80,7 @@ def sample_text(text: Column | str, max_chars: int = C.CLASSIFIER_MAX_CHARS) ->
     omitted = (F.length(text) - F.lit(max_chars)).cast("string")
     cut = F.concat(
         F.substring(text, 1, head),
-        F.lit("\n[... "), omitted, F.lit(" characters omitted by guardrails ...]\n"),
+        F.lit("\n[... "), omitted, F.lit(" characters left out ...]\n"),
         F.right(text, F.lit(tail)),
     )
     long = F.length(text) > max_chars

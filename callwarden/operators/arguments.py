@@ -95,7 +95,8 @@ def too_large(walk: Column, texts: Column) -> Column:
     characters = F.aggregate(
         walk["done"], F.lit(0).cast("bigint"), lambda acc, n: acc + n["chars"]
     ) + F.aggregate(texts, F.lit(0).cast("bigint"), lambda acc, n: acc + F.length(n["text"]))
-    return (F.size(walk["open"]) > 0) | (F.size(walk["done"]) > C.MAX_VALUES) | (characters > C.MAX_CHARACTERS)
+    deep = F.exists(walk["done"], lambda n: F.size(n["ord"]) > C.MAX_DEPTH)
+    return deep | (F.size(walk["done"]) > C.MAX_VALUES) | (characters > C.MAX_CHARACTERS)
 
 
 def _first_hit(name: str, texts: Column) -> Column:
@@ -203,29 +204,25 @@ def gate_arguments(decided: DataFrame) -> DataFrame:
         "scanner",
         rule,
         F.concat(
-            F.lit("the arguments contain "),
+            F.lit("Call refused. Found in the arguments: "),
             found,
-            F.lit(
-                ", and this policy refuses such calls for this tool. Do not retry with the value encoded, "
-                "split or reworded; if the task needs it, tell the user what you were trying to do and let "
-                "them decide."
-            ),
+            F.lit(". The same value in another spelling is refused too; describe the goal to the user and wait for a choice."),
         ),
         trail("deny"),
     )
     noted = d.withField(
         "approval_note",
         F.concat(
-            F.lit("Guardrails flagged its arguments: they contain "),
+            F.lit("Look at the arguments first. Found in them: "),
             found,
-            F.lit(". Check the arguments before approving."),
+            F.lit("."),
         ),
     ).withField("trail", F.concat(d["trail"], F.array(trail("require_approval"))))
     escalated = (
         noted.withField("verdict", F.lit(REQUIRE_APPROVAL))
         .withField(
             "reason",
-            F.concat(F.lit("the arguments contain "), found, F.lit(", so a human has to approve the call.")),
+            F.concat(F.lit("A person decides about this call. Found in the arguments: "), found, F.lit(".")),
         )
         .withField("rule", rule)
         .withField("source", F.lit("scanner"))
@@ -256,64 +253,36 @@ def gate_arguments(decided: DataFrame) -> DataFrame:
 SECRET_MODES = ["redact_audit", "redact", "block", "off"]
 
 
-def _quoted(text: Column) -> Column:
-    """A string as it stands in compact JSON."""
-    whole = F.to_json(F.struct(text.alias("t")))
-    return F.substring(whole, F.lit(6), F.length(whole) - 6)
-
-
-def _literal(text: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+#: Signs that some secret may be in a JSON text: hints of the patterns, a credential's name, an escape.
+_SIGNS = r"(?i)\\|-----BEGIN|eyJ|AKIA|ASIA|gh[pousr]_|github_pat_|@|[0-9]{4}|" + "|".join(C.CREDENTIAL_KEY_WORDS)
 
 
 def redact_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
     """Add `arguments_redacted` (compact JSON) and `argument_secrets` (kinds found).
 
-    Strings are masked after JSON decoding; a string whose own name says it is a credential is
-    masked whatever it looks like.  Names and structure stay: only the strings that changed are
-    put back, where they stand as values.
+    Strings are masked after JSON decoding.  Whatever hangs under a credential's name, directly or
+    as an item of arrays, is masked whole: strings, numbers and booleans, unless nothing but one known
+    marker is left of it.  Names and structure stay.  Texts without any sign of a secret are not taken apart.
     """
-    field = secrets.marker(secrets.SENSITIVE_FIELD)
+    field, markers = secrets.marker(secrets.SENSITIVE_FIELD), [secrets.marker(k) for k in secrets.patterns(True)]
 
-    def masked(n: Column) -> Column:
-        text, name = jsonx.as_string(n["value"]), n["name"]
+    def change(piece: Column, name: Column) -> Column:
+        own = is_true(secrets.is_credential_key(name))
+        text = jsonx.unquoted(piece)
         plain = secrets.redact_text(text, pii)
-        by_name = (
-            secrets.is_credential_key(name) & (plain == text) & (F.length(text) > 0) & ~text.startswith("[REDACTED:")
-        )
-        return F.struct(
-            is_true(by_name).alias("named"),
-            name.alias("name"),
-            F.to_json(n["value"]).alias("before"),
-            _quoted(F.when(is_true(by_name), F.lit(field)).otherwise(plain)).alias("after"),
-        )
-
-    def put_back(acc: Column, n: Column) -> Column:
-        after = F.regexp_replace(n["after"], r"([\\$])", r"\\$1")
-        own = F.replace(
-            acc, F.concat(_quoted(n["name"]), F.lit(":"), n["before"]), F.concat(_quoted(n["name"]), F.lit(":"), n["after"])
-        )
-        anywhere = F.regexp_replace(acc, F.concat(_literal(n["before"]), F.lit("(?!:)")), after)
-        return F.when(n["named"], own).otherwise(anywhere)
-
-    strings_only = F.filter(
-        jsonx.json_nodes("args_v", F.col("arguments")),
-        lambda n: n["leaf"] & (F.schema_of_variant(n["value"]) == "STRING"),
-    )
-    out = computed_once(with_inputs(calls), "_masked", F.transform(strings_only, masked)).withColumn(
-        "_changed", F.filter("_masked", lambda n: n["before"] != n["after"])
+        whole = own & (F.length(text) > 0) & ~plain.isin(*markers)
+        string = F.when(whole, F.lit(field)).otherwise(plain)
+        # a string that nothing was found in stays as it was written
+        masked = F.when(string == text, piece).otherwise(jsonx.quoted(string))
+        other = F.when(own & (piece != "null"), F.lit(f'"{field}"')).otherwise(piece)
+        return F.when(piece.startswith('"'), masked).otherwise(other)
+
+    text = F.to_json("args_v")
+    suspect = is_true(text.rlike(_SIGNS))
+    out = computed_once(
+        with_inputs(calls), "arguments_redacted", F.when(suspect, jsonx.rewrite_scalars(text, change)).otherwise(text)
     )
-
-    def seen(kind: str) -> Column:
-        return F.when(F.exists("_masked", lambda n: n["after"].contains(secrets.marker(kind))), F.lit(kind))
-
-    kinds = [seen(kind) for kind in secrets.patterns(pii)]
-    return out.withColumns(
-        {
-            "arguments_redacted": F.aggregate("_changed", F.to_json("args_v"), put_back),
-            "argument_secrets": F.coalesce(F.array_compact(F.array(*kinds)), strings([])),
-        }
-    ).drop("_masked", "_changed")
+    return out.withColumn("argument_secrets", secrets.kinds_in_redacted("arguments_redacted", pii))
 
 
 def gate_secrets(decided: DataFrame, mode: str = "redact_audit") -> DataFrame:
@@ -324,9 +293,9 @@ def gate_secrets(decided: DataFrame, mode: str = "redact_audit") -> DataFrame:
     found = (F.size(hits) > 0) & F.lit(mode != "off")
     block = found & F.lit(mode == "block") & (d["verdict"] != DENY)
     reason = F.concat(
-        F.lit("the arguments contain "),
+        F.lit("Secrets may not be sent along. Kinds found: "),
         F.array_join(hits, ", "),
-        F.lit(", and this policy refuses calls that carry secrets."),
+        F.lit("."),
     )
     refused = refuse(
         d, "scanner", F.lit(C.SECRETS_RULE), reason,
@@ -355,9 +324,9 @@ def result_secrets(results: DataFrame, mode: str = "redact", pii: bool = False)
     text = text.when(
         F.lit(mode == "block"),
         F.concat(
-            F.lit("Blocked by guardrails scanner 'secrets': the output contained "),
+            F.lit("Output removed by the secrets scanner. Kinds found: "),
             F.array_join("result_secrets", ", "),
-            F.lit(", so it was withheld and you have not seen it."),
+            F.lit("."),
         ),
     ).otherwise(F.col("_red"))
     action = F.when(found, F.lit("blocked" if mode == "block" else "redacted"))
@@ -389,17 +358,12 @@ def summarise_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
 
     def pair(e: Column) -> Column:
         value = F.coalesce(jsonx.as_string(e["value"]), F.to_json(e["value"]))
-        plain = secrets.redact_text(value, pii)
-        named = F.when(
-            secrets.is_credential_key(e["key"]) & (plain == value) & ~value.startswith("[REDACTED:"),
-            F.lit(secrets.marker(secrets.SENSITIVE_FIELD)),
-        ).otherwise(plain)
         name = secrets.redact_text(e["key"], pii)
-        return F.concat(
-            F.lit('"'), escape(shorten(name)), F.lit('": "'), escape(shorten(named)), F.lit('"')
-        )
+        return F.concat(F.lit('"'), escape(shorten(name)), F.lit('": "'), escape(shorten(value)), F.lit('"'))
 
-    pairs = F.transform(F.map_entries(F.try_variant_get("args_v", "$", "map<string,variant>")), pair)
+    # Everything shown comes from the masked tree, whatever its depth.
+    masked = F.try_parse_json("arguments_redacted")
+    pairs = F.transform(F.map_entries(F.try_variant_get(masked, "$", "map<string,variant>")), pair)
 
     # Take pairs while the whole still fits; everything behind the first misfit is counted.
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("shown"), F.lit(False).alias("full"))
@@ -413,9 +377,10 @@ def summarise_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
 
     hidden = F.size("_pairs") - F.col("_taken.shown")
     rendered = F.concat(F.lit("{"), F.col("_taken.text"), F.lit("}"))
+    had = [c for c in ("arguments_redacted", "argument_secrets") if c in calls.columns]
+    ready = calls if len(had) == 2 else redact_arguments(calls, pii)
     return (
-        with_inputs(calls)
-        .withColumn("_pairs", pairs)
+        ready.withColumn("_pairs", pairs)
         .withColumn("_taken", F.aggregate("_pairs", start, take))
         .withColumn(
             "argument_summary",
@@ -423,5 +388,5 @@ def summarise_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
                 F.concat(rendered, F.lit(" ("), hidden.cast("string"), F.lit(" more not shown)"))
             ),
         )
-        .drop("_pairs", "_taken")
+        .drop("_pairs", "_taken", *[c for c in ("arguments_redacted", "argument_secrets") if c not in had])
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from callwarden import constants as C
 from callwarden.functions.base import is_true
+from callwarden.operators.arguments import redact_arguments
 from callwarden.sources.schemas import AUDIT_COLUMNS
 
 
@@ -153,7 +154,12 @@ def number_sessions(audit: DataFrame, start_event: str = "upstream_connected", c
 
 
 def to_audit(decided: DataFrame) -> DataFrame:
-    """One audit record per call, refused ones included, in the column order of the log."""
+    """One audit record per call, refused ones included, in the column order of the log.
+
+    Arguments are logged masked; calls that were not masked before are masked here.
+    """
+    if "arguments_redacted" not in decided.columns:
+        decided = redact_arguments(decided)
     d = F.col("decision")
     have = set(decided.columns)
     opt = lambda c, t="string": F.col(c) if c in have else F.lit(None).cast(t)
@@ -170,7 +176,7 @@ def to_audit(decided: DataFrame) -> DataFrame:
         "server": opt("server"),
         "downstream_tool": opt("downstream_tool"),
         "principal": opt("principal"),
-        "arguments": opt("arguments"),
+        "arguments": opt("arguments_redacted"),
         "decision": d["verdict"],
         "decision_source": d["source"],
         "rule": d["rule"],
@@ -181,7 +187,12 @@ def to_audit(decided: DataFrame) -> DataFrame:
         ),
         "scanner_hits": hits("hits"),
         "scanner_action": opt("effect"),
+        "scanner_structured_content_withheld": opt("structured_withheld", "boolean"),
         "classifier": opt("classifier"),
+        "classifier_truncated": opt("classifier_truncated", "boolean"),
+        "classifier_error": opt("classifier_error"),
+        "result_secrets": hits("result_secrets"),
+        "result_secrets_action": opt("result_secrets_action"),
         "argument_secrets": hits("argument_secrets"),
         "argument_secrets_action": opt("argument_secrets_action"),
         "argument_hits": detectors,

@@ -25,7 +25,6 @@ ALLOW, DENY, REQUIRE_APPROVAL = "allow", "deny", "require_approval"
 VERDICTS = [ALLOW, DENY, REQUIRE_APPROVAL]
 OPERATORS = ["eq", "in", "gt", "lt", "prefix", "not_prefix", "matches"]
 APPROVAL_MODES = ["in_band", "webhook", "local_ui"]
-MAX_REGEX_CHARS = 1_000_000
 _HINT_KEYS = {
     "readOnlyHint": "read_only",
     "destructiveHint": "destructive",
@@ -39,7 +38,7 @@ DECISION_TYPE = (
     "approval_result:string,approval_note:string,trail:array<string>>"
 )
 HINT_TYPE = "struct<read_only:boolean,destructive:boolean,idempotent:boolean,open_world:boolean>"
-DEFAULT_REASON = "No policy rule matched; default is allow."
+DEFAULT_REASON = "Allowed, as no rule applies."
 
 
 class PolicyError(ValueError):
@@ -168,8 +167,12 @@ def value_equals(value: Column, expected) -> Column:
     return F.lit(False)
 
 
-def predicate_state(value: Column, predicate: dict, max_regex_chars: int = MAX_REGEX_CHARS) -> Column:
-    """1 satisfied, 0 not, 2 undecidable.  An absent value satisfies nothing."""
+def predicate_state(value: Column, predicate: dict, max_regex_chars: int | None = None) -> Column:
+    """1 satisfied, 0 not, 2 undecidable.  An absent value satisfies nothing.
+
+    Regular expressions see whole values; a caller may state a length beyond which a value counts
+    as undecidable.
+    """
     op = next(o for o in OPERATORS if predicate.get(o) is not None)
     operand = predicate[op]
     kind = jsonx.json_kind(value)
@@ -190,18 +193,17 @@ def predicate_state(value: Column, predicate: dict, max_regex_chars: int = MAX_R
     else:
         # Unicode classes and case, and only "\n" as a line end.
         holds = (kind == "string") & text.rlike("(?dU)" + operand)
-        return (
-            F.when(is_true((kind == "string") & (F.length(text) > max_regex_chars)), F.lit(2))
-            .when(is_true(holds), F.lit(1))
-            .otherwise(F.lit(0))
-        )
+        decided = F.when(is_true(holds), F.lit(1)).otherwise(F.lit(0))
+        if max_regex_chars is None:
+            return decided
+        return F.when(is_true((kind == "string") & (F.length(text) > max_regex_chars)), F.lit(2)).otherwise(decided)
     return F.when(is_true(holds), F.lit(1)).otherwise(F.lit(0))
 
 
 # --- a policy as one Column ---------------------------------------------------------
 
 
-def _conditions(match: dict, arguments: Column, max_regex_chars: int) -> list[tuple[str, Column]]:
+def _conditions(match: dict, arguments: Column, max_regex_chars: int | None) -> list[tuple[str, Column]]:
     """(name of the condition, 1 held / 0 failed / 2 undecidable), cheapest first."""
     flag = lambda c: F.when(is_true(c), F.lit(1)).otherwise(F.lit(0))
     found: list[tuple[str, Column]] = []
@@ -224,10 +226,10 @@ def _conditions(match: dict, arguments: Column, max_regex_chars: int) -> list[tu
 
 def _default_message(name: str, decision: str) -> str:
     if decision == DENY:
-        return f"This tool is not permitted by rule '{name}'. Do not retry; choose a different approach."
+        return f"Rule '{name}' forbids this call; try something else."
     if decision == REQUIRE_APPROVAL:
-        return f"Rule '{name}' requires human approval before this call can proceed."
-    return f"Explicitly allowed by rule '{name}'."
+        return f"Under rule '{name}' a person has to agree to this call first."
+    return f"Rule '{name}' allows this call."
 
 
 def make_decision(
@@ -289,7 +291,18 @@ def with_inputs(calls: DataFrame) -> DataFrame:
     return out
 
 
-def policy_column(policy: dict, explain: bool = False, max_regex_chars: int = MAX_REGEX_CHARS) -> Column:
+def unreadable() -> Column:
+    """Arguments that are there but are no JSON object with distinct names."""
+    shape = F.schema_of_variant(F.col("args_v")).startswith("OBJECT")
+    return is_true(F.col("arguments").isNotNull() & F.coalesce(~shape, F.lit(True)))
+
+
+def _unreadable_decision(trail: Column | None) -> Column:
+    text = "No rule could be checked: the arguments are no JSON object, or name a property twice."
+    return make_decision(DENY, F.lit(text), F.lit(C.UNREADABLE_RULE), source="scanner", trail=trail)
+
+
+def policy_column(policy: dict, explain: bool = False, max_regex_chars: int | None = None) -> Column:
     """The decision of a policy as one lazy CASE over its rules; needs `with_inputs` columns."""
     arguments = F.col("args_v")
     decided = None
@@ -302,19 +315,7 @@ def policy_column(policy: dict, explain: bool = False, max_regex_chars: int = MA
         nonlocal decided
         decided = F.when(condition, decision) if decided is None else decided.when(condition, decision)
 
-    unreadable = F.col("arguments").isNotNull() & F.coalesce(
-        ~F.schema_of_variant(arguments).startswith("OBJECT"), F.lit(True)
-    )
-    add(
-        is_true(unreadable),
-        make_decision(
-            DENY,
-            F.lit("the arguments are not a JSON object with distinct names, so no rule could be checked."),
-            F.lit(C.UNREADABLE_RULE),
-            source="scanner",
-            trail=F.array(note("arguments: unreadable -> deny")) if explain else None,
-        ),
-    )
+    add(unreadable(), _unreadable_decision(F.array(note("arguments: unreadable -> deny")) if explain else None))
     for rule in policy.get("rules") or []:
         name, decision = rule["name"], rule.get("decision") or DENY
         conditions = _conditions(rule.get("match") or {}, arguments, max_regex_chars)
@@ -325,15 +326,14 @@ def policy_column(policy: dict, explain: bool = False, max_regex_chars: int = MA
             return F.array(*so_far, note(last)) if explain else None
 
         # An undecidable condition counts only when all conditions before it held.
-        for i, (condition, state) in enumerate(conditions):
+        for i, (condition, state) in enumerate(conditions if max_regex_chars is not None else []):
             predicate = condition.startswith("argument ")
             if not predicate or "matches" not in _operator_at(rule, i, conditions):
                 continue
             before = [s == 1 for _, s in conditions[:i]]
             text = (
-                f"Rule '{name}' could not be evaluated: the {condition} condition exceeded its time "
-                "budget. The call is refused because a guardrail could not be checked. Retry with a "
-                "substantially smaller argument value."
+                f"Refused, as rule '{name}' cannot be decided: the value for its {condition} condition is too "
+                "long. A much shorter value may pass."
             )
             add(
                 all_of([*before, state == 2]),
@@ -373,7 +373,7 @@ def _operator_at(rule: dict, index: int, conditions: list) -> set[str]:
 
 
 def evaluate_policy(
-    calls: DataFrame, policy: dict, explain: bool = False, max_regex_chars: int = MAX_REGEX_CHARS
+    calls: DataFrame, policy: dict, explain: bool = False, max_regex_chars: int | None = None
 ) -> DataFrame:
     """Add the `decision` of the first rule that matches; one projection, no shuffle."""
     validate_policy(policy)
@@ -424,6 +424,7 @@ def rules_table_of(spark, policies: dict[str, dict]) -> DataFrame:
                     "decision": rule.get("decision"),
                     "cost": rule.get("cost"),
                     "message": rule.get("message"),
+                    "approval": _approval_row(rule.get("approval")),
                 }
             )
     return spark.createDataFrame(rows, RULES_SCHEMA)
@@ -432,10 +433,22 @@ def rules_table_of(spark, policies: dict[str, dict]) -> DataFrame:
 RULES_SCHEMA = (
     "policy string, ordinal int, name string, tool string, server string, principal string, "
     f"groups array<string>, annotations {HINT_TYPE}, "
-    "args array<struct<path:string,op:string,operand:string>>, decision string, cost bigint, message string"
+    "args array<struct<path:string,op:string,operand:string>>, decision string, cost bigint, message string, "
+    "approval struct<mode:string,timeout_s:int,on_timeout:string,prompt:string>"
 )
 
 
+def _approval_row(approval: dict | None) -> dict | None:
+    if approval is None:
+        return None
+    return {
+        "mode": approval.get("mode") or "in_band",
+        "timeout_s": approval.get("timeout_s") or C.DEFAULT_APPROVAL_TIMEOUT_S,
+        "on_timeout": approval.get("on_timeout") or DENY,
+        "prompt": approval.get("prompt"),
+    }
+
+
 def _json_equal(value: Column, operand: Column) -> Column:
     return jsonx.normalised_leaf(value) == jsonx.normalised_leaf(operand)
 
@@ -467,8 +480,11 @@ def evaluate_policies(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
     The rules of a policy are gathered into one ordered array (a policy is a document, so the
     group is small) and met by an equi-join on the policy; the first match is then found
-    inside the row.  Calls are never multiplied by rules.
+    inside the row, one rule at a time.  Calls are never multiplied by rules.  The `decision` is the
+    one that `evaluate_policy` would add: unreadable arguments are refused, messages have defaults.
     """
+    kind = "struct<mode:string,timeout_s:int,on_timeout:string,prompt:string>"
+    approval = F.col("approval") if "approval" in rules.columns else F.lit(None).cast(kind)
     compiled = rules.select(
         "policy",
         F.struct(
@@ -490,8 +506,9 @@ def evaluate_policies(calls: DataFrame, rules: DataFrame) -> DataFrame:
                 ),
             ).alias("args"),
             F.coalesce("decision", F.lit(DENY)).alias("decision"),
-            F.coalesce("cost", F.lit(1)).alias("cost"),
+            F.coalesce("cost", F.lit(1)).cast("bigint").alias("cost"),
             "message",
+            approval.alias("approval"),
         ).alias("rule"),
     )
     per_policy = compiled.groupBy("policy").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
@@ -511,30 +528,31 @@ def evaluate_policies(calls: DataFrame, rules: DataFrame) -> DataFrame:
             & F.coalesce(F.forall(r["args"], lambda p: _table_predicate(F.col("args_v"), p)), F.lit(True))
         )
 
-    first = F.get(F.filter("rules", matches), F.lit(0))
-    return (
-        computed_once(joined, "_rule", first)
-        .withColumn(
-            "decision",
-            F.when(
-                F.col("_rule").isNotNull(),
-                F.struct(
-                    F.col("_rule.decision").alias("verdict"),
-                    F.col("_rule.message").alias("reason"),
-                    F.col("_rule.name").alias("rule"),
-                    F.col("_rule.cost").alias("cost"),
-                ),
-            ).otherwise(
-                F.struct(
-                    F.lit(ALLOW).alias("verdict"),
-                    F.lit(DEFAULT_REASON).alias("reason"),
-                    F.lit(None).cast("string").alias("rule"),
-                    F.lit(1).cast("bigint").alias("cost"),
-                )
-            ),
-        )
-        .drop("_rule", "rules")
+    # The fold tests no further rule once one has matched.
+    none = F.lit(None).cast("int")
+    numbers = F.sequence(F.lit(0), F.size("rules") - 1)
+    found = F.aggregate(
+        F.when(F.size("rules") > 0, numbers).otherwise(F.array().cast("array<int>")),
+        none,
+        lambda acc, i: F.when(acc.isNotNull(), acc).when(matches(F.get(F.col("rules"), i)), i),
     )
+    first = F.when(F.col("rules").isNotNull(), F.get(F.col("rules"), found))
+    r = F.col("_rule")
+    by_verdict = F.when(r["decision"] == DENY, F.lit(DENY)).when(r["decision"] == REQUIRE_APPROVAL, F.lit(REQUIRE_APPROVAL)).otherwise(F.lit(ALLOW))
+    head, tail = F.lit(""), F.lit("")
+    for verdict in VERDICTS:
+        before, _, after = _default_message("\x00", verdict).partition("\x00")
+        head = F.when(by_verdict == verdict, F.lit(before)).otherwise(head)
+        tail = F.when(by_verdict == verdict, F.lit(after)).otherwise(tail)
+    null = F.lit(None)
+    matched = F.struct(
+        r["decision"].alias("verdict"), F.coalesce(r["message"], F.concat(head, r["name"], tail)).alias("reason"), r["name"].alias("rule"),
+        F.lit("policy").alias("source"), r["cost"].alias("cost"), r["approval"].alias("approval"),
+        null.alias("approval_result"), null.alias("approval_note"), null.alias("trail"),
+    ).cast(DECISION_TYPE)
+    default = make_decision(ALLOW, F.lit(DEFAULT_REASON), F.lit(None))
+    decision = F.when(unreadable(), _unreadable_decision(None)).when(r.isNotNull(), matched).otherwise(default)
+    return computed_once(computed_once(joined, "_rule", first), "decision", decision).drop("_rule", "rules")
 
 
 # --- regression and what-if ---------------------------------------------------------------

@@ -166,7 +166,7 @@ def argument_rollup(spark, sf):
 @query(
     "deep_arguments",
     """
-SELECT event_id, event_id % 5 >= 3 AS too_large, event_id % 5 IN (1, 3) AS found FROM events""",
+SELECT event_id, event_id % 5 >= 3 AS too_large, event_id % 5 IN (1, 3, 4) AS found FROM events""",
 )
 def deep_arguments(spark, sf):
     e = F.col("event_id")
@@ -176,7 +176,8 @@ def deep_arguments(spark, sf):
     text = F.concat(F.lit("{"), top, F.lit('"a": '), F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth), F.lit("}"))
     calls = load(spark, sf, "events").select(
         "event_id", F.lit("srv__t").alias("tool"),
-        F.when(e % 5 < 3, text).otherwise(F.regexp_replace(text, r"\[\]", '[{"z": 1}]')).alias("arguments"),
+        F.when(e % 5 < 3, text).when(e % 5 == 3, F.regexp_replace(text, r"\[\]", '[{"z": 1}]'))
+        .otherwise(F.regexp_replace(text, r"\[\]", '[{"z": "http://127.0.0.1/"}]')).alias("arguments"),
     )
     hits = F.col("argument_hits.detector")
     return arguments.scan_arguments(calls).select(

@@ -123,16 +123,16 @@ BUDGET_POLICY = {
     "budget_gate",
     with_views(
         f"""
-SELECT c.call_id, CASE WHEN event_type = 'error' THEN 'deny' WHEN NOT resolved THEN 'allow' WHEN c.principal IS NULL THEN 'deny' WHEN y.x.refused IS NOT NULL THEN 'deny' ELSE 'allow' END AS verdict,
-  CASE WHEN event_type = 'error' THEN 'errors' WHEN resolved AND c.principal IS NULL THEN 'principal.unidentified' WHEN y.x.refused IS NOT NULL THEN concat('principal.', y.x.refused) WHEN event_type = 'view' THEN 'views' END AS rule,
-  CASE WHEN event_type = 'error' THEN 'policy' WHEN resolved AND c.principal IS NULL THEN 'budget' WHEN y.x.refused IS NOT NULL THEN 'budget' ELSE 'policy' END AS source
-FROM (SELECT *, user_id % 5 <> 4 AS resolved FROM calls WHERE k % 10 <> 9) c LEFT JOIN ({fold_sql('''(SELECT call_id, ts, principal, CAST(CASE WHEN event_type = 'view' THEN 3 ELSE 1 END AS BIGINT) AS cost FROM calls
+SELECT c.call_id, CASE WHEN k % 10 = 9 OR event_type = 'error' THEN 'deny' WHEN NOT resolved THEN 'allow' WHEN c.principal IS NULL THEN 'deny' WHEN y.x.refused IS NOT NULL THEN 'deny' ELSE 'allow' END AS verdict,
+  CASE WHEN k % 10 = 9 THEN 'arguments.unreadable' WHEN event_type = 'error' THEN 'errors' WHEN resolved AND c.principal IS NULL THEN 'principal.unidentified' WHEN y.x.refused IS NOT NULL THEN concat('principal.', y.x.refused) WHEN event_type = 'view' THEN 'views' END AS rule,
+  CASE WHEN k % 10 = 9 THEN 'scanner' WHEN event_type = 'error' THEN 'policy' WHEN resolved AND c.principal IS NULL THEN 'budget' WHEN y.x.refused IS NOT NULL THEN 'budget' ELSE 'policy' END AS source
+FROM (SELECT *, user_id % 5 <> 4 AS resolved FROM calls) c LEFT JOIN ({fold_sql('''(SELECT call_id, ts, principal, CAST(CASE WHEN event_type = 'view' THEN 3 ELSE 1 END AS BIGINT) AS cost FROM calls
   WHERE k % 10 <> 9 AND event_type <> 'error' AND user_id % 5 <> 4 AND principal IS NOT NULL) c''', 'principal', max_calls=150, max_cost=40)}) y ON y.x.id = c.call_id""",
         "calls",
     ),
 )
 def budget_gate(spark, sf):
-    calls = view(spark, sf, "calls").where("k % 10 <> 9").withColumn("resolved", F.col("user_id") % 5 != 4)
+    calls = view(spark, sf, "calls").withColumn("resolved", F.col("user_id") % 5 != 4)
     decided = policy.evaluate_policy(calls, BUDGET_POLICY)
     out = budgets.gate_budget(decided, Limits("principal", ["principal"], max_calls=150, max_cost=40), chunk_seconds=3600)
     return out.select("call_id", "decision.verdict", "decision.rule", "decision.source")
@@ -183,19 +183,21 @@ APPROVALS = {
     "approval_resolve",
     with_views(
         """
-WITH asked AS (SELECT call_id, ts, CASE WHEN k % 10 < 8 AND k > 40 THEN 'big' ELSE 'buy' END AS rule FROM calls WHERE event_type = 'purchase' AND k % 10 <> 9),
+WITH unreadable AS (SELECT call_id FROM calls WHERE event_type = 'purchase' AND k % 10 = 9),
+asked AS (SELECT call_id, ts, CASE WHEN k % 10 < 8 AND k > 40 THEN 'big' ELSE 'buy' END AS rule FROM calls WHERE event_type = 'purchase' AND k % 10 <> 9),
 answers AS (SELECT call_id, ts + to_seconds(CAST(100 * (call_id % 90) AS INT)) AS at, ['approved', 'declined', 'unavailable', 'failed'][1 + call_id % 4] AS outcome FROM asked WHERE call_id % 7 <> 0
   UNION ALL SELECT call_id, ts + to_seconds(CAST(5000 AS INT)), 'approved' FROM asked WHERE call_id % 3 = 0
   UNION ALL SELECT call_id, ts - to_seconds(CAST(10 AS INT)), 'declined' FROM asked),
 first AS (SELECT q.call_id, arg_min(a.outcome, a.at) AS outcome FROM asked q JOIN answers a ON a.call_id = q.call_id AND a.at >= q.ts AND a.at <= q.ts + to_seconds(CASE q.rule WHEN 'big' THEN 7200 ELSE 3600 END) GROUP BY q.call_id)
 SELECT q.call_id, q.rule, coalesce(outcome, 'timed_out') AS approval, CASE WHEN outcome = 'approved' OR (outcome IS NULL AND rule = 'big') THEN 'allow' ELSE 'deny' END AS verdict,
   CASE WHEN outcome = 'approved' OR (outcome IS NULL AND rule = 'big') THEN 'policy' ELSE 'approval' END AS source
-FROM asked q LEFT JOIN first f ON f.call_id = q.call_id""",
+FROM asked q LEFT JOIN first f ON f.call_id = q.call_id
+UNION ALL SELECT call_id, 'arguments.unreadable', NULL, 'deny', 'scanner' FROM unreadable""",
         "calls",
     ),
 )
 def approval_resolve(spark, sf):
-    calls = view(spark, sf, "calls").where("event_type = 'purchase' AND k % 10 <> 9")
+    calls = view(spark, sf, "calls").where("event_type = 'purchase'")
     c = F.col("call_id")
     outcome = F.element_at(F.array(*[F.lit(o) for o in ("approved", "declined", "unavailable", "failed")]), (c % 4 + 1).cast("int"))
     shifted = lambda n: F.timestamp_add("SECOND", n, F.col("ts"))

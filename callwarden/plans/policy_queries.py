@@ -55,10 +55,10 @@ def policy_first_match(spark, sf):
     with_views(
         f"""
 SELECT CASE rule
-    WHEN 'arguments.unreadable' THEN 'Blocked by guardrails scanner ''arguments.unreadable'': the arguments are not a JSON object with distinct names, so no rule could be checked.'
+    WHEN 'arguments.unreadable' THEN 'Blocked by guardrails scanner ''arguments.unreadable'': No rule could be checked: the arguments are no JSON object, or name a property twice.'
     WHEN 'no-errors' THEN 'Blocked by guardrails policy rule ''no-errors'': errors are off'
-    WHEN 'big-k' THEN 'Blocked by guardrails policy rule ''big-k'': Rule ''big-k'' requires human approval before this call can proceed.'
-    ELSE 'Blocked by guardrails policy rule ''own-space'': This tool is not permitted by rule ''own-space''. Do not retry; choose a different approach.'
+    WHEN 'big-k' THEN 'Blocked by guardrails policy rule ''big-k'': Under rule ''big-k'' a person has to agree to this call first.'
+    ELSE 'Blocked by guardrails policy rule ''own-space'': Rule ''own-space'' forbids this call; try something else.'
     END AS message, count(*) AS calls
 FROM ({_FIRST_MATCH_CASE}) r WHERE rule IN ('arguments.unreadable', 'no-errors', 'big-k', 'own-space') GROUP BY ALL""",
         "calls",
@@ -84,16 +84,16 @@ IDENTITY = {
     "policy_identity",
     with_views(
         """
-SELECT call_id, CASE WHEN user_id % 5 = 3 AND event_type = 'view' THEN 'servers'
+SELECT call_id, CASE WHEN k % 10 = 9 THEN 'arguments.unreadable' WHEN user_id % 5 = 3 AND event_type = 'view' THEN 'servers'
   WHEN lower(principal) LIKE 'user1%@example.com' THEN 'people'
   WHEN principal IS NOT NULL AND user_id % 2 = 0 THEN 'ops'
   WHEN user_id % 5 = 4 AND event_type = 'signup' THEN 'middle' END AS rule
-FROM calls WHERE k % 10 <> 9""",
+FROM calls""",
         "calls",
     ),
 )
 def policy_identity(spark, sf):
-    calls = view(spark, sf, "calls").where("k % 10 <> 9").withColumns(
+    calls = view(spark, sf, "calls").withColumns(
         {
             "server": names.split_tool("tool")["server"],
             "groups": F.when(
@@ -285,20 +285,20 @@ TENANTS = {
     "policies_in_a_table",
     with_views(
         f"""
-SELECT c.call_id, concat('p', user_id % 4) AS policy, CASE
+SELECT c.call_id, concat('p', user_id % 4) AS policy, CASE WHEN c.k % 10 = 9 THEN 'deny'
     WHEN user_id % 4 = 0 THEN CASE f.rule WHEN 'no-errors' THEN 'deny' WHEN 'big-k' THEN 'require_approval' WHEN 'own-space' THEN 'deny' ELSE 'allow' END
     WHEN user_id % 4 = 1 AND event_type = 'view' THEN 'deny'
     WHEN user_id % 4 = 2 AND (regexp_matches(principal, '^User[0-9]@') OR (event_type = 'click' AND c.k % 10 < 8 AND user_id < 10)) THEN 'deny'
     ELSE 'allow' END AS verdict,
-  CASE WHEN user_id % 4 = 0 THEN f.rule
+  CASE WHEN c.k % 10 = 9 THEN 'arguments.unreadable' WHEN user_id % 4 = 0 THEN f.rule
     WHEN user_id % 4 = 1 THEN CASE WHEN event_type = 'view' THEN 'views' WHEN c.k % 10 < 8 AND c.k < 30 THEN 'small' END
     WHEN user_id % 4 = 2 THEN CASE WHEN regexp_matches(principal, '^User[0-9]@') THEN 'who' WHEN event_type = 'click' AND c.k % 10 < 8 AND user_id < 10 THEN 'mid' END END AS rule
-FROM calls c JOIN ({_FIRST_MATCH_CASE}) f ON f.call_id = c.call_id WHERE c.k % 10 <> 9""",
+FROM calls c JOIN ({_FIRST_MATCH_CASE}) f ON f.call_id = c.call_id""",
         "calls",
     ),
 )
 def policies_in_a_table(spark, sf):
-    calls = view(spark, sf, "calls").where("k % 10 <> 9").withColumn("policy", F.concat(F.lit("p"), F.col("user_id") % 4))
+    calls = view(spark, sf, "calls").withColumn("policy", F.concat(F.lit("p"), F.col("user_id") % 4))
     out = policy.evaluate_policies(calls, policy.rules_table_of(spark, TENANTS))
     return out.select("call_id", "policy", "decision.verdict", "decision.rule")
 
