@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwarden.llm.arrays import Hasher, blocks, mix, text_bytes, words
 from callwarden.llm.storage import stored
 
 #: Buckets of token counts, bits that name a token, bits of the filter of wanted sets.
-BUCKETS, NAME, WANTED = 22, 42, 24
+BUCKETS, NAME, WANTED = 24, 42, 24
 _CHUNK = 16
 
 
@@ -86,7 +86,8 @@ def _occurrences(slim: DataFrame, least: int) -> DataFrame:
             key_type = batch.column(0).type
             for lo, _, data, offsets in _each(batch, 2):
                 found = _Lines(data, offsets, least)
-                counts += np.bincount((found.name >> np.uint64(NAME - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS).astype(np.uint32)
+                bucket, n = np.unique(found.name >> np.uint64(NAME - BUCKETS), return_counts=True)
+                counts[bucket] += n.astype(np.uint32)
                 at, n = pa.array(found.doc + lo), len(found.doc)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found.line.astype(np.int32)), pa.array(found.set), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
         if key_type is None:
@@ -124,6 +125,12 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _maybe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold the values."""
+    at = values >> np.uint64(64 - WANTED)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 class Join:
     """The similarity join over the lines of `slim` (key, h, text) at similarity num / den."""
 
@@ -132,9 +139,13 @@ class Join:
         self.context = slim.sparkSession.sparkContext
         self.classes = self.context.broadcast(classes)
 
-    def postings(self) -> DataFrame:
-        """(token, set, key, line, size, pos, bits): the prefix of every line, rarest token first."""
+    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(token, set, key, line, size, pos, bits): the prefix of every line, rarest token first.
+
+        With `wanted` (token), only those of its tokens.
+        """
         least, num, den, shared = self.least, self.num, self.den, self.classes
+        bits = None if wanted is None else self._filter(wanted.select((F.shiftleft("token", 64 - NAME)).alias("v")))
 
         def run(batches):
             for batch in batches:
@@ -144,6 +155,8 @@ class Join:
                     prefix = found.size + (-num * found.size) // den + 1
                     # a token counted once is in no other line
                     use = np.flatnonzero((pos < prefix[found.of]) & (found.code >> np.uint64(NAME) > 0))
+                    if bits is not None:
+                        use = use[_maybe(bits.value, found.name[use] << np.uint64(64 - NAME))]
                     of = found.of[use]
                     for a in range(0, len(of), 1 << 16):
                         o, u = of[a : a + (1 << 16)], use[a : a + (1 << 16)]
@@ -158,10 +171,14 @@ class Join:
         kind = self.slim.schema["key"].dataType.simpleString()
         return self.slim.mapInArrow(run, f"token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint")
 
-    def groups(self, postings: DataFrame) -> DataFrame:
-        """One row per token and set, with the set's earliest place."""
-        place = F.min(F.struct("key", "line")).alias("place")
-        return postings.repartition("token").groupBy("token", "set").agg(place, *[F.first(c).alias(c) for c in ("size", "pos", "bits")])
+    def _filter(self, values: DataFrame):
+        """A broadcast filter of 2 ** WANTED bits for the column v, whatever the number of rows."""
+        at = F.shiftrightunsigned("v", 64 - WANTED)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+        table = np.zeros(1 << WANTED - 6, np.int64)
+        for cell in values.groupBy(F.shiftright(at, 6).alias("cell")).agg(F.bit_or(bit).alias("bits")).collect():
+            table[cell.cell] = cell.bits
+        return self.context.broadcast(table.view(np.uint64))
 
     def passes(self, a: str, b: str) -> Column:
         """Whether the length, positional and sketch filters let a pair through."""
@@ -174,42 +191,50 @@ class Join:
     def later(self, a: str, b: str) -> Column:
         return F.struct(f"{a}.place", f"{a}.set") > F.struct(f"{b}.place", f"{b}.set")
 
-    def first_candidates(self, groups: DataFrame) -> DataFrame:
-        """(x, y, tried): y is earlier than x; `tried` where x was only tried with its group's earliest."""
-        row = F.struct("place", "set", "size", "pos", "bits")
-        earliest = groups.groupBy("token").agg(F.min(row).alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
-        both = groups.select("token", row.alias("x")).join(earliest, "token").where(F.col("x.set") != F.col("p.set")).withColumn("ok", self.passes("x", "p"))
-        tried = both.where("ok").select(F.col("x.set").alias("x"), F.col("p.set").alias("y"), F.lit(True).alias("tried"))
-        others = groups.select("token", row.alias("y"))
-        rest = both.where(~F.col("ok")).select("token", "x").join(others, "token").where(self.later("x", "y") & self.passes("x", "y"))
-        return tried.union(rest.select(F.col("x.set").alias("x"), F.col("y.set").alias("y"), F.lit(False).alias("tried"))).distinct()
-
-    def all_candidates(self, groups: DataFrame, targets: DataFrame) -> DataFrame:
-        """(x, y) for the targets x with every earlier line of their groups."""
-        row = F.struct("place", "set", "size", "pos", "bits")
-        left = groups.join(targets.select(F.col("x").alias("set")), "set").select("token", row.alias("x"))
-        right = groups.select("token", row.alias("y"))
-        found = left.join(right, "token").where(self.later("x", "y") & self.passes("x", "y"))
-        return found.select(F.col("x.set").alias("x"), F.col("y.set").alias("y")).distinct()
+    def first_candidates(self) -> DataFrame:
+        """(token, x, y, tried): candidates of later sets x; `tried` where x met its group's earliest alone.
+
+        A line that occurs several times gives the same candidates several times.
+        """
+        row = F.struct(F.struct("key", "line").alias("place"), "set", "size", "pos", "bits")
+        dealt = self.postings().select("token", row.alias("x")).repartition("token")
+        in_order = Window.partitionBy("token").orderBy("x.place", "x.set").rowsBetween(Window.unboundedPreceding, 0)
+        both = dealt.withColumn("p", F.first("x").over(in_order)).where(F.col("x.set") != F.col("p.set"))
+        both = both.withColumn("ok", self.passes("x", "p"))
+        tried = both.where("ok").select("token", F.col("x.set").alias("x"), F.col("p.set").alias("y"), F.lit(True).alias("tried"))
+        rest = both.where(~F.col("ok"))
+        return tried.union(self._pairs(rest, dealt).select("token", "x", "y", F.lit(False).alias("tried"))).distinct()
+
+    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+        """(token, x, y) for each set x of `left` and each earlier set y of `right` that passes with it.
+
+        Where a set occurs several times its first place counts.
+        """
+        once = lambda df: df.groupBy("token", F.col("x.set").alias("set")).agg(F.min("x").alias("x"))
+        x, y = once(left), once(right).select("token", F.col("x").alias("y"))
+        return (
+            x.join(y, "token").where(self.later("x", "y") & self.passes("x", "y"))
+            .select("token", F.col("x.set").alias("x"), F.col("y.set").alias("y"))
+        )
+
+    def all_candidates(self, targets: DataFrame, tokens: DataFrame) -> DataFrame:
+        """(x, y) for the targets x with every earlier line of the groups of these tokens."""
+        row = F.struct(F.struct("key", "line").alias("place"), "set", "size", "pos", "bits")
+        dealt = self.postings(tokens).join(tokens, "token", "left_semi").select("token", "set", row.alias("x"))
+        left = dealt.join(targets.select(F.col("x").alias("set")), "set", "left_semi")
+        return self._pairs(left.select("token", "x"), dealt.select("token", "x")).select("x", "y").distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that are similar, by their whole token sets."""
         wanted = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
-        bit = F.shiftrightunsigned("set", 64 - WANTED)
-        # a filter of 2 ** WANTED bits, whatever the number of sets
-        cells = wanted.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(set, {64 - WANTED}) & 63 as int))")).alias("v")).collect()
-        table = np.zeros(1 << WANTED - 6, np.int64)
-        for cell in cells:
-            table[cell.cell] = cell.v
-        shared, least = self.context.broadcast(table.view(np.uint64)), self.least
+        shared, least = self._filter(wanted.select(F.col("set").alias("v"))), self.least
 
         def run(batches):
             bits = shared.value
             for batch in batches:
                 for _, _, data, offsets in _each(batch, 2):
                     found = _Lines(data, offsets, least)
-                    b = found.set.view(np.uint64) >> np.uint64(64 - WANTED)
-                    hit = np.flatnonzero(bits[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1))
+                    hit = np.flatnonzero(_maybe(bits, found.set.view(np.uint64)))
                     if len(hit):
                         hit = hit[np.unique(found.set[hit], return_index=True)[1]]
                         lens = found.size[hit]
@@ -227,12 +252,13 @@ class Join:
 
     def matched(self) -> DataFrame:
         """(set): the sets with an earlier similar one.  Runs actions."""
-        first = stored(self.first_candidates(self.groups(self.postings())))
-        done = stored(self.verified(first.select("x", "y").distinct()).select("x").distinct())
-        failed = stored(first.where("tried").select("x").distinct().join(done, "x", "left_anti"))
-        if not failed.isEmpty():
-            again = self.groups(self.postings())
-            more = stored(self.all_candidates(again, failed).join(first.select("x", "y"), ["x", "y"], "left_anti"))
+        first = stored(self.first_candidates())
+        pairs = first.select("x", "y").distinct()
+        done = stored(self.verified(pairs).select("x").distinct())
+        failed = first.where("tried").join(done, "x", "left_anti")
+        targets, tokens = stored(failed.select("x").distinct()), stored(failed.select("token").distinct())
+        if not targets.isEmpty():
+            more = stored(self.all_candidates(targets, tokens).join(pairs, ["x", "y"], "left_anti"))
             done = done.union(self.verified(more).select("x").distinct())
         return done.select(F.col("x").alias("set"))
 
