@@ -15,6 +15,7 @@ from callwarden.plans.policy_queries import FIRST_MATCH, _FIRST_MATCH_CASE, cata
 from callwarden.plans.registry import query
 from callwarden.sources import schemas
 from callwarden.sources.checkpoints import ensure_checkpoint_dir
+from callwarden.sources.io import read_audit, read_pins, write_audit, write_pins
 from callwarden.streaming import jobs
 
 # One audit line per event: who, which tool, how decided, how long, how it ended.
@@ -230,6 +231,49 @@ def full_chain(spark, sf):
     return out.groupBy(F.col("decision.rule").alias("rule"), F.col("decision.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("calls"))
 
 
+_MASKED = """
+SELECT count(*) AS records, count(*) FILTER (WHERE k % 10 = 9) AS unreadable, 0 AS leaks,
+  count(*) FILTER (WHERE k % 10 <> 9) AS masked_passwords, count(*) FILTER (WHERE k % 10 <> 9 AND k % 2 = 0) AS masked_lists FROM calls"""
+
+
+@query("masked_audit", with_views(_MASKED, "calls"))
+def masked_audit(spark, sf):
+    """The log written below the shared folder by day and read back holds no secret, at any depth."""
+    deep = F.concat(F.repeat(F.lit('{"a": ['), F.lit(40)), F.lit('{"password": "correcthorse"}'), F.repeat(F.lit("]}"), F.lit(40)))
+    listed = F.when(F.col("k") % 2 == 0, F.lit('["correcthorse", [31337]]')).otherwise(F.lit("null"))
+    text = F.concat(F.lit('{"deep": '), deep, F.lit(', "api_tokens": null, "secret": '), listed, F.lit("}"))
+    doubled = F.lit('{"password": "correcthorse", "password": 1}')
+    calls = view(spark, sf, "calls").withColumn("arguments", F.when(F.col("k") % 10 == 9, doubled).otherwise(text))
+    path = f"{ensure_checkpoint_dir(spark)}/callwarden-audit-{uuid.uuid4().hex}"
+    write_audit(audit.to_audit(policy.evaluate_policy(calls, FIRST_MATCH)), path)
+    back = read_audit(spark, path)
+    logged = F.coalesce("arguments", F.lit(""))
+    return back.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("arguments").isNull()).alias("unreadable"),
+        F.count_if(logged.rlike("correcthorse|31337")).alias("leaks"),
+        F.count_if(logged.contains('"password":"[REDACTED:sensitive-field]"')).alias("masked_passwords"),
+        F.count_if(logged.contains('"secret":["[REDACTED:sensitive-field]",["[REDACTED:sensitive-field]"]]')).alias("masked_lists"),
+    )
+
+
+@query(
+    "pin_versions",
+    "SELECT 2 AS version, count(*) AS pins, count(DISTINCT concat('srv', p_partkey % 5)) AS servers FROM part",
+)
+def pin_versions(spark, sf):
+    """Two versions of a pins table written and the later one read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/callwarden-pins-{uuid.uuid4().hex}"
+    null = F.lit(None).cast("string")
+    pins = load(spark, sf, "part").select(
+        F.concat(F.lit("srv"), F.col("p_partkey") % 5).alias("server"), null.alias("identity"), null.alias("identity_hint"),
+        F.lit("2024-01-02").cast("timestamp").alias("pinned_at"), F.col("p_name").alias("tool"), F.md5("p_type").alias("hash"), null.alias("definition"),
+    )
+    write_pins(pins.where("false"), path, 1)
+    write_pins(pins, path, 2)
+    return read_pins(spark, path).agg(F.lit(2).alias("version"), F.count(F.lit(1)).alias("pins"), F.countDistinct("server").alias("servers"))
+
+
 # --- streaming ------------------------------------------------------------------------------------
 
 
@@ -306,24 +350,57 @@ def stream_daily_budget(spark, sf):
     return _run(out).select("call_id", F.col("exceeded").isNull().alias("allowed"))
 
 
-@query("stream_approvals")
+@query(
+    "stream_approvals",
+    with_views(
+        """
+WITH asked AS (SELECT call_id, k % 10 < 8 AND k > 40 AS big, k FROM calls WHERE event_type = 'purchase' AND user_id % 2 = 0)
+SELECT call_id, CASE WHEN big THEN 'big' ELSE 'buy' END AS rule,
+  CASE WHEN k % 2 = 0 AND big THEN CASE WHEN k % 3 = 0 THEN 'declined' ELSE 'approved' END ELSE 'timed_out' END AS approval,
+  CASE WHEN k % 2 = 0 AND big AND k % 3 <> 0 THEN 'allow' ELSE 'deny' END AS verdict FROM asked
+WHERE call_id IN (SELECT call_id FROM calls WHERE ts < (SELECT max(ts) FROM calls) - to_seconds(100000))""",
+        "calls",
+    ),
+)
 def stream_approvals(spark, sf):
-    """Requests and answers from the same log; unanswered requests leave with the watermark."""
-    decided = policy.evaluate_policy(
-        _calls_stream(spark, sf).where("event_type = 'purchase'"),
-        {"rules": [{"name": "buy", "match": {"tool": "*__purchase"}, "decision": "require_approval"}]},
-    ).select("call_id", "ts", "decision")
-    answers = (
-        _calls_stream(spark, sf).where("event_type = 'purchase' AND k % 2 = 0")
-        .select(F.col("call_id").alias("request_id"), F.timestamp_add("SECOND", F.lit(60), F.col("ts")).alias("ts"), F.when(F.col("k") % 3 == 0, "declined").otherwise("approved").alias("outcome"))
+    """Answers come after a minute: in time for one rule, too late for the other.
+
+    Requests near the end of the log are still open; they are left out on both sides.
+    """
+    document = {
+        "rules": [
+            {"name": "big", "match": {"tool": "*__purchase", "args": [{"path": "$.k", "gt": 40}]}, "decision": "require_approval", "approval": {"timeout_s": 120}},
+            {"name": "buy", "match": {"tool": "*__purchase"}, "decision": "require_approval", "approval": {"timeout_s": 30}},
+        ]
+    }
+    wanted = "event_type = 'purchase' AND user_id % 2 = 0"
+    calls = _calls_stream(spark, sf)
+    readable = calls.withColumn("arguments", F.when(F.col("k") % 10 < 8, F.col("arguments")))
+    decided = policy.evaluate_policy(readable.where(wanted), document).select("call_id", "ts", "decision")
+    at = lambda seconds: F.timestamp_add("SECOND", F.lit(seconds), F.col("ts")).alias("ts")
+    first = F.when(F.col("k") % 3 == 0, "declined").otherwise("approved").alias("outcome")
+    answers = _calls_stream(spark, sf).where(f"{wanted} AND k % 2 = 0").select(F.col("call_id").alias("request_id"), at(60), first)
+    out = _run(
+        jobs.stream_approvals(decided, answers, longest_s=120)
+        .select("call_id", "ts", "decision.rule", "decision.verdict", F.col("decision.approval_result").alias("approval"))
     )
-    out = jobs.stream_approvals(decided, answers)
-    return _run(out.select("call_id", "decision.verdict", F.col("decision.approval_result").alias("approval")))
+    last = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
+    closed = out.join(F.broadcast(last)).where("ts < last - INTERVAL 100000 SECONDS")  # the right side is one row
+    return closed.select("call_id", "rule", "verdict", "approval")
 
 
-@query("stream_metrics")
+@query(
+    "stream_metrics",
+    with_views(
+        """
+SELECT hour AS "start", tool AS metric_tool, CASE WHEN event_type = 'error' THEN 'tool_error' END AS error_type, count(*) AS calls
+FROM (SELECT *, date_trunc('hour', ts) AS hour FROM calls) c
+WHERE hour + to_seconds(3600) <= (SELECT max(ts) FROM calls) - to_seconds(120) GROUP BY ALL""",
+        "calls",
+    ),
+)
 def stream_metrics(spark, sf):
-    """Call counts per hour and tool; the last window stays open until the watermark passes it."""
+    """Call counts per hour and tool; a window is reported once the watermark has passed it."""
     c = _calls_stream(spark, sf)
     records = c.select(
         F.lit("tool_call").alias("event"), "ts", "tool", F.lit("srv").alias("server"), F.lit("allow").alias("decision"),

@@ -89,13 +89,14 @@ def split_late(calls: DataFrame, horizon: Column | str) -> tuple[DataFrame, Data
 
 
 def stream_approvals(
-    decided: DataFrame, answers: DataFrame, delay: str = "1 minute", timeout_s: int = DEFAULT_APPROVAL_TIMEOUT_S
+    decided: DataFrame, answers: DataFrame, delay: str = "1 minute", longest_s: int = DEFAULT_APPROVAL_TIMEOUT_S
 ) -> DataFrame:
-    """Settle calls that need approval by the answers that arrive within the time limit.
+    """Settle calls that need approval by the answers that arrive within their rule's time limit.
 
     A left outer interval join of two streams: the watermark releases unanswered requests as
-    timed out.  One output row per request and answer; a channel that can answer twice should
-    be deduplicated on `request_id` before.
+    timed out.  `longest_s` is the largest limit of any rule and bounds the state; each request is
+    held to its own limit.  Of several answers to a request the first to arrive counts, so that there
+    is one output row per request.
     """
     left = decided.where("decision.verdict = 'require_approval'").withWatermark("ts", delay).alias("c")
     right = (
@@ -103,11 +104,14 @@ def stream_approvals(
             F.col("request_id").cast("string").alias("request_id"), F.col("ts").alias("answered"), F.col("outcome").alias("answer")
         )
         .withWatermark("answered", delay)
+        .dropDuplicatesWithinWatermark(["request_id"])
         .alias("a")
     )
     within = F.expr(
         f"CAST(c.call_id AS STRING) = a.request_id AND a.answered >= c.ts "
-        f"AND a.answered <= c.ts + INTERVAL {int(timeout_s)} SECONDS"
+        f"AND a.answered <= c.ts + INTERVAL {int(longest_s)} SECONDS "
+        f"AND unix_micros(a.answered) <= unix_micros(c.ts) + 1000000L * "
+        f"coalesce(c.decision.approval.timeout_s, {DEFAULT_APPROVAL_TIMEOUT_S})"
     )
     return joins.settle(left.join(right, within, "leftOuter")).drop("request_id", "answered", "answer")
 
