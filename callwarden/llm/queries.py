@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callwarden.llm import bpe, line_dedup, packing, quality_classifier, sharding, simhash, suffix_index, toxicity, vantage_trees, weak_supervision
 from callwarden.llm.registry import CHECKS, QUERIES, query  # noqa: F401
+from callwarden.llm.sharding_check import sharding_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -25,7 +26,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op5_sharding")
+@query("op5_sharding", sharding_sql(24))
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir), 24)
 
