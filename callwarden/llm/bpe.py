@@ -23,7 +23,7 @@ from callwarden.llm.bpe_words import Splitter, WordEncoder, load_tokenizer, part
 from callwarden.llm.storage import keyed_texts
 
 #: A block ends at so many distinct words or bytes of text.
-BLOCK_WORDS, BLOCK_TEXT = 600_000, 32 << 20
+BLOCK_WORDS, BLOCK_TEXT = 400_000, 20 << 20
 
 
 def _squeeze(numbers: np.ndarray) -> bytes:
