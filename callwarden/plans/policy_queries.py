@@ -222,17 +222,16 @@ def catalog_of(tools):
     )
 
 
+def tool_of_line():
+    """The tool that a row of `lineitem` calls."""
+    key = F.col("l_partkey")
+    verb = F.when(key % 9 == 0, F.lit("deleteItem")).when(key % 9 == 1, F.lit("set-")).when(key % 9 == 2, F.lit("settings_"))
+    return F.concat(F.lit("srv"), key % 5, F.lit("__"), verb.otherwise(F.lit("get_")), key).alias("tool")
+
+
 def tool_calls(spark, sf):
     """Calls of `lineitem` to the tools of `part`, one per line."""
-    return load(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        F.concat(
-            F.lit("srv"), F.col("l_partkey") % 5, F.lit("__"),
-            F.when(F.col("l_partkey") % 9 == 0, F.lit("deleteItem")).when(F.col("l_partkey") % 9 == 1, F.lit("set-"))
-            .when(F.col("l_partkey") % 9 == 2, F.lit("settings_")).otherwise(F.lit("get_")),
-            F.col("l_partkey"),
-        ).alias("tool"),
-    )
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", tool_of_line())
 
 
 @query(
