@@ -125,15 +125,16 @@ def catalog_survey(spark, sf):
     "scan_report_json",
     with_views(
         f"""
-SELECT t.server, t.name, concat('{{"server":"', t.server, '","name":"', t.name, '","findings":[', coalesce(f.j, ''), ']}}') AS report
-FROM (SELECT DISTINCT server, name FROM tools) t LEFT JOIN (SELECT server, name, string_agg(concat('{{"check":"', kind, '","names":["', names, '"],"where":["', place, '"],"advisory":', advisory, '}}'), ','
-    ORDER BY kind, names, place, captured_at) AS j FROM ({_FINDINGS}) x GROUP BY server, name) f ON f.server = t.server AND f.name = t.name""",
-        "tools",
+SELECT t.server, t.name, t.captured_at, concat('{{"server":"', t.server, '","name":"', t.name, '","captured":"', strftime(t.captured_at, '%Y-%m-%dT%H:%M:%SZ'), '","findings":[', coalesce(f.j, ''), ']}}') AS report
+FROM (SELECT DISTINCT server, name, captured_at FROM tools) t LEFT JOIN (SELECT server, name, captured_at, string_agg(concat('{{"check":"', kind, '","names":["', names, '"],"where":["', place, '"],"advisory":', advisory, '}}'), ','
+    ORDER BY kind, names, place) AS j FROM ({_FINDINGS}) x GROUP BY server, name, captured_at) f ON f.server = t.server AND f.name = t.name AND f.captured_at = t.captured_at
+UNION ALL SELECT server, NULL, NULL, concat('{{"server":"', server, '","unavailable":true,"optional":', optional, '}}') FROM launches WHERE NOT reachable""",
+        "tools", "launches",
     ),
 )
 def report_json(spark, sf):
     c = _catalog(spark, sf)
-    return scan_report_json(catalog.tool_findings(c), c)
+    return scan_report_json(catalog.tool_findings(c), c, _servers(spark, sf))
 
 
 @query(

@@ -117,24 +117,32 @@ def write_pins(pins: DataFrame, path: str, version: int) -> None:
     pins.write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
-def scan_report_json(findings: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One JSON text per tool with its findings nested: (server, name, report).
+def scan_report_json(findings: DataFrame, catalog: DataFrame, servers: DataFrame | None = None) -> DataFrame:
+    """One JSON text per tool and capture with its findings nested: (server, name, captured_at, report).
 
     A tool's findings are few; tools stay rows, so that a server of any size is written by many
-    tasks.
+    tasks.  With `servers`, each one that could not be reached has a row without a name.
     """
-    keys = ["server", "name"]
+    keys = ["server", "name", "captured_at"]
     nested = findings.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("check", "names", "where", "advisory"))).alias("findings")
     )
     none = F.array().cast("array<struct<check:string,names:array<string>,where:array<string>,advisory:boolean>>")
-    return (
+    captured = F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured")
+    tools = (
         catalog.select(*keys).distinct().join(nested, keys, "left")
-        .select(*keys, F.to_json(F.struct("server", "name", F.coalesce("findings", none).alias("findings"))).alias("report"))
+        .select(*keys, F.to_json(F.struct("server", "name", captured, F.coalesce("findings", none).alias("findings"))).alias("report"))
+    )
+    if servers is None:
+        return tools
+    unavailable = servers.where(~is_true(F.col("reachable"))).select(
+        "server", F.lit(None).cast("string").alias("name"), F.lit(None).cast("timestamp").alias("captured_at"),
+        F.to_json(F.struct("server", F.lit(True).alias("unavailable"), is_true(F.col("optional")).alias("optional"))).alias("report"),
     )
+    return tools.unionByName(unavailable)
 
 
-def write_scan_report(catalog: DataFrame, path: str) -> None:
+def write_scan_report(catalog: DataFrame, path: str, servers: DataFrame | None = None) -> None:
     """Scan a catalog and write the nested report by server.  Runs an action."""
-    report = scan_report_json(tool_findings(catalog), catalog)
+    report = scan_report_json(tool_findings(catalog), catalog, servers)
     report.select("server", "report").write.mode("errorifexists").partitionBy("server").text(path)
