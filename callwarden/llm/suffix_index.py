@@ -195,7 +195,8 @@ def count_windows(runs: DataFrame, length: int) -> DataFrame:
 def repeated_spans(slim: DataFrame, length: int, gram: int) -> DataFrame:
     """(key, h, spans) of the texts (key, h, text) that hold repeats; spans may overlap."""
     runs = stored(find_runs(slim, length, gram))
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("run").alias("least"), F.max("run").alias("most")).where("c > 1")
+    # written, so that the join below deals out both sides anew and can split a very common anchor
+    anchors = stored(runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("run").alias("least"), F.max("run").alias("most")).where("c > 1"))
     shared = runs.join(anchors, "anchor").withColumn("same", F.col("least") == F.col("most")).drop("c", "least", "most")
     shared = stored(shared)
     differing = shared.where(~F.col("same"))
