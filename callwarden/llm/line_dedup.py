@@ -23,8 +23,10 @@ from callwarden.llm.arrays import Hasher, blocks, mix, text_bytes, words
 from callwarden.llm.storage import stored
 
 #: Buckets of token counts, bits that name a token, bits of the filter of wanted sets.
-BUCKETS, NAME, WANTED = 24, 42, 24
+BUCKETS, NAME, WANTED = 22, 42, 24
 _CHUNK = 16
+#: Bytes of text taken at once.
+BLOCK = 1 << 20
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -72,7 +74,7 @@ class _Lines:
 
 def _each(batch, column):
     data, offsets = text_bytes(batch.column(column))
-    for lo, hi in blocks(offsets):
+    for lo, hi in blocks(offsets, BLOCK):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
@@ -125,6 +127,20 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _earliest(keys: pa.Array, found: _Lines, lo: int) -> np.ndarray:
+    """Which lines of a block are the first of their set there; all, if the keys are no integers.
+
+    A very common line leaves a block once, and its later places never count.
+    """
+    if not pa.types.is_integer(keys.type) or not len(found.set):
+        return np.ones(len(found.set), bool)
+    place = keys.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()[found.doc + lo]
+    order = np.lexsort((found.line, place))
+    once = np.zeros(len(found.set), bool)
+    once[order[np.unique(found.set[order], return_index=True)[1]]] = True
+    return once
+
+
 def _maybe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether the filter may hold the values."""
     at = values >> np.uint64(64 - WANTED)
@@ -152,9 +168,10 @@ class Join:
                 for lo, _, data, offsets in _each(batch, 2):
                     found = _Lines(data, offsets, least, shared.value)
                     pos = np.arange(len(found.of)) - found.first[found.of]
+                    once = _earliest(batch.column(0), found, lo)
                     prefix = found.size + (-num * found.size) // den + 1
                     # a token counted once is in no other line
-                    use = np.flatnonzero((pos < prefix[found.of]) & (found.code >> np.uint64(NAME) > 0))
+                    use = np.flatnonzero(once[found.of] & (pos < prefix[found.of]) & (found.code >> np.uint64(NAME) > 0))
                     if bits is not None:
                         use = use[_maybe(bits.value, found.name[use] << np.uint64(64 - NAME))]
                     of = found.of[use]
@@ -197,7 +214,9 @@ class Join:
         A line that occurs several times gives the same candidates several times.
         """
         row = F.struct(F.struct("key", "line").alias("place"), "set", "size", "pos", "bits")
-        dealt = self.postings().select("token", row.alias("x")).repartition("token")
+        # named columns and the filter that the join would add: all readers share one exchange
+        shared = self.postings().where(F.col("token").isNotNull()).repartition("token")
+        dealt = shared.select("token", row.alias("x"))
         in_order = Window.partitionBy("token").orderBy("x.place", "x.set").rowsBetween(Window.unboundedPreceding, 0)
         both = dealt.withColumn("p", F.first("x").over(in_order)).where(F.col("x.set") != F.col("p.set"))
         both = both.withColumn("ok", self.passes("x", "p"))
