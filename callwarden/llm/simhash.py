@@ -22,13 +22,12 @@ from callwarden.llm.storage import keyed_texts, stored
 BITS, SEGMENTS = 64, 4
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Fingerprints, as big-endian bytes by row, of the documents of a block."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the lower-cased word shingles, their number by document) of a block."""
     docs = len(offsets) - 1
-    out = np.zeros((docs, 8), np.uint8)
     starts, ends, doc = words(data, offsets)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(docs, np.int64)
     count = np.bincount(doc, minlength=docs)
     first = np.cumsum(count) - count
     plain, keep = LOWER[data], ~SPACE[data]
@@ -44,7 +43,15 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.nda
     at = np.repeat(first, per_doc) + np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
     last = np.minimum(at + shingle, np.repeat(first + count, per_doc)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(begin[at].tolist(), end[last].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[s:e], 42) for s, e in zip(begin[at].tolist(), end[last].tolist(), strict=True)], np.uint64), per_doc
+
+
+def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """Fingerprints, as big-endian bytes by row, of the documents of a block."""
+    out = np.zeros((len(offsets) - 1, 8), np.uint8)
+    hashes, per_doc = shingle_hashes(data, offsets, shingle)
+    if not len(hashes):
+        return out
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     some = per_doc > 0
     edge = (np.cumsum(per_doc) - per_doc)[some]

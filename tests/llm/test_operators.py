@@ -16,6 +16,7 @@ from callwarden.llm import (
     packing,
     quality_classifier,
     sharding,
+    shingles,
     simhash,
     suffix_index,
     toxicity,
@@ -339,6 +340,69 @@ def test_simhash(docs, empty, rows, distance):
     assert one.columns == docs.columns and one.count() == len({find(n) for n in range(len(rows))})
 
 
+def shingle_set(text, shingle=5):
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited_copies():
+    """Originals with copies at similarities from 0.7 to 1, some on the edge of 0.8, and a family with a shared head."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    out = []
+    for n in (20, 104, 304):
+        for edits in range(0, max(2, n // 30)):
+            for _ in range(6):
+                w = [word() for _ in range(n)]
+                out.append(" ".join(w))
+                for at in rnd.sample(range(n), edits):
+                    w[at] = word()
+                out.append(" ".join(w))
+    w = [word() for _ in range(94)]
+    # 90 shingles and ten more on either side: 90 of 112 (0.804), then 90 of 114 (0.789)
+    for more in (11, 12):
+        out += [" ".join([*w, *[word() for _ in range(more)]]) for _ in range(2)]
+    base = [word() for _ in range(200)]
+    for _ in range(60):
+        v = list(base)
+        for at in rnd.sample(range(200), rnd.randrange(0, 6)):
+            v[at] = word()
+        out.append(" ".join(v))
+    return list(enumerate(out))
+
+
+def test_near_copies_against_brute_force(spark, docs, empty, rows):
+    both = [*rows, *((1000 + i, t) for i, t in edited_copies())]
+    sets = [shingle_set(t) for _, t in both]
+    root = list(range(len(both)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(both)):
+        for b in range(a):
+            if alike(sets[a], sets[b]):
+                root[find(a)] = find(b)
+    groups = {}
+    for n, (i, t) in enumerate(both):
+        groups.setdefault(find(n), set()).add((-1 if i is None else i, t))
+    frame = spark.createDataFrame(both, "doc_id bigint, text string").repartition(5)
+    got = {}
+    marked = shingles.similar_texts(frame.selectExpr("struct(doc_id, text) as doc_id", "text")).collect()
+    for r in marked:
+        got.setdefault(tuple(r.component), set()).add((-1 if r.doc_id[0] is None else r.doc_id[0], r.doc_id[1]))
+    assert len(marked) == len(both)
+    assert sorted(map(sorted, ([(i, t or "") for i, t in g] for g in got.values()))) == sorted(map(sorted, ([(i, t or "") for i, t in g] for g in groups.values())))
+    assert shingles.one_of_each(frame).count() == len(groups)
+    assert shingles.one_of_each(docs).columns == docs.columns and shingles.one_of_each(empty).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
