@@ -14,6 +14,9 @@ places under an anchor seen elsewhere can repeat.  Neighbouring windows with one
    fill one task; their windows are counted by hash instead.
 
 Work and shuffles follow the bytes that repeat, not the pairs that do.
+
+Passages of a number of words are found the same way in texts whose words are replaced by codes of equal
+width.
 """
 
 from __future__ import annotations
@@ -24,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from callwarden.llm.arrays import Hasher, blocks, text_bytes
+from callwarden.llm.arrays import Hasher, blocks, text_bytes, words
 from callwarden.llm.storage import stored
 
 #: Bytes taken at once, window starts per batch of the index and per task, and different runs of an
 #: anchor beyond which its windows are counted.  None of them changes the result.
 CHUNK, BATCH, TASK, CROWD = 1 << 19, 1 << 13, 150_000, 1024
 
+#: Characters that stand for a word, of 64 different ones: 30 bits of its hash.
+CODE = 5
+_DIGITS = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+-", np.uint8)
+
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of every `width` neighbours, from running minima of blocks."""
@@ -223,10 +230,61 @@ def repeated_spans(slim: DataFrame, length: int, gram: int) -> DataFrame:
     return spans.unionByName(whole).distinct().groupBy("key", "h").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
-def _marked(docs: DataFrame, length: int, gram: int | None, key: str, text: str) -> DataFrame:
+def _coded(slim: DataFrame) -> DataFrame:
+    """`slim` (key, h, text) with CODE characters for each word of the text."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            for lo, hi in blocks(offsets):
+                at = offsets[lo : hi + 1] - offsets[lo]
+                part = data[offsets[lo] : offsets[hi]]
+                starts, ends, doc = words(part, at)
+                h = Hasher(part).ranges(starts, ends)
+                codes = _DIGITS[np.stack([h >> np.uint64(6 * i) & np.uint64(63) for i in range(CODE)], axis=1)].tobytes()
+                edges = np.append(0, np.cumsum(np.bincount(doc, minlength=hi - lo))) * CODE
+                texts = pa.array([codes[a:z].decode() for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), texts], ["key", "h", "text"])
+
+    return slim.mapInArrow(run, slim.schema)
+
+
+def _byte_spans(raw: bytes, spans) -> list[dict]:
+    """Spans of coded words as spans of bytes, from a first word to the end of a last one."""
+    starts, ends, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    a, z = (spans.values.field(f).to_numpy() for f in ("a", "z"))
+    a, z = np.unique(np.stack([-(-a // CODE), z // CODE]), axis=1)
+    begin = np.where(a == 0, 0, starts[a])  # white space at the text's ends goes with its words
+    end = np.where(z == len(ends), len(raw), ends[z - 1])
+    return [{"a": x, "z": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def repeated_word_spans(slim: DataFrame, most: int) -> DataFrame:
+    """(key, h, spans) of the texts (key, h, text) with passages of over `most` words that start elsewhere as well.
+
+    Passages are alike word by word, whatever white space is between; spans are in bytes.
+    """
+    length = (most + 1) * CODE
+    found = repeated_spans(_coded(slim), length, length // 2).withColumnsRenamed({"key": "key2", "h": "h2"})
+
+    def run(batches):
+        for batch in batches:
+            out = [_byte_spans(t.as_buffer().to_pybytes(), s) for t, s in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["key", "h", "spans"])
+
+    joined = slim.join(found, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2"))).select("key", "h", "text", "spans").dropDuplicates(["key", "h"])
+    return joined.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, h bigint, spans array<struct<a:int,z:int>>")
+
+
+def _marked(docs: DataFrame, length: int, gram: int | None, key: str, text: str, most_words: int | None = None) -> DataFrame:
     """(row, text, spans): `row` is the whole row, `spans` its repeats or null."""
     named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), F.coalesce(docs[text], F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    spans = repeated_spans(named.select("key", "h", "text"), length, gram or max(1, length // 2)).withColumnsRenamed({"key": "key2", "h": "h2"})
+    slim = named.select("key", "h", "text")
+    spans = repeated_spans(slim, length, gram or max(1, length // 2))
+    if most_words is not None:
+        both = spans.unionByName(repeated_word_spans(slim, most_words))
+        spans = both.groupBy("key", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.withColumnsRenamed({"key": "key2", "h": "h2"})
     return named.join(spans, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2")), "left").select("row", "text", "spans")
 
 
@@ -265,10 +323,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int | None = None,
     return out.withColumnRenamed("key", key)
 
 
-def without_repeats(docs: DataFrame, length: int = 400, gram: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, gram: int | None = None, key: str = "doc_id", text: str = "text", most_words: int | None = None) -> DataFrame:
     """The rows of `docs` with the repeats cut out of the text; rows with nothing left are left out.
 
-    A character that is cut through goes as a whole.  Runs actions.
+    With `most_words`, repeated passages of more words go too, however few bytes they have.  A character that is cut through goes as a whole.  Runs actions.
     """
 
     def run(batches):
@@ -276,7 +334,7 @@ def without_repeats(docs: DataFrame, length: int = 400, gram: int | None = None,
             out = [None if not s.is_valid else _cut_out(t.as_buffer().to_pybytes(), s)[1].decode("utf-8", "ignore") for t, s in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "left"])
 
-    marked = _marked(docs, length, gram, key, text)
+    marked = _marked(docs, length, gram, key, text, most_words)
     schema = StructType([marked.schema["row"], StructField("left", StringType())])
     done = marked.mapInArrow(run, schema).where("left is null or left <> ''")
     return done.select(*[F.coalesce("left", F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -116,3 +116,53 @@ def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels"):
         table(spark, FOLDER, name).where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_passages_of_over_fifty_words(spark):
+    """In the middle of different lines, and in fewer than 400 bytes; fifty words are not enough."""
+    own = lambda i, n: [f"own{i}x{j}" for j in range(n)]
+    passage = [f"w{j}" for j in range(51)]
+    docs = {i: " ".join([*own(i, 20), *passage, *own(i + 100, 20)]) for i in range(3)}
+    docs[3] = " ".join([*own(3, 20), *passage[:50], *own(103, 20)])
+    docs[4] = "\n".join([*own(4, 20), *passage, *own(104, 20)])  # the same words, other white space
+    docs[5] = docs[6] = " ".join(own(5, 60)) + "\n"
+    assert len(" ".join(passage)) < 323
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in docs.items()], "doc_id bigint, text string, n_chars bigint")
+    left = {i: t.split() for i, t in texts(corpus_pipeline.repeats(spark, frame, FOLDER)).items()}
+    assert left == {**{i: own(i, 20) + own(i + 100, 20) for i in (0, 1, 2, 4)}, 3: docs[3].split()}
+
+
+def repeated_words(docs, most=50):
+    """{id: marks of the bytes} of passages of more words that start at two places."""
+    spans = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for i, t in docs.items()}
+    places = {}
+    for i, t in docs.items():
+        raw = t.encode()
+        words = [raw[a:z] for a, z in spans[i]]
+        for at in range(len(words) - most):
+            places.setdefault(tuple(words[at : at + most + 1]), []).append((i, at))
+    marks = {i: np.zeros(len(t.encode()), bool) for i, t in docs.items()}
+    for found in places.values():
+        for i, at in found if len(found) > 1 else []:
+            last = at + most
+            marks[i][0 if at == 0 else spans[i][at][0] : len(marks[i]) if last == len(spans[i]) - 1 else spans[i][last][1]] = True
+    return marks
+
+
+def test_repeats_by_words_and_bytes_against_brute_force(spark):
+    frame = table(spark, FOLDER).where("text is not null and text <> ''").dropDuplicates(["doc_id"])
+    docs = {r.doc_id: r.text for r in frame.collect()}
+    by_words, places = repeated_words(docs), {}
+    raws = {i: t.encode() for i, t in docs.items()}
+    for i, b in raws.items():
+        for at in range(len(b) - 399):
+            places.setdefault(hash(b[at : at + 400]), []).append((i, at))
+    both = {i: m.copy() for i, m in by_words.items()}
+    for found in places.values():
+        for i, at in found if len(found) > 1 else []:
+            both[i][at : at + 400] = True
+    want = {i: bytes(np.frombuffer(b, np.uint8)[~both[i]]).decode("utf-8", "ignore") for i, b in raws.items()}
+    assert texts(corpus_pipeline.repeats(spark, frame, FOLDER)) == {i: t for i, t in want.items() if t}
+    by_bytes = without_repeats(docs)
+    print("documents that a window of 400 bytes alone leaves otherwise:", sum(by_bytes.get(i, "") != want[i] for i in docs))
+    assert any(by_bytes.get(i, "") != want[i] for i in docs)
