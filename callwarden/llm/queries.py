@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwarden.llm import bpe, line_dedup, packing, quality_classifier, sharding, simhash, suffix_index, toxicity, vantage_trees, weak_supervision
+from callwarden.llm import (
+    bpe,
+    line_dedup,
+    packing,
+    quality_classifier,
+    sharding,
+    simhash,
+    spelling_variants,
+    suffix_index,
+    toxicity,
+    vantage_trees,
+    weak_supervision,
+)
 from callwarden.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 from callwarden.llm.sharding_check import sharding_sql
 
@@ -85,3 +97,8 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(
         "doc_id", "n_bytes", taken.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op12_spelling_variants", spelling_variants.spelling_sql(199))
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir), every=199)
