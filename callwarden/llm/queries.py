@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,12 @@ from callwarden.llm import (
     suffix_index,
     toxicity,
     vantage_trees,
+    warc,
     weak_supervision,
 )
 from callwarden.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 from callwarden.llm.sharding_check import sharding_sql
+from callwarden.sources.checkpoints import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -102,3 +106,11 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants", spelling_variants.spelling_sql(199))
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir), every=199)
+
+
+@query("op11_warc", warc.warc_sql())
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = warc.with_targets(warc.read_archives(spark, folder))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
