@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callwarden.llm import (
     bpe,
+    hyperplane_tree,
     line_dedup,
     packing,
     quality_classifier,
@@ -114,3 +115,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     records = warc.with_targets(warc.read_archives(spark, folder))
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_hard_negatives", hyperplane_tree.negatives_sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hyperplane_tree.hard_negatives(hyperplane_tree.whole_vectors(vectors, 256, label=label))
