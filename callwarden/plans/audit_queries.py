@@ -223,7 +223,7 @@ def full_chain(spark, sf):
         )
     )
     answers = calls.where("false").select(F.col("call_id").alias("request_id"), "ts", F.lit("approved").alias("outcome"))
-    out = decide(calls, catalog_of(view(spark, sf, "tools")), CHAIN, answers=answers, chunk_seconds=86_400 * 30)
+    out = decide(calls, catalog_of(view(spark, sf, "tools")), CHAIN, answers=answers)
     return out.groupBy(F.col("decision.rule").alias("rule"), F.col("decision.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("calls"))
 
 

@@ -66,7 +66,7 @@ def _refusals(out):
     ),
 )
 def budget_cost(spark, sf):
-    return _refusals(budgets.charge_budget(_charged(spark, sf), Limits("session", ["user_id"], max_cost=70), chunk_seconds=3600))
+    return _refusals(budgets.charge_budget(_charged(spark, sf), Limits("session", ["user_id"], max_cost=70)))
 
 
 @query(
@@ -93,7 +93,7 @@ def budget_orders(spark, sf):
         F.col("o_orderkey").alias("call_id"), F.col("o_orderdate").alias("ts"), (F.col("o_custkey") % 100).alias("scope_key"),
         F.floor(F.col("o_totalprice") / 50000).alias("cost"), F.lit(True).alias("chargeable"),
     )
-    return _refusals(budgets.charge_budget(calls, Limits("principal", ["scope_key"], max_cost=120), chunk_seconds=86_400))
+    return _refusals(budgets.charge_budget(calls, Limits("principal", ["scope_key"], max_cost=120)))
 
 
 @query(
@@ -106,7 +106,7 @@ JOIN ({fold_sql(f'({_CHARGED}) c WHERE chargeable', 'user_id', max_cost=70)}) y
     ),
 )
 def budget_spend(spark, sf):
-    out = budgets.charge_budget(_charged(spark, sf), Limits("session", ["user_id"], max_cost=70), chunk_seconds=3600)
+    out = budgets.charge_budget(_charged(spark, sf), Limits("session", ["user_id"], max_cost=70))
     return budgets.spend(out, ["user_id"])
 
 
@@ -134,7 +134,7 @@ FROM (SELECT *, user_id % 5 <> 4 AS resolved FROM calls) c LEFT JOIN ({fold_sql(
 def budget_gate(spark, sf):
     calls = view(spark, sf, "calls").withColumn("resolved", F.col("user_id") % 5 != 4)
     decided = policy.evaluate_policy(calls, BUDGET_POLICY)
-    out = budgets.gate_budget(decided, Limits("principal", ["principal"], max_calls=150, max_cost=40), chunk_seconds=3600)
+    out = budgets.gate_budget(decided, Limits("principal", ["principal"], max_calls=150, max_cost=40))
     return out.select("call_id", "decision.verdict", "decision.rule", "decision.source")
 
 
@@ -163,8 +163,8 @@ def budget_two_scopes(spark, sf):
         F.lit(True).alias("chargeable"),
     )
     out = budgets.charge_two_budgets(
-        budgets.with_day(calls), Limits("session", ["session_id"], max_cost=6),
-        Limits("daily", ["installation", "day"], max_calls=4, max_cost=9), chunk_seconds=21_600,
+        budgets.with_day(calls), Limits("session", ["installation", "session_id"], max_cost=6),
+        Limits("daily", ["installation", "day"], max_calls=4, max_cost=9),
     )
     return out.where("refused_scope IS NOT NULL").select("call_id", F.col("refused_scope").alias("scope"))
 
