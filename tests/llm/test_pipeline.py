@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from test_operators import fingerprint, lines_brute
+from test_operators import alike, lines_brute, shingle_set
 
 import corpus_pipeline
 from callwarden.llm import quality_classifier
@@ -28,7 +28,8 @@ def without_lines(docs):
 
 
 def one_of_each(docs):
-    prints = {i: fingerprint(t, 5) for i, t in docs.items()}
+    """Brute-force Jaccard of five-word shingles."""
+    sets = {i: shingle_set(t) for i, t in docs.items()}
     root = {i: i for i in docs}
 
     def find(i):
@@ -38,13 +39,14 @@ def one_of_each(docs):
 
     for a in docs:
         for b in docs:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 7 and find(a) != find(b):
+            if a < b and alike(sets[a], sets[b]) and find(a) != find(b):
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
     return {i: docs[i] for i in docs if find(i) == i}
 
 
-def without_repeats(docs, length=400):
+def repeated_bytes(docs, length=400):
+    """{id: marks of the bytes} of strings of this length that start at two places."""
     raws = {i: t.encode() for i, t in docs.items()}
     places = {}
     for i, b in raws.items():
@@ -55,14 +57,41 @@ def without_repeats(docs, length=400):
         if len(found) > 1:
             for i, at in found:
                 marks[i][at : at + length] = True
+    return marks
+
+
+def repeated_words(docs, most=50):
+    """{id: marks of the bytes} of passages of more words that start at two places."""
+    spans = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for i, t in docs.items()}
+    places = {}
+    for i, t in docs.items():
+        raw = t.encode()
+        words = [raw[a:z] for a, z in spans[i]]
+        for at in range(len(words) - most):
+            places.setdefault(tuple(words[at : at + most + 1]), []).append((i, at))
+    marks = {i: np.zeros(len(t.encode()), bool) for i, t in docs.items()}
+    for found in places.values():
+        for i, at in found if len(found) > 1 else []:
+            last = at + most
+            marks[i][0 if at == 0 else spans[i][at][0] : len(marks[i]) if last == len(spans[i]) - 1 else spans[i][last][1]] = True
+    return marks
+
+
+def without(docs, *marks):
     out = {}
-    for i, b in raws.items():
-        left = bytes(np.frombuffer(b, np.uint8)[~marks[i]]).decode("utf-8", "ignore")
-        if left or not marks[i].any():
+    for i, t in docs.items():
+        gone = np.logical_or.reduce([m[i] for m in marks])
+        left = bytes(np.frombuffer(t.encode(), np.uint8)[~gone]).decode("utf-8", "ignore")
+        if left or not gone.any():
             out[i] = left
     return out
 
 
+def without_repeats(docs):
+    """Without passages of 400 bytes, or of over 50 words, that start elsewhere as well."""
+    return without(docs, repeated_bytes(docs), repeated_words(docs))
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     """The result of each stage, as it is written and read again."""
@@ -132,37 +161,11 @@ def test_repeated_passages_of_over_fifty_words(spark):
     assert left == {**{i: own(i, 20) + own(i + 100, 20) for i in (0, 1, 2, 4)}, 3: docs[3].split()}
 
 
-def repeated_words(docs, most=50):
-    """{id: marks of the bytes} of passages of more words that start at two places."""
-    spans = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())] for i, t in docs.items()}
-    places = {}
-    for i, t in docs.items():
-        raw = t.encode()
-        words = [raw[a:z] for a, z in spans[i]]
-        for at in range(len(words) - most):
-            places.setdefault(tuple(words[at : at + most + 1]), []).append((i, at))
-    marks = {i: np.zeros(len(t.encode()), bool) for i, t in docs.items()}
-    for found in places.values():
-        for i, at in found if len(found) > 1 else []:
-            last = at + most
-            marks[i][0 if at == 0 else spans[i][at][0] : len(marks[i]) if last == len(spans[i]) - 1 else spans[i][last][1]] = True
-    return marks
-
-
 def test_repeats_by_words_and_bytes_against_brute_force(spark):
     frame = table(spark, FOLDER).where("text is not null and text <> ''").dropDuplicates(["doc_id"])
     docs = {r.doc_id: r.text for r in frame.collect()}
-    by_words, places = repeated_words(docs), {}
-    raws = {i: t.encode() for i, t in docs.items()}
-    for i, b in raws.items():
-        for at in range(len(b) - 399):
-            places.setdefault(hash(b[at : at + 400]), []).append((i, at))
-    both = {i: m.copy() for i, m in by_words.items()}
-    for found in places.values():
-        for i, at in found if len(found) > 1 else []:
-            both[i][at : at + 400] = True
-    want = {i: bytes(np.frombuffer(b, np.uint8)[~both[i]]).decode("utf-8", "ignore") for i, b in raws.items()}
-    assert texts(corpus_pipeline.repeats(spark, frame, FOLDER)) == {i: t for i, t in want.items() if t}
-    by_bytes = without_repeats(docs)
-    print("documents that a window of 400 bytes alone leaves otherwise:", sum(by_bytes.get(i, "") != want[i] for i in docs))
-    assert any(by_bytes.get(i, "") != want[i] for i in docs)
+    want = without_repeats(docs)
+    assert texts(corpus_pipeline.repeats(spark, frame, FOLDER)) == want
+    by_bytes = without(docs, repeated_bytes(docs))
+    print("documents that a window of 400 bytes alone leaves otherwise:", sum(by_bytes.get(i, "") != want.get(i, "") for i in docs))
+    assert any(by_bytes.get(i, "") != want.get(i, "") for i in docs)
