@@ -162,13 +162,14 @@ def write_archives(
     rows = pages.select(pages[key].cast("bigint").alias("key"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"), data.alias("payload"))
     digest = F.unhex(F.sha1("payload")).alias("digest")
     narrow = stored(rows.select("key", "url", F.length("payload").cast("bigint").alias("size"), digest))
-    shard = _shard(F.col("key"), _bounds(narrow, shard_bytes))
+    bounds = _bounds(narrow, shard_bytes)
+    shard = _shard(F.col("key"), bounds)
     same = narrow.where(F.col("key").isNotNull() & (F.col("size") >= revisit_from))
     best = same.groupBy("digest").agg(F.max(F.struct("key", "url")).alias("best"), F.count("*").alias("c")).where("c > 1").select("digest", "best")
     decided = same.select("key", "digest").distinct().join(best, "digest").where(F.col("key") < F.col("best.key"))
     decided = decided.select("key", F.lit(None).cast("string").alias("url"), F.lit(b"").alias("payload"), "digest", F.lit(0).alias("kind"), "best")
     records = rows.select("key", "url", "payload", digest, F.lit(1).alias("kind"), F.lit(None).cast("struct<key:bigint,url:string>").alias("best"))
-    sorted_ = decided.union(records).withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "key", "digest", "kind", F.desc("url"))
+    sorted_ = decided.union(records).withColumn("shard", shard).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "key", "digest", "kind", F.desc("url"))
     slim = sorted_.select("shard", "key", "url", "payload", "digest", "kind", F.col("best.key").alias("best_key"), F.col("best.url").alias("best_url"))
 
     def run(batches):
@@ -257,6 +258,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False, batc
     the record that a revisit refers to.  Digests are without their `sha1:`.  Files are read as streams, a record at a time.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").select("name", "records")
+    tasks = min(MOST_SHARDS, manifest.count()) or 1
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = [part.split(" ")[0] for part in RECORD.split(", ")]
     if payloads:
@@ -293,7 +295,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False, batc
                     if count != records:
                         raise ValueError(f"{name} has {count} records instead of {records}")
 
-    return manifest.repartition("name").mapInArrow(run, RECORD + (", payload binary" if payloads else ""))
+    return manifest.repartition(tasks, "name").mapInArrow(run, RECORD + (", payload binary" if payloads else ""))
 
 
 def with_targets(records: DataFrame) -> DataFrame:
