@@ -300,8 +300,11 @@ def cut_label(label: Column) -> Column:
 
 # --- rewriting ----------------------------------------------------------------
 
-#: Pieces of compact JSON: strings (with the colon after a name), brackets, commas, other scalars.
-_PIECES = r'"(?:[^"\\]|\\.)*":?|[{}\[\],]|[^\s"{}\[\],:]+'
+#: Pieces of compact JSON: strings (with the colon after a name), brackets, commas, other scalars.  Repeats
+#: are possessive, so that a string of any length is matched in a loop.
+_PIECES = r'"[^"\\]*+(?:\\.[^"\\]*+)*+":?|[{}\[\],]|[^\s"{}\[\],:]++'
+#: Pieces that are put together at a time: texts are copied as often as pieces are added to them.
+_BLOCK = 256
 
 
 def quoted(text: Column) -> Column:
@@ -316,30 +319,46 @@ def unquoted(piece: Column) -> Column:
     return F.when(~piece.contains("\\"), plain).otherwise(F.get_json_object(F.concat(F.lit('{"t":'), piece, F.lit("}")), "$.t"))
 
 
-def rewrite_scalars(text: Column, change) -> Column:
-    """Compact JSON with every scalar value replaced by change(piece, name).
+def rewrite_scalars(text: Column, is_marked, change) -> Column:
+    """Compact JSON with every scalar value replaced by change(piece, marked).
 
-    `name` is the nearest enclosing property, which items of arrays inherit at any depth; names
-    and structure stay.  One fold over the pieces of the text, so values are replaced where they stand.
+    `marked` says whether the value hangs, at any depth, under a property whose name is_marked(name)
+    picks; names and structure stay.  A fold over the pieces of the text, in blocks whose results are joined
+    once: what it takes grows with the length of the text, whatever is in it.
     """
-    none = F.lit(None).cast("string")
-    start = F.struct(F.lit("").alias("out"), F.array().cast("array<string>").alias("outer"), none.alias("name"))
 
-    def state(out: Column, outer: Column, name: Column) -> Column:
-        return F.struct(out.alias("out"), outer.alias("outer"), name.alias("name"))
+    def state(out: Column, depth: Column, since: Column, named: Column) -> Column:
+        return F.struct(out.alias("out"), depth.alias("depth"), since.alias("since"), named.alias("named"))
+
+    # `since`: the depth of the outermost container under a marked name, 0 outside; `named`: the value
+    # that comes next has a marked name of its own.
+    none, no = F.lit(0), F.lit(False)
 
     def step(acc: Column, piece: Column) -> Column:
-        onward = F.concat(acc["out"], piece)
+        onward, depth, since = F.concat(acc["out"], piece), acc["depth"], acc["since"]
         is_name = piece.startswith('"') & piece.endswith('":')
+        name = unquoted(F.substring(piece, F.lit(1), F.length(piece) - 1))
         return (
-            F.when(is_name, state(onward, acc["outer"], unquoted(F.substring(piece, F.lit(1), F.length(piece) - 1))))
-            .when(piece.isin("{", "["), state(onward, F.concat(acc["outer"], F.array(acc["name"])), F.when(piece == "[", acc["name"])))
-            .when(
-                piece.isin("}", "]"),
-                state(onward, F.slice(acc["outer"], F.lit(1), F.size(acc["outer"]) - 1), F.element_at(acc["outer"], -1)),
-            )
-            .when(piece == ",", state(onward, acc["outer"], acc["name"]))
-            .otherwise(state(F.concat(acc["out"], change(piece, acc["name"])), acc["outer"], acc["name"]))
+            F.when(is_name, state(onward, depth, since, (since == 0) & is_marked(name)))
+            .when(piece.isin("{", "["), state(onward, depth + 1, F.when((since == 0) & acc["named"], depth + 1).otherwise(since), no))
+            .when(piece.isin("}", "]"), state(onward, depth - 1, F.when(since == depth, none).otherwise(since), no))
+            .when(piece == ",", state(onward, depth, since, no))
+            .otherwise(state(F.concat(acc["out"], change(piece, acc["named"] | (since > 0))), depth, since, no))
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    blocks = lambda all_: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _BLOCK).cast("int")), lambda i: F.slice(all_, i * _BLOCK + 1, F.lit(_BLOCK))
+    )
+    begin = F.struct(F.array().cast("array<string>").alias("parts"), state(F.lit(""), none, none, no).alias("last"))
+
+    def block(acc: Column, some: Column) -> Column:
+        last = acc["last"]
+        return F.struct(
+            F.concat(acc["parts"], F.array(last["out"])).alias("parts"),
+            F.aggregate(some, state(F.lit(""), last["depth"], last["since"], last["named"]), step).alias("last"),
         )
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), start, step, lambda acc: acc["out"])
+    whole = lambda acc: F.array_join(F.concat(acc["parts"], F.array(acc["last"]["out"])), "")
+    # the pieces are taken apart once: a one-element array hands them to the fold
+    return F.element_at(F.transform(F.array(pieces), lambda all_: F.when(F.size(all_) == 0, F.lit("")).otherwise(F.aggregate(blocks(all_), begin, block, whole))), 1)

@@ -260,14 +260,13 @@ _SIGNS = r"(?i)\\|-----BEGIN|eyJ|AKIA|ASIA|gh[pousr]_|github_pat_|@|[0-9]{4}|" +
 def redact_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
     """Add `arguments_redacted` (compact JSON) and `argument_secrets` (kinds found).
 
-    Strings are masked after JSON decoding.  Whatever hangs under a credential's name, directly or
-    as an item of arrays, is masked whole: strings, numbers and booleans, unless nothing but one known
+    Strings are masked after JSON decoding.  Whatever hangs under a credential's name, directly or inside
+    objects and arrays at any depth, is masked whole: strings, numbers and booleans, unless nothing but one known
     marker is left of it.  Names and structure stay.  Texts without any sign of a secret are not taken apart.
     """
     field, markers = secrets.marker(secrets.SENSITIVE_FIELD), [secrets.marker(k) for k in secrets.patterns(True)]
 
-    def change(piece: Column, name: Column) -> Column:
-        own = is_true(secrets.is_credential_key(name))
+    def change(piece: Column, own: Column) -> Column:
         text = jsonx.unquoted(piece)
         plain = secrets.redact_text(text, pii)
         whole = own & (F.length(text) > 0) & ~plain.isin(*markers)
@@ -280,7 +279,7 @@ def redact_arguments(calls: DataFrame, pii: bool = False) -> DataFrame:
     text = F.to_json("args_v")
     suspect = is_true(text.rlike(_SIGNS))
     out = computed_once(
-        with_inputs(calls), "arguments_redacted", F.when(suspect, jsonx.rewrite_scalars(text, change)).otherwise(text)
+        with_inputs(calls), "arguments_redacted", F.when(suspect, jsonx.rewrite_scalars(text, secrets.is_credential_key, change)).otherwise(text)
     )
     return out.withColumn("argument_secrets", secrets.kinds_in_redacted("arguments_redacted", pii))
 

@@ -113,8 +113,15 @@ FROM {supplier}
 """
 
 
+#: Session setting of the caller: input tables are dealt to so many partitions.  For tables of a few files with one
+#: row group each, which Spark reads in one task a file; left unset, files are read as they are.
+INPUT_PARTITIONS = "spark.callwarden.inputPartitions"
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

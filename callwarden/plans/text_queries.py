@@ -299,7 +299,8 @@ def result_secrets(spark, sf):
 @query(
     "redact_arguments",
     """
-SELECT doc_id, concat('{"api_key":"[REDACTED:sensitive-field]","nested":{"items":["',
+SELECT doc_id, concat('{"api_key":"[REDACTED:sensitive-field]","auth":{"basic":["[REDACTED:sensitive-field]",{"deep":{"x":"[REDACTED:sensitive-field]"}}],"ok":"[REDACTED:sensitive-field]"},',
+  '"list":[{"password":{"value":"[REDACTED:sensitive-field]"}},"k ', doc_id, '"],"nested":{"items":["',
   CASE doc_id % 3 WHEN 0 THEN '[REDACTED:aws-access-key] end' WHEN 1 THEN concat('mail [REDACTED:email] ', doc_id) ELSE concat('plain ', doc_id) END,
   '",', doc_id, '],"secret_note":',
   CASE WHEN doc_id % 2 = 0 THEN '"[REDACTED:jwt]"' ELSE '"[REDACTED:sensitive-field]"' END,
@@ -317,7 +318,8 @@ def redact_arguments(spark, sf):
         .otherwise(F.concat(F.lit("plain "), d))
     )
     body = F.concat(
-        F.lit('{"api_key": "'), F.concat(F.lit("k"), d), F.lit('", "nested": {"items": ["'), item, F.lit('", '), d.cast("string"),
+        F.lit('{"api_key": "'), F.concat(F.lit("k"), d), F.lit('", "auth": {"basic": ["u", {"deep": {"x": '), d.cast("string"), F.lit('}}], "ok": true}, "list": [{"password": {"value": "'),
+        d.cast("string"), F.lit('"}}, "k '), d.cast("string"), F.lit('"], "nested": {"items": ["'), item, F.lit('", '), d.cast("string"),
         F.lit('], "secret_note": '), F.when(d % 2 == 0, F.lit('"[REDACTED:jwt]"')).otherwise(F.lit("7")),
         F.lit('}, "passwords": null, "token": ["[REDACTED:jwt] correcthorse", [['), d.cast("string"), F.lit("]], null]}"),
     )
