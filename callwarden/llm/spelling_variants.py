@@ -26,6 +26,8 @@ from callwarden.llm.storage import stored
 RUNS = "[A-Za-z\\u00C0-\\u00FF]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+#: Pairs of letters that are broadcast at most; the alphabet of RUNS has 8,100.
+MOST_PAIRS = 100_000
 #: (change of length, change of place) of a bigram that one change leaves whole.
 SHIFTS = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
 
@@ -51,7 +53,8 @@ def _grams(words: DataFrame) -> DataFrame:
     size = F.length("word")
     place = F.explode(F.sequence(F.lit(1), size - 1)).alias("place")
     single = words.select("word", size.alias("size"), place).withColumn("gram", F.expr("substr(word, place, 2)"))
-    held = single.groupBy("gram").agg(F.count("*").alias("held"))  # a row per pair of letters
+    held = stored(single.groupBy("gram").agg(F.count("*").alias("held")))  # a row per pair of letters
+    held = F.broadcast(held) if held.count() <= MOST_PAIRS else held
     rows = single.join(held, "gram").groupBy("word", "size")
     return rows.agg(F.array_sort(F.collect_list(F.struct("held", "gram", "place"))).alias("grams"))
 
