@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from callwarden import constants as C
 from callwarden.operators import audit, budgets, policy
 from callwarden.operators.budgets import Limits
+from callwarden.plans.budget_queries import fold_sql
 from callwarden.plans.flows import decide
 from callwarden.plans.inputs import load, view, with_views
 from callwarden.plans.policy_queries import FIRST_MATCH, _FIRST_MATCH_CASE, catalog_of, tool_of_line
 from callwarden.plans.registry import query
 from callwarden.sources import schemas
-from callwarden.sources.checkpoints import ensure_checkpoint_dir
+from callwarden.sources.checkpoints import cut_lineage, ensure_checkpoint_dir
 from callwarden.sources.io import read_audit, read_pins, write_audit, write_pins
 from callwarden.streaming import jobs
 
@@ -279,8 +280,11 @@ def _stream(spark, sf, table: str):
 
 
 def _calls_stream(spark, sf):
+    return _calls_of(_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _calls_of(events):
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return events.select(
         F.col("event_id").alias("call_id"), "ts", "user_id", "event_type", "value", k.alias("k"),
         F.concat(F.lit("srv"), F.col("user_id") % 5, F.lit("__"), "event_type").alias("tool"),
@@ -288,10 +292,10 @@ def _calls_stream(spark, sf):
     )
 
 
-def _run(out, mode: str = "append"):
+def _run(out, mode: str = "append", base: str | None = None):
     """Run a stream over what there is, into the shared folder, and read the result."""
     spark = out.sparkSession
-    base = f"{ensure_checkpoint_dir(spark)}/callwarden-stream-{uuid.uuid4().hex}"
+    base = base or f"{ensure_checkpoint_dir(spark)}/callwarden-stream-{uuid.uuid4().hex}"
     started = (
         out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start(f"{base}/out")
@@ -300,6 +304,22 @@ def _run(out, mode: str = "append"):
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
+def _run_in_turns(spark, parts, job):
+    """The result of a stream job whose input arrives in parts, one after the other.
+
+    The query is started again for each part and goes on from its checkpoint.
+    """
+    base = f"{ensure_checkpoint_dir(spark)}/callwarden-stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        out = _run(job(spark.readStream.schema(part.schema).parquet(f"{base}/in")), base=base)
+    return out
+
+
+def _calls_batch(spark, sf):
+    return _calls_of(load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 STREAM_POLICY = {"rules": [{"name": "no-errors", "match": {"tool": "*__error"}}, {"name": "k", "match": {"args": [{"path": "$.k", "gt": 70}]}, "decision": "require_approval"}]}
 
 
@@ -346,6 +366,67 @@ def stream_daily_budget(spark, sf):
     return _run(out).select("call_id", F.col("exceeded").isNull().alias("allowed"))
 
 
+_RESUMED = "SELECT CAST(call_id AS VARCHAR) AS call_id, ts, user_id, CAST(k % 6 AS BIGINT) AS cost FROM calls WHERE event_type <> 'error'"
+
+
+@query(
+    "stream_budget_resumed",
+    with_views(
+        f"SELECT x.id AS call_id, x.refused AS exceeded, CAST(x.used AS BIGINT) AS used FROM ({fold_sql(f'({_RESUMED}) c', 'user_id', max_calls=40, max_cost=75, id_type='VARCHAR')}) y WHERE x.refused IS NOT NULL",
+        "calls",
+    ),
+)
+def stream_budget_resumed(spark, sf):
+    """The first half of the log is charged as a batch; a stream goes on from its counters, in three turns."""
+    calls = _calls_batch(spark, sf).select(
+        F.col("call_id").cast("string").alias("call_id"), "ts", "user_id", (F.col("k") % 6).alias("cost"), (F.col("event_type") != "error").alias("chargeable")
+    )
+    first, last = calls.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * share for share in (0.5, 0.65, 0.8)]
+    limits = Limits("session", ["user_id"], max_calls=40, max_cost=75)
+    before = cut_lineage(budgets.charge_budget(calls.where(F.col("ts") < cuts[0]), limits))
+    bounds = [*cuts, None]
+    parts = [calls.where((F.col("ts") >= a) & ((F.col("ts") < b) if b is not None else F.lit(True))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    spent = budgets.spend(before, ["user_id"])
+    after = _run_in_turns(spark, parts, lambda stream: jobs.stream_budget(stream, limits, spent))
+    refused = before.where("refused IS NOT NULL").select("call_id", F.col("refused.exceeded").alias("exceeded"), F.col("refused.used").alias("used"))
+    return refused.unionByName(after.where("exceeded IS NOT NULL").select("call_id", "exceeded", "used"))
+
+
+# Calls come in three turns by thirds of the log's time; every 17th call of the first two comes a turn late.
+_LATE = """
+SELECT call_id, ts, installation, day, k, turn, max(last) OVER (ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+FROM (SELECT *, max(ts) OVER (PARTITION BY turn) AS last FROM (
+  SELECT CAST(call_id AS VARCHAR) AS call_id, ts, user_id % 10 AS installation, CAST(ts AS DATE) AS day, k,
+    third + CASE WHEN third < 2 AND k % 17 = 0 THEN 1 ELSE 0 END AS turn
+  FROM (SELECT c.*, CASE WHEN epoch_us(ts) - lo < (hi - lo) // 3 THEN 0 WHEN epoch_us(ts) - lo < 2 * ((hi - lo) // 3) THEN 1 ELSE 2 END AS third
+    FROM calls c, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM calls) b) d) e) f"""
+
+
+@query(
+    "stream_late_calls",
+    with_views(
+        f"""
+WITH came AS ({_LATE}),
+open AS (SELECT * FROM came WHERE seen IS NULL OR CAST(day AS TIMESTAMP) + INTERVAL 1 DAY > seen - INTERVAL 1 HOUR)
+SELECT call_id, 'unavailable' AS exceeded FROM came WHERE call_id NOT IN (SELECT call_id FROM open)
+UNION ALL SELECT call_id, 'max_calls' FROM (SELECT call_id, row_number() OVER (PARTITION BY installation, day ORDER BY turn, ts, call_id) AS rn FROM open) r WHERE rn > 5""",
+        "calls",
+    ),
+)
+def stream_late_calls(spark, sf):
+    """Daily budgets of a stream with calls that come after their day was closed."""
+    calls = _calls_batch(spark, sf)
+    lo, hi = calls.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    since, third = F.unix_micros("ts") - lo, (hi - lo) // 3
+    turn = F.when(since < third, 0).when(since < 2 * third, 1).otherwise(2)
+    came = calls.withColumns({"chargeable": F.lit(True), "cost": F.lit(1), "installation": F.col("user_id") % 10})
+    came = cut_lineage(came.withColumn("turn", turn + F.when((turn < 2) & (F.col("k") % 17 == 0), 1).otherwise(0)))
+    limits = Limits("daily", ["installation", "day"], max_calls=5)
+    out = _run_in_turns(spark, [came.where(F.col("turn") == n).drop("turn") for n in range(3)], lambda stream: jobs.stream_budget(stream, limits, delay="1 hour"))
+    return out.where("exceeded IS NOT NULL").select("call_id", "exceeded")
+
+
 @query(
     "stream_approvals",
     with_views(

@@ -12,20 +12,20 @@ from callwarden.plans.registry import query
 # Charging in order, one call after the other, as a fold over the calls of a scope.
 _FOLD = """
 SELECT {keys}, unnest(r.log) AS x FROM (
-  SELECT {keys}, list_reduce([{{'log': [], 'calls': CAST(0 AS BIGINT), 'spent': CAST(0 AS BIGINT), 'id': CAST(0 AS BIGINT), 'cost': CAST(0 AS BIGINT)}}] || list({{'log': [], 'calls': CAST(0 AS BIGINT),
+  SELECT {keys}, list_reduce([{{'log': [], 'calls': CAST(0 AS BIGINT), 'spent': CAST(0 AS BIGINT), 'id': CAST(0 AS {id_type}), 'cost': CAST(0 AS BIGINT)}}] || list({{'log': [], 'calls': CAST(0 AS BIGINT),
       'spent': CAST(0 AS BIGINT), 'id': call_id, 'cost': cost}} ORDER BY ts, call_id),
     lambda a, b: {{'log': a.log || [{{'id': b.id, 'refused': CASE WHEN {calls} THEN 'max_calls' WHEN {cost} THEN 'max_cost' END, 'used': CASE WHEN {calls} THEN a.calls ELSE a.spent END}}],
       'calls': a.calls + CASE WHEN {calls} OR {cost} THEN 0 ELSE 1 END, 'spent': a.spent + CASE WHEN {calls} OR {cost} THEN 0 ELSE b.cost END, 'id': b.id, 'cost': b.cost}}) AS r
   FROM {source} GROUP BY {keys}) f"""
 
 
-def fold_sql(source: str, keys: str, max_calls: int | None = None, max_cost: int | None = None) -> str:
+def fold_sql(source: str, keys: str, max_calls: int | None = None, max_cost: int | None = None, id_type: str = "BIGINT") -> str:
     """Rows (keys, x.id, x.refused, x.used) of a sequential charge."""
     sql = _FOLD.format(
-        source=source, keys=keys, calls="false" if max_calls is None else f"a.calls >= {max_calls}",
+        source=source, keys=keys, id_type=id_type, calls="false" if max_calls is None else f"a.calls >= {max_calls}",
         cost="false" if max_cost is None else f"b.cost > {max_cost} - a.spent",
     )
-    log = "CAST([] AS STRUCT(id BIGINT, refused VARCHAR, used BIGINT)[])"
+    log = f"CAST([] AS STRUCT(id {id_type}, refused VARCHAR, used BIGINT)[])"
     return sql.replace("'log': []", f"'log': {log}")
 
 

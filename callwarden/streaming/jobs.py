@@ -6,13 +6,14 @@ projections and joins with static tables, and run on a streaming frame as they a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import datetime as dt
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callwarden.constants import DEFAULT_APPROVAL_TIMEOUT_S
 from callwarden.operators import audit, joins
@@ -25,59 +26,114 @@ BUDGET_OUTPUT = (
     "requested bigint"
 )
 BUDGET_STATE = "calls bigint, spent bigint"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
 
 
-def _charge(limits: Limits) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    max_calls, max_cost = limits.max_calls, limits.max_cost
+class Charge(StatefulProcessor):
+    """Counters of one scope, charged a trigger at a time; ended by a timer in event time.
 
-    def charge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    `day` is the place of the UTC day among the keys, if it is one of them: its scope ends with the day.  `idle_ms`
+    ends other scopes so long after their last call.
+    """
+
+    def __init__(self, limits: Limits, day: int | None, idle_ms: int | None):
+        self.limits, self.day, self.idle_ms = limits, day, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spent = handle.getValueState("spent", BUDGET_STATE)
+
+    def _end(self, key: tuple, last_ms: int) -> int | None:
+        """When the scope ends, in milliseconds; None for never."""
+        if self.day is not None:
+            return ((key[self.day] - dt.date(1970, 1, 1)).days + 1) * DAY_MS
+        return None if self.idle_ms is None else last_ms + self.idle_ms
+
+    def _set_end(self, end: int | None) -> None:
+        if end is not None:
+            for timer in list(self.handle.listTimers()):
+                if timer != end:
+                    self.handle.deleteTimer(timer)
+            self.handle.registerTimer(end)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.spent.update((int(row["calls"]), int(row["cost"])))
+        self._set_end(self._end(key, int(row["last_ms"])))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One trigger's rows of one scope; `maxFilesPerTrigger` and the like bound them.
-        rows = pd.concat(list(batches)).sort_values(["ts", "call_id"], kind="stable")
-        calls, spent = state.get if state.exists else (0, 0)
-        exceeded, used, cap, requested = [], [], [], []
-        for cost in rows["cost"]:
-            cost = int(cost)
-            verdict: tuple[Any, Any, Any, Any] = (None, None, None, None)
-            if max_calls is not None and calls >= max_calls:
-                verdict = ("max_calls", calls, max_calls, 1)
-            elif max_cost is not None and cost > max_cost - spent:
-                verdict = ("max_cost", spent, max_cost, cost)
-            else:
-                calls, spent = calls + 1, min(LONG_MAX, spent + cost)
-            for column, value in zip((exceeded, used, cap, requested), verdict, strict=True):
-                column.append(value)
-        state.update((calls, spent))
+        calls_in = pd.concat(list(rows)).sort_values(["ts", "call_id"], kind="stable")
+        costs = [int(c) for c in calls_in["cost"]]
+        verdicts: list[tuple[Any, Any, Any, Any]] = [(None, None, None, None)] * len(costs)
+        now = timerValues.getCurrentWatermarkInMs()
+        end = self._end(key, int(calls_in["last_ms"].max()))
+        if self.day is not None and now >= end:
+            # The day is closed and its counters are gone: nothing can be metered against it.
+            verdicts = [("unavailable", None, None, None)] * len(costs)
+        else:
+            calls, spent = self.spent.get() if self.spent.exists() else (0, 0)
+            calls, spent = int(calls), int(spent)
+            for i, cost in enumerate(costs):
+                if self.limits.max_calls is not None and calls >= self.limits.max_calls:
+                    verdicts[i] = ("max_calls", calls, self.limits.max_calls, 1)
+                elif self.limits.max_cost is not None and cost > self.limits.max_cost - spent:
+                    verdicts[i] = ("max_cost", spent, self.limits.max_cost, cost)
+                else:
+                    calls, spent = calls + 1, min(LONG_MAX, spent + cost)
+            self.spent.update((calls, spent))
+            self._set_end(end)
         yield pd.DataFrame(
             {
-                "ts": rows["ts"],
-                "call_id": rows["call_id"],
-                "cost": rows["cost"],
+                "ts": calls_in["ts"].array,
+                "call_id": calls_in["call_id"].array,
+                "cost": costs,
                 "scope": "/".join(str(k) for k in key),
-                "exceeded": exceeded,
-                "used": pd.array(used, dtype="Int64"),
-                "cap": pd.array(cap, dtype="Int64"),
-                "requested": pd.array(requested, dtype="Int64"),
+                "exceeded": pd.array([v[0] for v in verdicts], dtype="object"),
+                **{name: pd.array([v[i] for v in verdicts], dtype="Int64") for i, name in ((1, "used"), (2, "cap"), (3, "requested"))},
             }
         )
 
-    return charge
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.spent.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
-def stream_budget(calls: DataFrame, limits: Limits) -> DataFrame:
+def stream_budget(
+    calls: DataFrame, limits: Limits, initial: DataFrame | None = None, delay: str = "1 minute", idle_s: int | None = None
+) -> DataFrame:
     """Charge chargeable calls of a stream; `exceeded` is NULL for calls that fit.
 
-    State is one counter pair per scope and survives restarts through the query's checkpoint.
-    A daily scope holds the UTC day among its keys, so the reset needs no clock.  Within a
-    trigger calls are charged in (ts, call_id) order; across triggers in order of arrival.
+    State is one counter pair per scope and survives restarts through the query's checkpoint.  `initial` gives
+    counters to start with: the scope's keys, `calls` and `cost`, as `budgets.spend` returns them, and `ts`, the
+    time of the last call (needed for `idle_s` only).  It counts in the first run of a checkpoint.
+
+    A daily scope holds the UTC day among its keys, so the reset needs no clock.  Its counters are removed once
+    the watermark, `delay` behind the latest call, has passed the day's end; later calls of that day are refused as
+    `daily.unavailable` (`exceeded` is "unavailable").  Other scopes are kept for ever, or until `idle_s` seconds after
+    their last call where the caller knows that they have ended by then.  Within a trigger calls are charged in
+    (ts, call_id) order; across triggers in order of arrival.  `calls` has no watermark yet.  Sets the session's state
+    store to RocksDB, which timers and initial state need.
     """
-    ready = with_day(calls) if "day" in limits.keys and "day" not in calls.columns else calls
+    spark = calls.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = calls.withWatermark("ts", delay)
+    ready = with_day(timed) if "day" in limits.keys and "day" not in calls.columns else timed
+    # A copy of the time: rows behind the watermark are judged here, and not dropped unseen.
+    copied = F.timestamp_micros(F.unix_micros("ts")).alias("ts")
     narrow = ready.where("chargeable").select(
-        *[F.col(k) for k in limits.keys], "ts", F.col("call_id").cast("string").alias("call_id"),
-        F.greatest(F.col("cost"), F.lit(0)).cast("bigint").alias("cost"),
-    )
-    return narrow.groupBy(*limits.keys).applyInPandasWithState(
-        _charge(limits), BUDGET_OUTPUT, BUDGET_STATE, "append", GroupStateTimeout.NoTimeout
+        *[F.col(k) for k in limits.keys], copied, F.col("call_id").cast("string").alias("call_id"),
+        F.greatest(F.col("cost"), F.lit(0)).cast("bigint").alias("cost"), F.unix_millis("ts").alias("last_ms"),
     )
+    if initial is not None:
+        last = F.unix_millis("ts") if "ts" in initial.columns else F.lit(0).cast("bigint")
+        initial = initial.select(*[F.col(k) for k in limits.keys], "calls", "cost", last.alias("last_ms")).groupBy(*limits.keys)
+    process = Charge(limits, limits.keys.index("day") if "day" in limits.keys else None, None if idle_s is None else idle_s * 1000)
+    return narrow.groupBy(*limits.keys).transformWithStateInPandas(process, BUDGET_OUTPUT, "append", "eventTime", initial)
 
 
 def split_late(calls: DataFrame, horizon: Column | str) -> tuple[DataFrame, DataFrame]:
