@@ -100,7 +100,8 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_index.remove_repeats(table(spark, sf_dir), 400)
     taken = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["z"] - s["a"])
     return left.select(
-        "doc_id", "n_bytes", taken.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", taken.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.expr("make_valid_utf8(cast(kept as string))").alias("kept_text"),
     )
 
 
