@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -292,28 +294,33 @@ def _calls_of(events):
     )
 
 
-def _run(out, mode: str = "append", base: str | None = None):
-    """Run a stream over what there is, into the shared folder, and read the result."""
-    spark = out.sparkSession
-    base = base or f"{ensure_checkpoint_dir(spark)}/callwarden-stream-{uuid.uuid4().hex}"
-    started = (
-        out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state")
+def _start(out, base: str):
+    """Start a stream over what there is, into the shared folder."""
+    return (
+        out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state")
         .trigger(availableNow=True).start(f"{base}/out")
     )
-    started.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
-def _run_in_turns(spark, parts, job):
-    """The result of a stream job whose input arrives in parts, one after the other.
+def _run(out):
+    """Run a stream over what there is and read the result."""
+    base = f"{ensure_checkpoint_dir(out.sparkSession)}/callwarden-stream-{uuid.uuid4().hex}"
+    _start(out, base).awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
 
-    The query is started again for each part and goes on from its checkpoint.
+
+def _run_in_turns(spark, parts, *made):
+    """The results of stream jobs whose input arrives in parts, one after the other.
+
+    The queries are started again for each part and go on from their checkpoints.
     """
     base = f"{ensure_checkpoint_dir(spark)}/callwarden-stream-{uuid.uuid4().hex}"
     for part in parts:
         part.write.mode("append").parquet(f"{base}/in")
-        out = _run(job(spark.readStream.schema(part.schema).parquet(f"{base}/in")), base=base)
-    return out
+        outs = [job(spark.readStream.schema(part.schema).parquet(f"{base}/in")) for job in made]
+        for query_ in [_start(out, f"{base}/{n}") for n, out in enumerate(outs)]:
+            query_.awaitTermination()
+    return [spark.read.schema(out.schema).parquet(f"{base}/{n}/out") for n, out in enumerate(outs)]
 
 
 def _calls_batch(spark, sf):
@@ -388,7 +395,7 @@ def stream_budget_resumed(spark, sf):
     bounds = [*cuts, None]
     parts = [calls.where((F.col("ts") >= a) & ((F.col("ts") < b) if b is not None else F.lit(True))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     spent = budgets.spend(before, ["user_id"])
-    after = _run_in_turns(spark, parts, lambda stream: jobs.stream_budget(stream, limits, spent))
+    [after] = _run_in_turns(spark, parts, lambda stream: jobs.stream_budget(stream, limits, spent))
     refused = before.where("refused IS NOT NULL").select("call_id", F.col("refused.exceeded").alias("exceeded"), F.col("refused.used").alias("used"))
     return refused.unionByName(after.where("exceeded IS NOT NULL").select("call_id", "exceeded", "used"))
 
@@ -423,66 +430,117 @@ def stream_late_calls(spark, sf):
     came = calls.withColumns({"chargeable": F.lit(True), "cost": F.lit(1), "installation": F.col("user_id") % 10})
     came = cut_lineage(came.withColumn("turn", turn + F.when((turn < 2) & (F.col("k") % 17 == 0), 1).otherwise(0)))
     limits = Limits("daily", ["installation", "day"], max_calls=5)
-    out = _run_in_turns(spark, [came.where(F.col("turn") == n).drop("turn") for n in range(3)], lambda stream: jobs.stream_budget(stream, limits, delay="1 hour"))
+    [out] = _run_in_turns(spark, [came.where(F.col("turn") == n).drop("turn") for n in range(3)], lambda stream: jobs.stream_budget(stream, limits, delay="1 hour"))
     return out.where("exceeded IS NOT NULL").select("call_id", "exceeded")
 
 
+def _to_the_end(calls, event_type: str):
+    """The calls in two parts by time, and one far behind them that pushes the watermark past everything before.
+
+    The last one has the id -1 and is no part of a result.
+    """
+    first, last = calls.agg(F.min("ts"), F.max("ts")).first()
+    middle = first + (last - first) / 2
+    ahead = calls.limit(1).withColumns(
+        {"call_id": F.lit(-1).cast("bigint"), "ts": F.lit(last + dt.timedelta(days=10)), "event_type": F.lit(event_type), "tool": F.lit(f"srv0__{event_type}"), "k": F.lit(0).cast("bigint")}
+    )
+    return [calls.where(F.col("ts") < middle), calls.where(F.col("ts") >= middle), ahead.select(*calls.columns)]
+
+
 @query(
     "stream_approvals",
     with_views(
         """
-WITH asked AS (SELECT call_id, k % 10 < 8 AND k > 40 AS big, k FROM calls WHERE event_type = 'purchase' AND user_id % 2 = 0)
+WITH asked AS (SELECT call_id, k % 10 < 8 AND k > 40 AS big, k FROM calls WHERE event_type = 'purchase')
 SELECT call_id, CASE WHEN big THEN 'big' ELSE 'buy' END AS rule,
   CASE WHEN k % 2 = 0 AND big THEN CASE WHEN k % 3 = 0 THEN 'declined' ELSE 'approved' END ELSE 'timed_out' END AS approval,
-  CASE WHEN k % 2 = 0 AND big AND k % 3 <> 0 THEN 'allow' ELSE 'deny' END AS verdict FROM asked
-WHERE call_id IN (SELECT call_id FROM calls WHERE ts < (SELECT max(ts) FROM calls) - to_seconds(100000))""",
+  CASE WHEN k % 2 = 0 AND big AND k % 3 <> 0 THEN 'allow' ELSE 'deny' END AS verdict FROM asked""",
         "calls",
     ),
 )
 def stream_approvals(spark, sf):
-    """Answers come after a minute: in time for one rule, too late for the other.
-
-    Requests near the end of the log are still open; they are left out on both sides.
-    """
+    """Answers come after a minute: in time for one rule, too late for the other.  A last call closes the log."""
     document = {
         "rules": [
             {"name": "big", "match": {"tool": "*__purchase", "args": [{"path": "$.k", "gt": 40}]}, "decision": "require_approval", "approval": {"timeout_s": 120}},
             {"name": "buy", "match": {"tool": "*__purchase"}, "decision": "require_approval", "approval": {"timeout_s": 30}},
         ]
     }
-    wanted = "event_type = 'purchase' AND user_id % 2 = 0"
-    calls = _calls_stream(spark, sf)
-    readable = calls.withColumn("arguments", F.when(F.col("k") % 10 < 8, F.col("arguments")))
-    decided = policy.evaluate_policy(readable.where(wanted), document).select("call_id", "ts", "decision")
     at = lambda seconds: F.timestamp_add("SECOND", F.lit(seconds), F.col("ts")).alias("ts")
     first = F.when(F.col("k") % 3 == 0, "declined").otherwise("approved").alias("outcome")
-    answers = _calls_stream(spark, sf).where(f"{wanted} AND k % 2 = 0").select(F.col("call_id").alias("request_id"), at(60), first)
-    out = _run(
-        jobs.stream_approvals(decided, answers, longest_s=120)
-        .select("call_id", "ts", "decision.rule", "decision.verdict", F.col("decision.approval_result").alias("approval"))
+
+    def job(stream):
+        wanted = stream.where("event_type = 'purchase'")
+        readable = wanted.withColumn("arguments", F.when(F.col("k") % 10 < 8, F.col("arguments")))
+        decided = policy.evaluate_policy(readable, document).select("call_id", "ts", "decision")
+        answers = wanted.where("k % 2 = 0").select(F.col("call_id").alias("request_id"), at(60), first)
+        settled = jobs.stream_approvals(decided, answers, longest_s=120)
+        return settled.select("call_id", "ts", "decision.rule", "decision.verdict", F.col("decision.approval_result").alias("approval"))
+
+    [out] = _run_in_turns(spark, _to_the_end(_calls_batch(spark, sf), "purchase"), job)
+    return out.where("call_id <> -1").select("call_id", "rule", "verdict", "approval")
+
+
+def _live_records(c):
+    return c.select(
+        F.lit("tool_call").alias("event"), "ts", "tool", F.lit("srv").alias("server"),
+        F.when(F.col("k") % 8 == 0, "deny").when(F.col("k") % 8 == 1, "require_approval").otherwise("allow").alias("decision"),
+        F.lit(None).cast("string").alias("error"), (F.col("event_type") == "error").alias("is_error"),
+        F.round("value").alias("duration_ms"), F.lit("policy").alias("decision_source"), F.concat(F.lit("rule"), F.col("k") % 4).alias("rule"),
+        F.when(F.col("k") % 9 == 0, "approved").when(F.col("k") % 9 == 1, "timed_out").alias("approval"),
     )
-    last = load(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("last"))
-    closed = out.join(F.broadcast(last)).where("ts < last - INTERVAL 100000 SECONDS")  # the right side is one row
-    return closed.select("call_id", "rule", "verdict", "approval")
+
+
+_LIVE = """
+live AS (SELECT date_trunc('hour', ts) AS "start", tool AS metric_tool, 'srv' AS server, round(value) AS duration_ms, concat('rule', k % 4) AS rule,
+  CASE k % 8 WHEN 0 THEN 'deny' WHEN 1 THEN 'require_approval' ELSE 'allow' END AS decision, CASE WHEN event_type = 'error' AND k % 8 > 1 THEN 'tool_error' END AS error_type,
+  CASE k % 9 WHEN 0 THEN 'approved' WHEN 1 THEN 'timed_out' END AS approval FROM calls)"""
+_FOUR = f"""
+WITH {_LIVE}
+SELECT 'calls' AS metric, "start", metric_tool, concat_ws('/', decision, error_type) AS label, count(*) AS n, CAST(NULL AS DOUBLE) AS total_ms FROM live GROUP BY ALL
+UNION ALL SELECT 'denials', "start", metric_tool, concat_ws('/', 'policy', rule), count(*), NULL FROM live WHERE decision <> 'allow' GROUP BY ALL
+UNION ALL SELECT 'approvals', "start", metric_tool, concat_ws('/', rule, approval), count(*), NULL FROM live WHERE approval IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'durations', "start", metric_tool, {_BUCKET} AS label, count(*), sum(duration_ms) FROM live GROUP BY ALL"""
+
+
+def _four(metrics):
+    """The four metrics as rows of one table."""
+    labels = {"calls": ("decision", "error_type"), "denials": ("decision_source", "rule"), "approvals": ("rule", "approval"), "durations": ("le",)}
+    out = [
+        metrics[name].select(
+            F.lit(name).alias("metric"), F.col("window.start").alias("start"), "metric_tool", F.concat_ws("/", *of).alias("label"),
+            F.col("calls" if name == "durations" else name).alias("n"), (F.col("total_ms") if name == "durations" else F.lit(None)).cast("double").alias("total_ms"),
+        )
+        for name, of in labels.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query("stream_metrics", with_views(_FOUR, "calls"))
+def stream_metrics(spark, sf):
+    """All four metrics per hour; a window is reported once the watermark has passed it.  A last call closes the log."""
+    one = lambda name: lambda stream: jobs.stream_metrics(_live_records(stream), "1 hour")[name]
+    done = _run_in_turns(spark, _to_the_end(_calls_batch(spark, sf), "closing"), *[one(name) for name in jobs.METRICS])
+    return _four(dict(zip(jobs.METRICS, done, strict=True)))
 
 
 @query(
-    "stream_metrics",
+    "stream_log",
     with_views(
-        """
-SELECT hour AS "start", tool AS metric_tool, CASE WHEN event_type = 'error' THEN 'tool_error' END AS error_type, count(*) AS calls
-FROM (SELECT *, date_trunc('hour', ts) AS hour FROM calls) c
-WHERE hour + to_seconds(3600) <= (SELECT max(ts) FROM calls) - to_seconds(120) GROUP BY ALL""",
+        _FOUR + """
+UNION ALL SELECT 'log', date_trunc('day', ts), NULL, NULL, count(*), CAST(sum(round(value)) AS DOUBLE) FROM calls GROUP BY ALL""",
         "calls",
     ),
 )
-def stream_metrics(spark, sf):
-    """Call counts per hour and tool; a window is reported once the watermark has passed it."""
-    c = _calls_stream(spark, sf)
-    records = c.select(
-        F.lit("tool_call").alias("event"), "ts", "tool", F.lit("srv").alias("server"), F.lit("allow").alias("decision"),
-        F.lit(None).cast("string").alias("error"), (F.col("event_type") == "error").alias("is_error"),
-        F.col("value").alias("duration_ms"), F.lit("policy").alias("decision_source"), F.lit(None).cast("string").alias("rule"),
-        F.lit(None).cast("string").alias("approval"),
+def stream_log(spark, sf):
+    """The log and its four metrics, written by one query in two turns and read again."""
+    base = f"{ensure_checkpoint_dir(spark)}/callwarden-live-{uuid.uuid4().hex}"
+    for part in _to_the_end(_calls_batch(spark, sf), "closing")[:2]:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{base}/in")
+        jobs.stream_log(_live_records(stream), f"{base}/out", f"{base}/state", window="1 hour").awaitTermination()
+    log = read_audit(spark, f"{base}/out/log").groupBy(F.date_trunc("day", "ts").alias("start"))
+    written = log.agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("total_ms")).select(
+        F.lit("log").alias("metric"), "start", F.lit(None).cast("string").alias("metric_tool"), F.lit(None).cast("string").alias("label"), "n", "total_ms"
     )
-    return _run(jobs.stream_metrics(records, "1 hour")["calls"]).select("window.start", "metric_tool", "error_type", "calls")
+    return _four({name: jobs.read_metrics(spark, f"{base}/out", name) for name in jobs.METRICS}).unionByName(written)

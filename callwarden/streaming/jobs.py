@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -136,14 +136,6 @@ def stream_budget(
     return narrow.groupBy(*limits.keys).transformWithStateInPandas(process, BUDGET_OUTPUT, "append", "eventTime", initial)
 
 
-def split_late(calls: DataFrame, horizon: Column | str) -> tuple[DataFrame, DataFrame]:
-    """(on time, late): late rows are refused as `daily.unavailable` instead of being metered
-    against a day that is closed."""
-    limit = F.col(horizon) if isinstance(horizon, str) else horizon
-    late = calls.where(F.col("ts") < limit).withColumn("rule", F.lit("daily.unavailable"))
-    return calls.where(F.col("ts") >= limit), late
-
-
 def stream_approvals(
     decided: DataFrame, answers: DataFrame, delay: str = "1 minute", longest_s: int = DEFAULT_APPROVAL_TIMEOUT_S
 ) -> DataFrame:
@@ -181,3 +173,32 @@ def stream_metrics(records: DataFrame, window: str = "1 minute", delay: str = "2
         "approvals": audit.approval_counts(timed, window),
         "durations": audit.duration_histogram(timed, window=window),
     }
+
+
+#: Counts of the live log and the metric each holds.
+METRICS = {"calls": audit.call_counts, "denials": audit.denial_counts, "approvals": audit.approval_counts, "durations": audit.duration_histogram}
+SUMMED = ("calls", "denials", "approvals", "total_ms")
+
+
+def stream_log(records: DataFrame, path: str, checkpoint: str, window: str = "1 minute", **trigger):
+    """Write a stream of audit records as JSON lines by day, and its four metrics, in one query.
+
+    Each trigger writes folders that bear its number, and a repeated one replaces them, so that nothing is lost or counted
+    twice.  Metrics are written as counts of that trigger by window; `read_metrics` adds them up, so late records
+    count in their own window and nothing waits for a watermark.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("dt", F.to_date("ts")).write.mode("overwrite").partitionBy("dt").json(f"{path}/log/trigger={number}")
+        for name, counts in METRICS.items():
+            counts(batch, window=window).write.mode("overwrite").parquet(f"{path}/{name}/trigger={number}")
+
+    writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_metrics(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of METRICS as `stream_log` wrote it so far: a row per window and keys."""
+    parts = spark.read.parquet(f"{path}/{name}").drop("trigger")
+    summed = [c for c in parts.columns if c in SUMMED]
+    return parts.groupBy(*[c for c in parts.columns if c not in summed]).agg(*[F.sum(c).alias(c) for c in summed])
