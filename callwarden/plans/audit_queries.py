@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from callwarden import constants as C
 from callwarden.operators import audit, budgets, policy
 from callwarden.operators.budgets import Limits
+from callwarden.operators.pins import commit_unknown
 from callwarden.plans.budget_queries import fold_sql
 from callwarden.plans.flows import decide
 from callwarden.plans.inputs import load, view, with_views
@@ -18,7 +19,7 @@ from callwarden.plans.policy_queries import FIRST_MATCH, _FIRST_MATCH_CASE, cata
 from callwarden.plans.registry import query
 from callwarden.sources import schemas
 from callwarden.sources.checkpoints import cut_lineage, ensure_checkpoint_dir
-from callwarden.sources.io import read_audit, read_pins, write_audit, write_pins
+from callwarden.sources.io import latest_version, read_audit, read_pins, write_audit
 from callwarden.streaming import jobs
 
 # One audit line per event: who, which tool, how decided, how long, how it ended.
@@ -208,7 +209,8 @@ WITH c AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS call
   FROM lineitem l LEFT JOIN (SELECT DISTINCT p_partkey, read_only FROM tools) t ON t.p_partkey = l.l_partkey),
 d AS (SELECT *, CASE WHEN l_partkey % 9 > 2 AND l_quantity > 48 THEN 'ask-big' WHEN l_partkey % 9 = 0 AND resolved THEN 'no-delete' WHEN read_only THEN 'read' END AS policy_rule FROM c),
 e AS (SELECT *, CASE WHEN policy_rule = 'no-delete' THEN 'no-delete' WHEN resolved AND l_partkey % 13 = 0 THEN 'injection.metadata'
-    WHEN l_suppkey % 7 = 0 THEN 'secrets.arguments' WHEN l_suppkey % 7 = 1 THEN 'arguments.ssrf' END AS denied FROM d)
+    WHEN l_suppkey % 7 = 0 THEN 'secrets.arguments' WHEN l_suppkey % 7 = 1 THEN 'arguments.ssrf'
+    WHEN policy_rule = 'ask-big' AND l_partkey % 5 IN (1, 2, 3) THEN 'ask-big' END AS denied FROM d)
 SELECT coalesce(denied, CASE WHEN resolved AND rn > 6 THEN 'session.max_calls' ELSE policy_rule END) AS rule,
   CASE WHEN denied IS NOT NULL OR (resolved AND rn > 6) THEN 'deny' ELSE 'allow' END AS verdict, count(*) AS calls
 FROM (SELECT *, CASE WHEN denied IS NULL AND resolved THEN row_number() OVER (PARTITION BY session_no, denied IS NULL AND resolved ORDER BY ts, call_id) END AS rn FROM e) f GROUP BY ALL""",
@@ -225,7 +227,9 @@ def full_chain(spark, sf):
             F.to_json(F.struct(F.col("l_quantity").alias("qty"), url.alias("url"), note.alias("note"))).alias("arguments"),
         )
     )
-    answers = calls.where("false").select(F.col("call_id").alias("request_id"), "ts", F.lit("approved").alias("outcome"))
+    part = F.col("call_id") % 1_000_000 % 5  # approved, refused in three ways, or never answered
+    outcome = F.element_at(F.array(*[F.lit(o) for o in ("approved", "declined", "unavailable", "failed")]), (part + 1).cast("int"))
+    answers = calls.where(part != 4).select(F.col("call_id").alias("request_id"), "ts", outcome.alias("outcome"))
     out = decide(calls, catalog_of(view(spark, sf, "tools")), CHAIN, answers=answers)
     return out.groupBy(F.col("decision.rule").alias("rule"), F.col("decision.verdict").alias("verdict")).agg(F.count(F.lit(1)).alias("calls"))
 
@@ -268,9 +272,12 @@ def pin_versions(spark, sf):
         F.concat(F.lit("srv"), F.col("p_partkey") % 5).alias("server"), null.alias("identity"), null.alias("identity_hint"),
         F.lit("2024-01-02").cast("timestamp").alias("pinned_at"), F.col("p_name").alias("tool"), F.md5("p_type").alias("hash"), null.alias("definition"),
     )
-    write_pins(pins.where("false"), path, 1)
-    write_pins(pins, path, 2)
-    return read_pins(spark, path).agg(F.lit(2).alias("version"), F.count(F.lit(1)).alias("pins"), F.countDistinct("server").alias("servers"))
+    now = F.lit("2024-01-02").cast("timestamp")
+    known = pins.where("server <> 'srv3'")
+    numbers = [commit_unknown(path, some, now) for some in (known, known, pins, known)]
+    if numbers != [1, None, 2, None]:
+        raise AssertionError(f"versions {numbers}")
+    return read_pins(spark, path).agg(F.lit(latest_version(spark, path)).alias("version"), F.count(F.lit(1)).alias("pins"), F.countDistinct("server").alias("servers"))
 
 
 # --- streaming ------------------------------------------------------------------------------------

@@ -104,20 +104,58 @@ def scan_report(spark, sf):
     return catalog.scan_report(c, catalog.tool_findings(c), _servers(spark, sf))
 
 
+# Three captures: the second one again, later, with other titles and some tools gone.
+_THREE = """
+SELECT server, name, captured_at, p_partkey, title, description FROM tools
+UNION ALL SELECT server, name, TIMESTAMP '2024-02-10 00:00:00', p_partkey, CASE WHEN p_partkey % 7 = 0 THEN concat('New ', p_partkey) ELSE title END, description
+FROM tools WHERE capture = 2 AND p_partkey % 23 <> 0"""
+_CHANGES = f"""
+SELECT c.server, c.captured_at, count(*) FILTER (seen = before AND was <> def) AS changed, count(*) FILTER (seen IS NULL OR seen <> before) AS added,
+  coalesce(any_value(g.removed), 0) AS removed
+FROM (SELECT *, lag(captured_at) OVER t AS seen, lag(def) OVER t AS was FROM (
+    SELECT server, name, captured_at, concat_ws('|', coalesce(title, '-'), description, CASE p_partkey % 8 WHEN 5 THEN 'a' WHEN 6 THEN 'b' END) AS def FROM ({_THREE}) x) y
+  WINDOW t AS (PARTITION BY server, name ORDER BY captured_at)) c
+JOIN (SELECT server, captured_at, lag(captured_at) OVER (PARTITION BY server ORDER BY captured_at) AS before FROM (SELECT DISTINCT server, captured_at FROM ({_THREE}) x) z) b
+  ON b.server = c.server AND b.captured_at = c.captured_at AND before IS NOT NULL
+LEFT JOIN (SELECT server, after AS captured_at, count(*) AS removed FROM (
+    SELECT v.server, v.name, after, lead(v.captured_at) OVER (PARTITION BY v.server, v.name ORDER BY v.captured_at) AS next FROM ({_THREE}) v
+    JOIN (SELECT server, captured_at, lead(captured_at) OVER (PARTITION BY server ORDER BY captured_at) AS after FROM (SELECT DISTINCT server, captured_at FROM ({_THREE}) x) z) a
+      ON a.server = v.server AND a.captured_at = v.captured_at) n
+  WHERE after IS NOT NULL AND (next IS NULL OR next <> after) GROUP BY server, after) g ON g.server = c.server AND g.captured_at = c.captured_at
+GROUP BY c.server, c.captured_at"""
+
+
+def _three(spark, sf):
+    c = _catalog(spark, sf)
+    second = c.where(F.col("captured_at") == c.agg(F.max("captured_at")).first()[0])
+    p = F.regexp_extract("name", "([0-9]+)$", 1).cast("bigint")
+    third = second.where(p % 23 != 0).withColumns(
+        {"captured_at": F.lit("2024-02-10 00:00:00").cast(c.schema["captured_at"].dataType), "title": F.when(p % 7 == 0, F.concat(F.lit("New "), p)).otherwise(F.col("title"))}
+    )
+    return c.unionByName(third)
+
+
+@query("release_changes", with_views(_CHANGES, "tools"))
+def release_changes(spark, sf):
+    return catalog.release_changes(_three(spark, sf))
+
+
 @query(
     "catalog_survey",
     with_views(
         f"""
 SELECT t.server, count(*) AS tools, count(*) FILTER (NOT {_HINT}) AS undeclared, count(*) FILTER ({_INJECTED}) AS instruction_override,
-  any_value(s.n) AS flagged_defaults, any_value(m.n) AS read_only_mismatches, any_value(m.a) AS advisories
+  any_value(s.n) AS flagged_defaults, any_value(m.n) AS read_only_mismatches, any_value(m.a) AS advisories,
+  (SELECT CAST(sum(changed) AS BIGINT) FROM ({_CHANGES}) h WHERE h.server = t.server AND h.captured_at < TIMESTAMP '2024-02-01 00:00:00') AS hash_changes,
+  t.server IN (SELECT server FROM launches WHERE s_suppkey % 12 IN (1, 9, 6, 7, 11)) AS unpinned_launch
 FROM tools t JOIN (SELECT server, count(*) AS n FROM ({_SUGGESTIONS}) x GROUP BY server) s ON s.server = t.server
 JOIN (SELECT server, count(*) FILTER (NOT advisory) AS n, count(*) FILTER (advisory) AS a FROM ({_MISMATCHES}) x GROUP BY server) m ON m.server = t.server GROUP BY t.server""",
-        "tools",
+        "tools", "launches",
     ),
 )
 def catalog_survey(spark, sf):
-    return catalog.catalog_survey(_catalog(spark, sf)).select(
-        "server", "tools", "undeclared", "instruction_override", "flagged_defaults", "read_only_mismatches", "advisories"
+    return catalog.catalog_survey(_catalog(spark, sf), _servers(spark, sf)).select(
+        "server", "tools", "undeclared", "instruction_override", "flagged_defaults", "read_only_mismatches", "advisories", "hash_changes", "unpinned_launch"
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,16 +108,43 @@ def stream_audit(records: DataFrame, path: str, checkpoint: str, **trigger):
     )
 
 
-def read_pins(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of a pins table."""
-    versions = spark.read.schema(S.PINS + ", version int").parquet(path)
-    latest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == latest).drop("version")
+def latest_version(spark: SparkSession, path: str) -> int:
+    """Number of the latest version of a pins table; 0 where there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+    return max([0, *(int(n.removeprefix("version=")) for n in names if n.startswith("version="))])
+
+
+def read_pins(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest version of a pins table, or the one asked for; empty where there is none."""
+    version = latest_version(spark, path) if version is None else version
+    if version == 0:
+        return spark.createDataFrame([], S.PINS)
+    return spark.read.schema(S.PINS).parquet(f"{path}/version={version}")
 
 
-def write_pins(pins: DataFrame, path: str, version: int) -> None:
-    """Write a new version; an existing one is never overwritten.  Runs an action."""
-    pins.write.mode("errorifexists").parquet(f"{path}/version={version}")
+def write_pins(pins: DataFrame, path: str, version: int) -> bool:
+    """Write a new version; False, and nothing written, where it exists.  Runs an action.
+
+    The files are written aside and get their name in one step, which fails where another writer was
+    first; so a version is whole or absent, and never overwritten.
+    """
+    spark = pins.sparkSession
+    aside, jvm = f"{path}/_aside/{uuid.uuid4().hex}", spark._jvm
+    pins.write.parquet(aside)
+    source, target = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}")
+    conf = spark._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(conf).getUri(), conf)
+    refuse_to_replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(source, target, refuse_to_replace)
+    except Py4JJavaError as error:
+        context.delete(source, True)
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
 
 
 def scan_report_json(findings: DataFrame, catalog: DataFrame, servers: DataFrame | None = None) -> DataFrame:
