@@ -6,8 +6,14 @@ others do.  These prefixes are joined on the token, under the length filter, the
 a 64-bit parity sketch that bounds the symmetric difference; survivors are verified on their whole
 sets.  All filters are lossless.
 
+Texts are read once: each block of them is written as its distinct sets, words standing as numbers in the
+block's own list of distinct words.  Prefixes and the sets to verify are cut from that table.
+
+Similar sets that must share two tokens share two among prefixes longer by one.  A frequent first token
+therefore stands only together with each later one of the longer prefix, which keeps groups small.
+
 Rarity comes from counts in a fixed number of hash buckets, so the broadcast table has one size.
-In a token's group most lines of a large family of copies pass the filters with the group's earliest line.
+In a group most lines of a large family of copies pass the filters with the group's earliest line.
 Those are first tried with that line alone, and only the few that then fail are joined with the whole
 group, so that a family costs about its size and not its square.
 """
@@ -25,6 +31,8 @@ from callwarden.llm.storage import stored
 #: Buckets of token counts, bits that name a token, bits of the filter of wanted sets.
 BUCKETS, NAME, WANTED = 22, 42, 24
 _CHUNK = 16
+#: Class of rarity (1 + 2 log2 of the count) from which a token needs a second one beside it.
+FREQUENT = 17
 #: Bytes of text taken at once.
 BLOCK = 1 << 20
 
@@ -40,36 +48,67 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
 class _Lines:
     """Sets of the lines of a block with at least `least` different words."""
 
-    def __init__(self, data, offsets, least, classes=None):
+    def __init__(self, data, offsets, least):
         doc, line, number, h = _tokens(data, offsets)
-        names = h >> np.uint64(64 - NAME)
         edge = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if len(number) else np.zeros(0, np.int64)
         doc, line = doc[edge], line[edge]
         index = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(number))))
-        parts = []
-        for lo in range(0, len(edge), 1 << 16):  # 16 bits of line, 6 of rarity, 42 of name
-            hi = min(lo + (1 << 16), len(edge))
-            a, z = np.searchsorted(index, (lo, hi))
-            code = names[a:z] if classes is None else names[a:z] | classes[names[a:z] >> np.uint64(NAME - BUCKETS)].astype(np.uint64) << np.uint64(NAME)
-            if classes is None:
-                code = np.unique((index[a:z] - lo).astype(np.uint64) << np.uint64(NAME) | code)
-                parts.append(((code >> np.uint64(NAME)).astype(np.int64) + lo, code & np.uint64((1 << NAME) - 1)))
-            else:
-                code = np.unique((index[a:z] - lo).astype(np.uint64) << np.uint64(NAME + 6) | code)
-                parts.append(((code >> np.uint64(NAME + 6)).astype(np.int64) + lo, code & np.uint64((1 << NAME + 6) - 1)))
-        of = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-        code = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
+        self.names, word = np.unique(h >> np.uint64(64 - NAME), return_inverse=True)
+        code = np.unique(index.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64))
+        of, word = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
         size = np.bincount(of, minlength=len(edge))
         good = size >= least
         kept = good[of]
-        renumber = np.cumsum(good) - 1
-        self.of, self.code = renumber[of[kept]], code[kept]
+        self.word = word[kept]
         self.doc, self.line, self.size = doc[good], line[good], size[good]
-        self.name = self.code & np.uint64((1 << NAME) - 1)
+        self.set, self.bits = _digests(self.names, self.word, self.size)
+
+
+def _digests(names, word, size) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each set, and the parity of its words in 64 classes."""
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    value = mix(names + np.uint64(1))[word]
+    sign = (np.uint64(1) << (names & np.uint64(63)))[word]
+    return np.add.reduceat(value, first).view(np.int64), np.bitwise_xor.reduceat(sign, first).view(np.int64)
+
+
+class _Block:
+    """The distinct sets of a block as they were written, words in order of rarity if classes are given."""
+
+    def __init__(self, names: bytes, words: bytes, sizes: bytes, lines: bytes, classes=None):
+        self.names, self.size, self.line = np.frombuffer(names, "<u8"), np.frombuffer(sizes, "<i4").astype(np.int64), np.frombuffer(lines, "<i4")
+        self.word = np.frombuffer(words, "<u2" if len(self.names) <= 1 << 16 else "<u4").astype(np.int64)
+        self.set, self.bits = _digests(self.names, self.word, self.size)
         self.first = np.cumsum(self.size) - self.size
-        n = len(self.size)
-        self.set = np.add.reduceat(mix(self.name + np.uint64(1)), self.first).view(np.int64) if n else np.zeros(0, np.int64)
-        self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (self.name & np.uint64(63)), self.first).view(np.int64) if n else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(self.size)), self.size)
+        if classes is not None:
+            self.rarity = classes[self.names >> np.uint64(NAME - BUCKETS)]
+            order = np.lexsort((self.names, self.rarity))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            self.word = order[np.sort(self.of << 32 | rank[self.word]) & 0xFFFFFFFF]
+
+    def keys(self, num: int, den: int):
+        """(set, place of the token, key) under which each set meets others; tokens counted once are in no other."""
+        need = -(-num * self.size // den)
+        pos = np.arange(len(self.of)) - self.first[self.of]
+        prefix = (self.size - need + 1)[self.of]
+        rarity, value = self.rarity[self.word], mix(self.names + np.uint64(1))[self.word]
+        lone = (pos < prefix) & (rarity > 0) & ((rarity < FREQUENT) | (need[self.of] < 2))
+        at, keys = [np.flatnonzero(lone)], [value[lone]]
+        paired = np.flatnonzero((pos < prefix) & (rarity >= FREQUENT))
+        last = (self.first + np.minimum(self.size, self.size - need + 2))[self.of[paired]]
+        step = 1
+        while len(paired):
+            good = paired + step < last
+            paired, last = paired[good], last[good]
+            at.append(paired)
+            keys.append(mix(value[paired] * np.uint64(3) + value[paired + step]))
+            step += 1
+        at = np.concatenate(at)
+        return self.of[at], pos[at], np.concatenate(keys).view(np.int64)
 
 
 def _each(batch, column):
@@ -78,20 +117,38 @@ def _each(batch, column):
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def _occurrences(slim: DataFrame, least: int) -> DataFrame:
-    """(key, h, line, set) of every line, and rows (chunk, at, n) of token counts by bucket."""
-    names = ["key", "h", "line", "set", "chunk", "at", "n"]
+_BLOCK = ["names", "words", "sizes", "lines"]
+
+
+def _occurrences(slim: DataFrame, least: int, num: int, den: int) -> DataFrame:
+    """Rows of three kinds: (key, h, line, set) of every line; (chunk, at, n) of token counts by bucket; and of each
+    block (keys, names, words, sizes, lines), its distinct sets that may be similar to another."""
+    columns = ["key", "h", "line", "set", "chunk", "at", "n", "keys", *_BLOCK]
 
     def run(batches):
         counts, key_type = np.zeros(1 << BUCKETS, np.uint32), None
+
+        def out(length, **given):
+            kinds = {"key": key_type, "h": pa.int64(), "line": pa.int32(), "set": pa.int64(), "chunk": pa.int32(), "keys": pa.list_(key_type)}
+            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(length, kinds.get(c, pa.binary()))) for c in columns], columns)
+
         for batch in batches:
             key_type = batch.column(0).type
             for lo, _, data, offsets in _each(batch, 2):
                 found = _Lines(data, offsets, least)
-                bucket, n = np.unique(found.name >> np.uint64(NAME - BUCKETS), return_counts=True)
-                counts[bucket] += n.astype(np.uint32)
                 at, n = pa.array(found.doc + lo), len(found.doc)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found.line.astype(np.int32)), pa.array(found.set), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+                yield out(n, key=batch.column(0).take(at), h=batch.column(1).take(at), line=pa.array(found.line.astype(np.int32)), set=pa.array(found.set))
+                # a set with one word more is the most similar other one
+                use = _earliest(batch.column(0), found, lo) & (found.size * den >= num * (found.size + 1))
+                if not use.any():
+                    continue
+                word = found.word[np.repeat(use, found.size)]
+                some, word, times = np.unique(word, return_inverse=True, return_counts=True)
+                names = found.names[some]
+                np.add.at(counts, names >> np.uint64(NAME - BUCKETS), times.astype(np.uint32))
+                keys = batch.column(0).take(at.filter(pa.array(use)))
+                body = [names.astype("<u8"), word.astype("<u2" if len(names) <= 1 << 16 else "<u4"), found.size[use].astype("<i4"), found.line[use].astype("<i4")]
+                yield out(1, keys=pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), **{c: pa.array([b.tobytes()], pa.binary()) for c, b in zip(_BLOCK, body, strict=True)})
         if key_type is None:
             return
         rows = []
@@ -100,11 +157,11 @@ def _occurrences(slim: DataFrame, least: int) -> DataFrame:
             at = np.flatnonzero(part)
             if len(at):
                 rows.append((c, at.astype("<u2").tobytes(), part[at].astype("<u4").tobytes()))
-        m = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, key_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]], names)
+        yield out(len(rows), **{c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("chunk", pa.int32()), ("at", pa.binary()), ("n", pa.binary())))})
 
     kind = slim.schema["key"].dataType.simpleString()
-    return slim.mapInArrow(run, f"key {kind}, h bigint, line int, set bigint, chunk int, at binary, n binary")
+    blocks_of = ", ".join(f"{c} binary" for c in _BLOCK)
+    return slim.mapInArrow(run, f"key {kind}, h bigint, line int, set bigint, chunk int, at binary, n binary, keys array<{kind}>, {blocks_of}")
 
 
 def _rarity(rows: DataFrame) -> np.ndarray:
@@ -148,45 +205,43 @@ def _maybe(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Join:
-    """The similarity join over the lines of `slim` (key, h, text) at similarity num / den."""
+    """The similarity join over the blocks (keys, names, words, sizes, lines) at similarity num / den."""
 
-    def __init__(self, slim: DataFrame, classes: np.ndarray, least: int, num: int, den: int):
-        self.slim, self.least, self.num, self.den = slim, least, num, den
-        self.context = slim.sparkSession.sparkContext
+    def __init__(self, rows: DataFrame, classes: np.ndarray, num: int, den: int):
+        self.blocks = rows.where("names is not null").select("keys", *_BLOCK)
+        self.num, self.den = num, den
+        self.context = rows.sparkSession.sparkContext
         self.classes = self.context.broadcast(classes)
 
     def postings(self, wanted: DataFrame | None = None) -> DataFrame:
-        """(token, set, key, line, size, pos, bits): the prefix of every line, rarest token first.
+        """(token, set, key, line, size, pos, bits): the prefix of every set under its tokens or pairs of tokens.
 
-        With `wanted` (token), only those of its tokens.
+        With `wanted` (token), those that its filter lets through.
         """
-        least, num, den, shared = self.least, self.num, self.den, self.classes
-        bits = None if wanted is None else self._filter(wanted.select((F.shiftleft("token", 64 - NAME)).alias("v")))
+        num, den, shared = self.num, self.den, self.classes
+        bits = None if wanted is None else self._filter(wanted.select(F.col("token").alias("v")))
 
         def run(batches):
             for batch in batches:
-                for lo, _, data, offsets in _each(batch, 2):
-                    found = _Lines(data, offsets, least, shared.value)
-                    pos = np.arange(len(found.of)) - found.first[found.of]
-                    once = _earliest(batch.column(0), found, lo)
-                    prefix = found.size + (-num * found.size) // den + 1
-                    # a token counted once is in no other line
-                    use = np.flatnonzero(once[found.of] & (pos < prefix[found.of]) & (found.code >> np.uint64(NAME) > 0))
+                for i in range(len(batch)):
+                    block = _Block(*[batch.column(1 + c)[i].as_py() for c in range(4)], shared.value)
+                    keys = batch.column(0)[i].values
+                    of, pos, token = block.keys(num, den)
                     if bits is not None:
-                        use = use[_maybe(bits.value, found.name[use] << np.uint64(64 - NAME))]
-                    of = found.of[use]
+                        use = _maybe(bits.value, token.view(np.uint64))
+                        of, pos, token = of[use], pos[use], token[use]
                     for a in range(0, len(of), 1 << 16):
-                        o, u = of[a : a + (1 << 16)], use[a : a + (1 << 16)]
+                        o, z = of[a : a + (1 << 16)], a + (1 << 16)
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array(found.name[u].view(np.int64)), pa.array(found.set[o]), batch.column(0).take(pa.array(found.doc[o] + lo)),
-                                pa.array(found.line[o].astype(np.int32)), pa.array(found.size[o].astype(np.int32)), pa.array(pos[u].astype(np.int32)), pa.array(found.bits[o]),
+                                pa.array(token[a:z]), pa.array(block.set[o]), keys.take(pa.array(o)), pa.array(block.line[o]),
+                                pa.array(block.size[o].astype(np.int32)), pa.array(pos[a:z].astype(np.int32)), pa.array(block.bits[o]),
                             ],
                             ["token", "set", "key", "line", "size", "pos", "bits"],
                         )
 
-        kind = self.slim.schema["key"].dataType.simpleString()
-        return self.slim.mapInArrow(run, f"token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint")
+        kind = self.blocks.schema["keys"].dataType.elementType.simpleString()
+        return self.blocks.mapInArrow(run, f"token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint")
 
     def _filter(self, values: DataFrame):
         """A broadcast filter of 2 ** WANTED bits for the column v, whatever the number of rows."""
@@ -211,18 +266,18 @@ class Join:
     def first_candidates(self) -> DataFrame:
         """(token, x, y, tried): candidates of later sets x; `tried` where x met its group's earliest alone.
 
-        A line that occurs several times gives the same candidates several times.
+        A line that occurs several times gives the same candidates several times.  Runs an action.
         """
-        row = F.struct(F.struct("key", "line").alias("place"), "set", "size", "pos", "bits")
-        # named columns and the filter that the join would add: all readers share one exchange
-        shared = self.postings().where(F.col("token").isNotNull()).repartition("token")
-        dealt = shared.select("token", row.alias("x"))
-        in_order = Window.partitionBy("token").orderBy("x.place", "x.set").rowsBetween(Window.unboundedPreceding, 0)
-        both = dealt.withColumn("p", F.first("x").over(in_order)).where(F.col("x.set") != F.col("p.set"))
-        both = both.withColumn("ok", self.passes("x", "p"))
-        tried = both.where("ok").select("token", F.col("x.set").alias("x"), F.col("p.set").alias("y"), F.lit(True).alias("tried"))
-        rest = both.where(~F.col("ok"))
-        return tried.union(self._pairs(rest, dealt).select("token", "x", "y", F.lit(False).alias("tried"))).distinct()
+        fields = ["key", "line", "set", "size", "pos", "bits"]
+        in_order = Window.partitionBy("token").orderBy("key", "line", "set").rowsBetween(Window.unboundedPreceding, 0)
+        both = self.postings().select("token", *fields, *[F.first(c).over(in_order).alias(f"p_{c}") for c in fields])
+        row = lambda p: F.struct(F.struct(f"{p}key", f"{p}line").alias("place"), *[F.col(p + c).alias(c) for c in fields[2:]])
+        # groups of one set end here
+        both = both.where(F.col("set") != F.col("p_set")).select("token", row("").alias("x"), row("p_").alias("p"))
+        met = stored(both.select("token", "x", F.col("p.set").alias("p"), self.passes("x", "p").alias("ok")))
+        tried = met.where("ok").select("token", F.col("x.set").alias("x"), F.col("p").alias("y"), F.lit(True).alias("tried"))
+        pairs = self._pairs(met.where("not ok").select("token", "x"), met.select("token", "x"))
+        return tried.union(pairs.select("token", "x", "y", F.lit(False).alias("tried"))).distinct()
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """(token, x, y) for each set x of `left` and each earlier set y of `right` that passes with it.
@@ -246,23 +301,22 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that are similar, by their whole token sets."""
         wanted = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
-        shared, least = self._filter(wanted.select(F.col("set").alias("v"))), self.least
+        shared = self._filter(wanted.select(F.col("set").alias("v")))
 
         def run(batches):
             bits = shared.value
             for batch in batches:
-                for _, _, data, offsets in _each(batch, 2):
-                    found = _Lines(data, offsets, least)
-                    hit = np.flatnonzero(_maybe(bits, found.set.view(np.uint64)))
+                for i in range(len(batch)):
+                    block = _Block(*[batch.column(1 + c)[i].as_py() for c in range(4)])
+                    hit = np.flatnonzero(_maybe(bits, block.set.view(np.uint64)))
                     if len(hit):
-                        hit = hit[np.unique(found.set[hit], return_index=True)[1]]
-                        lens = found.size[hit]
+                        lens = block.size[hit]
                         ends = np.cumsum(lens)
-                        at = np.repeat(found.first[hit] - ends + lens, lens) + np.arange(ends[-1])
-                        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(found.name[at].view(np.int64)))
-                        yield pa.RecordBatch.from_arrays([pa.array(found.set[hit]), lists], ["set", "tokens"])
+                        at = np.repeat(block.first[hit] - ends + lens, lens) + np.arange(ends[-1])
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(block.names[block.word[at]].view(np.int64)))
+                        yield pa.RecordBatch.from_arrays([pa.array(block.set[hit]), lists], ["set", "tokens"])
 
-        sets = self.slim.mapInArrow(run, "set bigint, tokens array<bigint>").join(wanted, "set", "left_semi").dropDuplicates(["set"])
+        sets = self.blocks.mapInArrow(run, "set bigint, tokens array<bigint>").join(wanted, "set", "left_semi").dropDuplicates(["set"])
         left = sets.select(F.col("set").alias("x"), F.col("tokens").alias("tx"))
         right = sets.select(F.col("set").alias("y"), F.col("tokens").alias("ty"))
         common = F.size(F.array_intersect("tx", "ty"))
@@ -287,9 +341,9 @@ def _marked(docs: DataFrame, similarity: tuple[int, int], least: int, key: str,
     named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     slim = named.select("key", "h", "text")
     num, den = similarity
-    rows = stored(_occurrences(slim, least))
-    matched = Join(slim, _rarity(rows), least, num, den).matched()
-    lines = rows.where("chunk is null").select("key", "h", "line", "set")
+    rows = stored(_occurrences(slim, least, num, den))
+    matched = Join(rows, _rarity(rows), num, den).matched()
+    lines = rows.where("set is not null").select("key", "h", "line", "set")
     earliest = lines.groupBy("set").agg(F.min(F.struct("key", "line", "h")).alias("first")).join(matched.withColumn("near", F.lit(True)), "set", "left")
     place = F.struct("key", "line", "h")
     gone = lines.join(earliest, "set").where(F.col("near") | ~place.eqNullSafe(F.col("first")))
@@ -305,7 +359,7 @@ def _left() -> Column:
     return F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, removed, kept) per row: the numbers of the removed lines, the text left.
 
     Lines end at line feeds; words are runs of other than ASCII white space.  A line of at least `least`
@@ -323,7 +377,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: in
     )
 
 
-def without_repeated_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with such lines cut out of the text; rows that lose all their words are left out.
 
     Repeated rows stay as they are left.  Runs actions.

@@ -104,7 +104,7 @@ def test_packing(docs, empty, rows, tokenizer):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
-def lines_brute(rows, least=5):
+def lines_brute(rows, least=1):
     """{(doc_id, text): removed line numbers}."""
     seen, out = [], {}
     unique = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
