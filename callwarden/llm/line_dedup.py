@@ -32,7 +32,7 @@ from callwarden.llm.storage import stored
 BUCKETS, NAME, WANTED = 22, 42, 24
 _CHUNK = 16
 #: Class of rarity (1 + 2 log2 of the count) from which a token needs a second one beside it.
-FREQUENT = 17
+FREQUENT = 21
 #: Bytes of text taken at once.
 BLOCK = 1 << 20
 
@@ -213,13 +213,9 @@ class Join:
         self.context = rows.sparkSession.sparkContext
         self.classes = self.context.broadcast(classes)
 
-    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
-        """(token, set, key, line, size, pos, bits): the prefix of every set under its tokens or pairs of tokens.
-
-        With `wanted` (token), those that its filter lets through.
-        """
+    def postings(self) -> DataFrame:
+        """(token, set, key, line, size, pos, bits): the prefix of every set under its tokens or pairs of tokens."""
         num, den, shared = self.num, self.den, self.classes
-        bits = None if wanted is None else self._filter(wanted.select(F.col("token").alias("v")))
 
         def run(batches):
             for batch in batches:
@@ -227,9 +223,6 @@ class Join:
                     block = _Block(*[batch.column(1 + c)[i].as_py() for c in range(4)], shared.value)
                     keys = batch.column(0)[i].values
                     of, pos, token = block.keys(num, den)
-                    if bits is not None:
-                        use = _maybe(bits.value, token.view(np.uint64))
-                        of, pos, token = of[use], pos[use], token[use]
                     for a in range(0, len(of), 1 << 16):
                         o, z = of[a : a + (1 << 16)], a + (1 << 16)
                         yield pa.RecordBatch.from_arrays(
@@ -263,10 +256,10 @@ class Join:
     def later(self, a: str, b: str) -> Column:
         return F.struct(f"{a}.place", f"{a}.set") > F.struct(f"{b}.place", f"{b}.set")
 
-    def first_candidates(self) -> DataFrame:
-        """(token, x, y, tried): candidates of later sets x; `tried` where x met its group's earliest alone.
+    def meetings(self) -> DataFrame:
+        """(token, x, p, ok): in each group every set x with the group's earliest set p, and whether that pair passes.
 
-        A line that occurs several times gives the same candidates several times.  Runs an action.
+        A set that occurs in several blocks may stand several times.
         """
         fields = ["key", "line", "set", "size", "pos", "bits"]
         in_order = Window.partitionBy("token").orderBy("key", "line", "set").rowsBetween(Window.unboundedPreceding, 0)
@@ -274,10 +267,7 @@ class Join:
         row = lambda p: F.struct(F.struct(f"{p}key", f"{p}line").alias("place"), *[F.col(p + c).alias(c) for c in fields[2:]])
         # groups of one set end here
         both = both.where(F.col("set") != F.col("p_set")).select("token", row("").alias("x"), row("p_").alias("p"))
-        met = stored(both.select("token", "x", F.col("p.set").alias("p"), self.passes("x", "p").alias("ok")))
-        tried = met.where("ok").select("token", F.col("x.set").alias("x"), F.col("p").alias("y"), F.lit(True).alias("tried"))
-        pairs = self._pairs(met.where("not ok").select("token", "x"), met.select("token", "x"))
-        return tried.union(pairs.select("token", "x", "y", F.lit(False).alias("tried"))).distinct()
+        return both.select("token", "x", F.col("p.set").alias("p"), self.passes("x", "p").alias("ok"))
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """(token, x, y) for each set x of `left` and each earlier set y of `right` that passes with it.
@@ -291,13 +281,6 @@ class Join:
             .select("token", F.col("x.set").alias("x"), F.col("y.set").alias("y"))
         )
 
-    def all_candidates(self, targets: DataFrame, tokens: DataFrame) -> DataFrame:
-        """(x, y) for the targets x with every earlier line of the groups of these tokens."""
-        row = F.struct(F.struct("key", "line").alias("place"), "set", "size", "pos", "bits")
-        dealt = self.postings(tokens).join(tokens, "token", "left_semi").select("token", "set", row.alias("x"))
-        left = dealt.join(targets.select(F.col("x").alias("set")), "set", "left_semi")
-        return self._pairs(left.select("token", "x"), dealt.select("token", "x")).select("x", "y").distinct()
-
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that are similar, by their whole token sets."""
         wanted = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
@@ -324,16 +307,16 @@ class Join:
         return pairs.join(left, "x").join(right, "y").where(similar).select("x", "y")
 
     def matched(self) -> DataFrame:
-        """(set): the sets with an earlier similar one.  Runs actions."""
-        first = stored(self.first_candidates())
-        pairs = first.select("x", "y").distinct()
-        done = stored(self.verified(pairs).select("x").distinct())
-        failed = first.where("tried").join(done, "x", "left_anti")
-        targets, tokens = stored(failed.select("x").distinct()), stored(failed.select("token").distinct())
-        if not targets.isEmpty():
-            more = stored(self.all_candidates(targets, tokens).join(pairs, ["x", "y"], "left_anti"))
-            done = done.union(self.verified(more).select("x").distinct())
-        return done.select(F.col("x").alias("set"))
+        """(set): the sets with an earlier similar one.  Runs actions.
+
+        Only sets that none of their groups' earliest is similar to meet the other earlier ones there.
+        """
+        met = stored(self.meetings())
+        tried = stored(met.where("ok").select(F.col("x.set").alias("x"), F.col("p").alias("y")).distinct())
+        done = stored(self.verified(tried).select("x").distinct())
+        open_ = met.join(done.withColumnRenamed("x", "set"), F.col("x.set") == F.col("set"), "left_anti")
+        more = stored(self._pairs(open_.select("token", "x"), met.select("token", "x")).select("x", "y").distinct())
+        return done.union(self.verified(more).select("x").distinct()).select(F.col("x").alias("set"))
 
 
 def _marked(docs: DataFrame, similarity: tuple[int, int], least: int, key: str, text: str) -> DataFrame:
