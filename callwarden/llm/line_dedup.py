@@ -13,16 +13,17 @@ Similar sets that must share two tokens share two among prefixes longer by one.
 therefore stands only together with each later one of the longer prefix, which keeps groups small.
 
 Rarity comes from counts in a fixed number of hash buckets, so the broadcast table has one size.
-In a group most lines of a large family of copies pass the filters with the group's earliest line.
-Those are first tried with that line alone, and only the few that then fail are joined with the whole
-group, so that a family costs about its size and not its square.
+A task reads its groups in order and tries each line with the group's first line and the `REACH` lines before it, which
+are all earlier ones in most groups.  Of those that pass the filters one is verified; the others, and the lines further up
+in long groups, are met only by lines which that leaves unsettled.  So a family of copies costs about its size
+and not its square, memory does not grow with a group, and no earlier line is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwarden.llm.arrays import Hasher, blocks, mix, text_bytes, words
@@ -33,6 +34,8 @@ BUCKETS, NAME, WANTED = 22, 42, 24
 _CHUNK = 16
 #: Class of rarity (1 + 2 log2 of the count) from which a token needs a second one beside it.
 FREQUENT = 21
+#: Lines of a group that each line is tried with at once.
+REACH = 16
 #: Bytes of text taken at once.
 BLOCK = 1 << 20
 
@@ -257,17 +260,18 @@ class Join:
         return F.struct(f"{a}.place", f"{a}.set") > F.struct(f"{b}.place", f"{b}.set")
 
     def meetings(self) -> DataFrame:
-        """(token, x, p, ok): in each group every set x with the group's earliest set p, and whether that pair passes.
+        """Pairs (x, y, tried) of sets that pass, `tried` for one pair of x in a group; and of groups longer
+        than `REACH` lines their rows (token, key, line, set, size, pos, bits), `far` where not all earlier ones were tried."""
+        num, den = self.num, self.den
+        dealt = self.postings().repartition("token").sortWithinPartitions("token", "key", "line", "set")
+        kind = dealt.schema["key"].dataType.simpleString()
 
-        A set that occurs in several blocks may stand several times.
-        """
-        fields = ["key", "line", "set", "size", "pos", "bits"]
-        in_order = Window.partitionBy("token").orderBy("key", "line", "set").rowsBetween(Window.unboundedPreceding, 0)
-        both = self.postings().select("token", *fields, *[F.first(c).over(in_order).alias(f"p_{c}") for c in fields])
-        row = lambda p: F.struct(F.struct(f"{p}key", f"{p}line").alias("place"), *[F.col(p + c).alias(c) for c in fields[2:]])
-        # groups of one set end here
-        both = both.where(F.col("set") != F.col("p_set")).select("token", row("").alias("x"), row("p_").alias("p"))
-        return both.select("token", "x", F.col("p.set").alias("p"), self.passes("x", "p").alias("ok"))
+        def run(batches):
+            group = _Group(num, den)
+            for batch in batches:
+                yield from group.feed(batch)
+
+        return dealt.mapInArrow(run, f"x bigint, y bigint, tried boolean, token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint, far boolean")
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """(token, x, y) for each set x of `left` and each earlier set y of `right` that passes with it.
@@ -277,14 +281,15 @@ class Join:
         once = lambda df: df.groupBy("token", F.col("x.set").alias("set")).agg(F.min("x").alias("x"))
         x, y = once(left), once(right).select("token", F.col("x").alias("y"))
         return (
-            x.join(y, "token").where(self.later("x", "y") & self.passes("x", "y"))
+            x.join(y, "token").where((F.col("x.set") != F.col("y.set")) & self.later("x", "y") & self.passes("x", "y"))
             .select("token", F.col("x.set").alias("x"), F.col("y.set").alias("y"))
         )
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are similar, by their whole token sets."""
+        """The similar ones of the pairs (x, y), by their whole token sets, as (x, y) with x the later set."""
         wanted = pairs.select(F.col("x").alias("set")).union(pairs.select("y")).distinct()
         shared = self._filter(wanted.select(F.col("set").alias("v")))
+        kind = self.blocks.schema["keys"].dataType.elementType.simpleString()
 
         def run(batches):
             bits = shared.value
@@ -297,28 +302,98 @@ class Join:
                         ends = np.cumsum(lens)
                         at = np.repeat(block.first[hit] - ends + lens, lens) + np.arange(ends[-1])
                         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(block.names[block.word[at]].view(np.int64)))
-                        yield pa.RecordBatch.from_arrays([pa.array(block.set[hit]), lists], ["set", "tokens"])
+                        yield pa.RecordBatch.from_arrays([pa.array(block.set[hit]), batch.column(0)[i].values.take(pa.array(hit)), pa.array(block.line[hit]), lists], ["set", "key", "line", "tokens"])
 
-        sets = self.blocks.mapInArrow(run, "set bigint, tokens array<bigint>").join(wanted, "set", "left_semi").dropDuplicates(["set"])
-        left = sets.select(F.col("set").alias("x"), F.col("tokens").alias("tx"))
-        right = sets.select(F.col("set").alias("y"), F.col("tokens").alias("ty"))
+        found = self.blocks.mapInArrow(run, f"set bigint, key {kind}, line int, tokens array<bigint>").join(wanted, "set", "left_semi")
+        # a set of several blocks counts at its first place
+        sets = found.groupBy("set").agg(F.min(F.struct("key", "line")).alias("place"), F.any_value("tokens").alias("tokens"))
+        x, y = (sets.select(F.col("set").alias(c), F.col("tokens").alias(f"t{c}"), F.struct("place", "set").alias(f"p{c}")) for c in "xy")
         common = F.size(F.array_intersect("tx", "ty"))
         similar = common * self.den >= (F.size("tx") + F.size("ty") - common) * self.num
-        return pairs.join(left, "x").join(right, "y").where(similar).select("x", "y")
+        later = F.greatest("px", "py")["set"]
+        return pairs.join(x, "x").join(y, "y").where(similar).select(later.alias("x"), F.least("px", "py")["set"].alias("y"))
 
     def matched(self) -> DataFrame:
-        """(set): the sets with an earlier similar one.  Runs actions.
-
-        Only sets that none of their groups' earliest is similar to meet the other earlier ones there.
-        """
+        """(set): the sets with an earlier similar one.  Runs actions."""
         met = stored(self.meetings())
-        tried = stored(met.where("ok").select(F.col("x.set").alias("x"), F.col("p").alias("y")).distinct())
+        tried = stored(met.where("tried").select("x", "y").distinct())
         done = stored(self.verified(tried).select("x").distinct())
-        open_ = met.join(done.withColumnRenamed("x", "set"), F.col("x.set") == F.col("set"), "left_anti")
-        more = stored(self._pairs(open_.select("token", "x"), met.select("token", "x")).select("x", "y").distinct())
+        settled = done.withColumnRenamed("x", "set")
+        spare = met.where("not tried").join(done, "x", "left_anti").select("x", "y")
+        row = F.struct(F.struct("key", "line").alias("place"), "set", "size", "pos", "bits").alias("x")
+        long = met.where("token is not null")
+        far = long.where("far").join(settled, "set", "left_anti")
+        more = self._pairs(far.select("token", row), long.select("token", row)).select("x", "y")
+        more = stored(spare.union(more).distinct().join(tried, ["x", "y"], "left_anti"))
         return done.union(self.verified(more).select("x").distinct()).select(F.col("x").alias("set"))
 
 
+class _Group:
+    """Rows sorted by token and place, taken batch by batch; of the last group only a bounded part is kept."""
+
+    FIELDS = ("token", "set", "key", "line", "size", "pos", "bits")
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        #: rows kept, how many of their group are left out after the first, whether they were given out as a long group's
+        self.kept, self.skipped, self.given = None, 0, False
+
+    def feed(self, batch):
+        rows, old = batch, 0
+        if self.kept is not None:
+            old = len(self.kept)
+            rows = pa.Table.from_batches([self.kept, batch]).combine_chunks().to_batches()[0] if len(batch) else self.kept
+        if len(rows) == old:
+            return
+        token, sets, size, pos, bits = (rows.column(i).to_numpy() for i in (0, 1, 4, 5, 6))
+        n = len(token)
+        index = np.arange(n)
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        start = np.repeat(starts, np.diff(np.append(starts, n)))
+        at = index - start
+        if old and self.skipped:
+            at[(start == 0) & (index > 0)] += self.skipped
+
+        def passing(x, y):
+            a, b = size[x].astype(np.int64), size[y].astype(np.int64)
+            need = -(-(a + b) * self.num // (self.num + self.den))
+            good = (np.minimum(a, b) * self.den >= np.maximum(a, b) * self.num) & (np.minimum(a - pos[x], b - pos[y]) >= need) & (sets[x] != sets[y])
+            x, y, room = x[good], y[good], (a + b - 2 * need)[good]
+            near = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= room
+            return x[near], y[near]
+
+        active = index[(index >= old) & (index > start)]
+        found = [passing(active, start[active])]
+        for d in range(1, REACH + 1):
+            active = active[active - d > start[active]]
+            if not len(active):
+                break
+            found.append(passing(active, active - d))
+        x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        tried = np.append(True, x[1:] != x[:-1])[: len(x)]
+
+        most = np.repeat(np.maximum.reduceat(at, starts), np.diff(np.append(starts, n)))
+        long = most > REACH + 1
+        out = np.flatnonzero(long & (at > 0) & ((index >= old) | ~np.bool_(self.given)))
+        columns = dict(zip(self.FIELDS, rows.columns, strict=True))
+        yield self._out(columns, len(x), x=pa.array(sets[x]), y=pa.array(sets[y]), tried=pa.array(tried))
+        take = pa.array(out)
+        yield self._out(columns, len(out), far=pa.array(at[out] > REACH + 1), **{c: v.take(take) for c, v in columns.items()})
+
+        first = int(starts[-1])
+        whole = n - first <= REACH + 2 and not (first == 0 and self.skipped)
+        keep = index[first:] if whole else np.append(first, index[n - REACH :])
+        self.skipped = 0 if whole else int(at[n - 1]) - REACH
+        self.given = bool(long[n - 1])
+        self.kept = rows.take(pa.array(keep))
+
+    def _out(self, columns, length, **given):
+        kinds = {"x": pa.int64(), "y": pa.int64(), "tried": pa.bool_(), **{c: columns[c].type for c in self.FIELDS}, "far": pa.bool_()}
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(length, t)) for c, t in kinds.items()], list(kinds))
+
+
 def _marked(docs: DataFrame, similarity: tuple[int, int], least: int, key: str, text: str) -> DataFrame:
     """(key, text, row, removed): `row` is the whole row, `removed` the lines that go or null."""
     named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))

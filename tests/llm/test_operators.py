@@ -160,6 +160,52 @@ def test_line_dedup_large_family(spark):
     assert got == {i: removed for (i, _), removed in lines_brute(rows).items()}
 
 
+def test_line_dedup_family_with_copies_over_partitions(spark):
+    """Variants and exact copies in places of any order, far more in a group than are tried at once."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(24)]
+    lines = []
+    for _ in range(160):
+        w = list(words)
+        for _ in range(rnd.choice([1, 2, 3, 4, 5])):
+            w[rnd.randrange(24)] = f"v{rnd.randrange(60)}"
+        lines.append(" ".join(w))
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(4)))) for i in range(300)]
+    rnd.shuffle(rows)
+    want = {i: removed for (i, _), removed in lines_brute(rows).items()}
+    for parts in (1, 9):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(frame).collect()} == want
+
+
+def test_groups_by_batches():
+    """Any cut into batches gives every earlier line: as a pair, or as rows of a long group."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    names = list(line_dedup._Group.FIELDS)
+    token = np.sort(np.concatenate([np.repeat(np.arange(6), [1, 2, 17, 18, 19, 90]), 100 + np.arange(5)]))
+    n = len(token)
+    ones = pa.array(np.full(n, 10, np.int32))
+    whole = pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.arange(n)), pa.array(np.arange(n)), ones, ones, pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64))], names)
+    want = {(x, y) for x in range(n) for y in range(x) if token[x] == token[y]}
+    for _ in range(30):
+        group, got, tried, long = line_dedup._Group(4, 5), set(), [], []
+        cuts = [0, *np.sort(rnd.integers(0, n + 1, rnd.integers(0, 40))).tolist(), n]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            for out in group.feed(whole.slice(lo, hi - lo)):
+                for r in out.to_pylist():
+                    if r["x"] is None:
+                        long.append((r["token"], r["set"], r["far"]))
+                    else:
+                        got.add((r["x"], r["y"]))
+                        tried += [r["x"]] if r["tried"] else []
+        assert len(tried) == len(set(tried)) and len(long) == len(set(long))
+        got |= {(x, y) for t, x, far in long for u, y, _ in long if far and t == u and y < x}
+        assert got == want
+
+
 def test_bpe(docs, empty, rows, tokenizer):
     got = [(r.doc_id, tuple(r.ids), r.decoded) for r in bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path()).collect()]
     want = []
