@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwarden.llm.arrays import Hasher, blocks, mix, text_bytes, words
-from callwarden.llm.storage import stored
+from callwarden.llm.storage import LARGE_VALUES, stored
 
 #: Buckets of token counts, bits that name a token, bits of the filter of wanted sets.
 BUCKETS, NAME, WANTED = 22, 42, 24
@@ -37,7 +37,7 @@ FREQUENT = 21
 #: Lines of a group that each line is tried with at once.
 REACH = 16
 #: Bytes of text taken at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -115,9 +115,28 @@ class _Block:
 
 
 def _each(batch, column):
+    """(first document, number of its first line here, bytes, offsets) of each block; a long document is cut after line feeds."""
     data, offsets = text_bytes(batch.column(column))
     for lo, hi in blocks(offsets, BLOCK):
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        start, end = offsets[lo], offsets[hi]
+        if hi - lo > 1 or end - start <= BLOCK:
+            yield lo, 0, data[start:end], offsets[lo : hi + 1] - start
+            continue
+        line = 0
+        while start < end:
+            feeds = np.flatnonzero(data[start : start + BLOCK] == 10)
+            if start + BLOCK >= end:
+                cut = end
+            elif len(feeds):
+                cut = start + feeds[-1] + 1
+            else:  # one long line
+                cut = start + BLOCK
+                while cut < end and data[cut - 1] != 10:
+                    more = np.flatnonzero(data[cut : cut + BLOCK] == 10)
+                    cut = cut + more[0] + 1 if len(more) else min(cut + BLOCK, end)
+            yield lo, line, data[start:cut], np.array([0, cut - start])
+            line += int(np.count_nonzero(data[start:cut] == 10))
+            start = cut
 
 
 _BLOCK = ["names", "words", "sizes", "lines"]
@@ -137,8 +156,9 @@ def _occurrences(slim: DataFrame, least: int, num: int, den: int) -> DataFrame:
 
         for batch in batches:
             key_type = batch.column(0).type
-            for lo, _, data, offsets in _each(batch, 2):
+            for lo, line, data, offsets in _each(batch, 2):
                 found = _Lines(data, offsets, least)
+                found.line += line
                 at, n = pa.array(found.doc + lo), len(found.doc)
                 yield out(n, key=batch.column(0).take(at), h=batch.column(1).take(at), line=pa.array(found.line.astype(np.int32)), set=pa.array(found.set))
                 # a set with one word more is the most similar other one
@@ -399,7 +419,7 @@ def _marked(docs: DataFrame, similarity: tuple[int, int], least: int, key: str,
     named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     slim = named.select("key", "h", "text")
     num, den = similarity
-    rows = stored(_occurrences(slim, least, num, den))
+    rows = stored(_occurrences(slim, least, num, den), LARGE_VALUES)
     matched = Join(rows, _rarity(rows), num, den).matched()
     lines = rows.where("set is not null").select("key", "h", "line", "set")
     earliest = lines.groupBy("set").agg(F.min(F.struct("key", "line", "h")).alias("first")).join(matched.withColumn("near", F.lit(True)), "set", "left")

@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame
 from callwarden.sources.checkpoints import ensure_checkpoint_dir
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: For tables of some 100 KB a value: pages and row groups are closed by size and not by number of rows.
+LARGE_VALUES = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(1 << 25), "parquet.enable.dictionary": "false"}
+
+
+def stored(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Write the frame once below `spark.checkpoint.dir` and read on from the files.
 
     The files survive lost executors and cut the lineage.  Runs an action.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

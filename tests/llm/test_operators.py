@@ -178,6 +178,20 @@ def test_line_dedup_family_with_copies_over_partitions(spark):
         assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(frame).collect()} == want
 
 
+def test_long_documents_are_cut_at_lines(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    texts = ["a b", "", None, "one two three\n\nfour\n" + "x" * 50 + "\nfive\nsix seven eight\n", "z" * 40, "\n" * 40 + "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = {}
+    for lo, line, data, offsets in line_dedup._each(batch, 0):
+        found = line_dedup._Lines(data, offsets, 1)
+        for doc, n in zip(found.doc + lo, found.line + line, strict=True):
+            got.setdefault(int(doc), []).append(int(n))
+    assert got == {i: lines for i, t in enumerate(texts) if (lines := [n for n, x in enumerate((t or "").split("\n")) if x.split()])}
+
+
 def test_groups_by_batches():
     """Any cut into batches gives every earlier line: as a pair, or as rows of a long group."""
     import numpy as np
