@@ -35,7 +35,7 @@ _CHUNK = 16
 #: Class of rarity (1 + 2 log2 of the count) from which a token needs a second one beside it.
 FREQUENT = 21
 #: Lines of a group that each line is tried with at once.
-REACH = 16
+REACH = 128
 #: Bytes of text taken at once.
 BLOCK = 1 << 19
 
@@ -282,12 +282,12 @@ class Join:
     def meetings(self) -> DataFrame:
         """Pairs (x, y, tried) of sets that pass, `tried` for one pair of x in a group; and of groups longer
         than `REACH` lines their rows (token, key, line, set, size, pos, bits), `far` where not all earlier ones were tried."""
-        num, den = self.num, self.den
+        num, den, reach = self.num, self.den, REACH
         dealt = self.postings().repartition("token").sortWithinPartitions("token", "key", "line", "set")
         kind = dealt.schema["key"].dataType.simpleString()
 
         def run(batches):
-            group = _Group(num, den)
+            group = _Group(num, den, reach)
             for batch in batches:
                 yield from group.feed(batch)
 
@@ -353,8 +353,8 @@ class _Group:
 
     FIELDS = ("token", "set", "key", "line", "size", "pos", "bits")
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, reach: int = REACH):
+        self.num, self.den, self.reach = num, den, reach
         #: rows kept, how many of their group are left out after the first, whether they were given out as a long group's
         self.kept, self.skipped, self.given = None, 0, False
 
@@ -384,7 +384,7 @@ class _Group:
 
         active = index[(index >= old) & (index > start)]
         found = [passing(active, start[active])]
-        for d in range(1, REACH + 1):
+        for d in range(1, self.reach + 1):
             active = active[active - d > start[active]]
             if not len(active):
                 break
@@ -393,19 +393,24 @@ class _Group:
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         tried = np.append(True, x[1:] != x[:-1])[: len(x)]
+        # sets that stand several times in a group give the same pairs
+        order = np.append(np.flatnonzero(tried), np.flatnonzero(~tried))
+        pair = mix(sets[x[order]].view(np.uint64)) + sets[y[order]].view(np.uint64)
+        order = order[np.unique(pair, return_index=True)[1]]
+        x, y, tried = x[order], y[order], tried[order]
 
         most = np.repeat(np.maximum.reduceat(at, starts), np.diff(np.append(starts, n)))
-        long = most > REACH + 1
+        long = most > self.reach + 1
         out = np.flatnonzero(long & (at > 0) & ((index >= old) | ~np.bool_(self.given)))
         columns = dict(zip(self.FIELDS, rows.columns, strict=True))
         yield self._out(columns, len(x), x=pa.array(sets[x]), y=pa.array(sets[y]), tried=pa.array(tried))
         take = pa.array(out)
-        yield self._out(columns, len(out), far=pa.array(at[out] > REACH + 1), **{c: v.take(take) for c, v in columns.items()})
+        yield self._out(columns, len(out), far=pa.array(at[out] > self.reach + 1), **{c: v.take(take) for c, v in columns.items()})
 
         first = int(starts[-1])
-        whole = n - first <= REACH + 2 and not (first == 0 and self.skipped)
-        keep = index[first:] if whole else np.append(first, index[n - REACH :])
-        self.skipped = 0 if whole else int(at[n - 1]) - REACH
+        whole = n - first <= self.reach + 2 and not (first == 0 and self.skipped)
+        keep = index[first:] if whole else np.append(first, index[n - self.reach :])
+        self.skipped = 0 if whole else int(at[n - 1]) - self.reach
         self.given = bool(long[n - 1])
         self.kept = rows.take(pa.array(keep))
 
