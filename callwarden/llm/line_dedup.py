@@ -14,8 +14,8 @@ therefore stands only together with each later one of the longer prefix, which k
 
 Rarity comes from counts in a fixed number of hash buckets, so the broadcast table has one size.
 A task reads its groups in order and tries each line with the group's first line and the `REACH` lines before it, which
-are all earlier ones in most groups.  Of those that pass the filters one is verified; the others, and the lines further up
-in long groups, are met only by lines which that leaves unsettled.  So a family of copies costs about its size
+are all earlier ones in most groups.  Of those that pass the filters the one met most often is verified; the others, and
+the lines further up in long groups, are met only by lines which that leaves unsettled.  So a family of copies costs about its size
 and not its square, memory does not grow with a group, and no earlier line is left out.
 """
 
@@ -280,7 +280,7 @@ class Join:
         return F.struct(f"{a}.place", f"{a}.set") > F.struct(f"{b}.place", f"{b}.set")
 
     def meetings(self) -> DataFrame:
-        """Pairs (x, y, tried) of sets that pass, `tried` for one pair of x in a group; and of groups longer
+        """Pairs (x, y) of sets that pass, seldom more than once a group; and of groups longer
         than `REACH` lines their rows (token, key, line, set, size, pos, bits), `far` where not all earlier ones were tried."""
         num, den, reach = self.num, self.den, REACH
         dealt = self.postings().repartition("token").sortWithinPartitions("token", "key", "line", "set")
@@ -291,7 +291,7 @@ class Join:
             for batch in batches:
                 yield from group.feed(batch)
 
-        return dealt.mapInArrow(run, f"x bigint, y bigint, tried boolean, token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint, far boolean")
+        return dealt.mapInArrow(run, f"x bigint, y bigint, token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint, far boolean")
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """(token, x, y) for each set x of `left` and each earlier set y of `right` that passes with it.
@@ -336,16 +336,18 @@ class Join:
     def matched(self) -> DataFrame:
         """(set): the sets with an earlier similar one.  Runs actions."""
         met = stored(self.meetings())
-        tried = stored(met.where("tried").select("x", "y").distinct())
-        done = stored(self.verified(tried).select("x").distinct())
+        pairs = stored(met.where("x is not null").groupBy("x", "y").agg(F.count("*").alias("n")))
+        # sets that meet most often are the most similar ones
+        best = stored(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")))
+        done = stored(self.verified(best).select("x").distinct())
         settled = done.withColumnRenamed("x", "set")
-        spare = met.where("not tried").join(done, "x", "left_anti").select("x", "y")
+        spare = pairs.join(done, "x", "left_anti").select("x", "y")
         row = F.struct(F.struct("key", "line").alias("place"), "set", "size", "pos", "bits").alias("x")
         long = met.where("token is not null")
         far = long.where("far").join(settled, "set", "left_anti")
         more = self._pairs(far.select("token", row), long.select("token", row)).select("x", "y")
-        more = stored(spare.union(more).distinct().join(tried, ["x", "y"], "left_anti"))
-        return done.union(self.verified(more).select("x").distinct()).select(F.col("x").alias("set"))
+        more = stored(spare.union(more).distinct().join(best, ["x", "y"], "left_anti"))
+        return stored(done.union(self.verified(more).select("x")).distinct()).select(F.col("x").alias("set"))
 
 
 class _Group:
@@ -390,20 +392,15 @@ class _Group:
                 break
             found.append(passing(active, active - d))
         x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        tried = np.append(True, x[1:] != x[:-1])[: len(x)]
         # sets that stand several times in a group give the same pairs
-        order = np.append(np.flatnonzero(tried), np.flatnonzero(~tried))
-        pair = mix(sets[x[order]].view(np.uint64)) + sets[y[order]].view(np.uint64)
-        order = order[np.unique(pair, return_index=True)[1]]
-        x, y, tried = x[order], y[order], tried[order]
+        once = np.unique(mix(sets[x].view(np.uint64)) + sets[y].view(np.uint64), return_index=True)[1]
+        x, y = x[once], y[once]
 
         most = np.repeat(np.maximum.reduceat(at, starts), np.diff(np.append(starts, n)))
         long = most > self.reach + 1
         out = np.flatnonzero(long & (at > 0) & ((index >= old) | ~np.bool_(self.given)))
         columns = dict(zip(self.FIELDS, rows.columns, strict=True))
-        yield self._out(columns, len(x), x=pa.array(sets[x]), y=pa.array(sets[y]), tried=pa.array(tried))
+        yield self._out(columns, len(x), x=pa.array(sets[x]), y=pa.array(sets[y]))
         take = pa.array(out)
         yield self._out(columns, len(out), far=pa.array(at[out] > self.reach + 1), **{c: v.take(take) for c, v in columns.items()})
 
@@ -415,13 +412,13 @@ class _Group:
         self.kept = rows.take(pa.array(keep))
 
     def _out(self, columns, length, **given):
-        kinds = {"x": pa.int64(), "y": pa.int64(), "tried": pa.bool_(), **{c: columns[c].type for c in self.FIELDS}, "far": pa.bool_()}
+        kinds = {"x": pa.int64(), "y": pa.int64(), **{c: columns[c].type for c in self.FIELDS}, "far": pa.bool_()}
         return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(length, t)) for c, t in kinds.items()], list(kinds))
 
 
 def _marked(docs: DataFrame, similarity: tuple[int, int], least: int, key: str, text: str) -> DataFrame:
-    """(key, text, row, removed): `row` is the whole row, `removed` the lines that go or null."""
-    named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    """(key, text, row, removed): `row` holds the other columns, `removed` the lines that go or null."""
+    named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"), F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != text]).alias("row"))
     slim = named.select("key", "h", "text")
     num, den = similarity
     rows = stored(_occurrences(slim, least, num, den), LARGE_VALUES)
