@@ -400,7 +400,9 @@ class _Group:
         long = most > self.reach + 1
         out = np.flatnonzero(long & (at > 0) & ((index >= old) | ~np.bool_(self.given)))
         columns = dict(zip(self.FIELDS, rows.columns, strict=True))
-        yield self._out(columns, len(x), x=pa.array(sets[x]), y=pa.array(sets[y]))
+        for a in range(0, len(x), 1 << 15):
+            near, other = x[a : a + (1 << 15)], y[a : a + (1 << 15)]
+            yield self._out(columns, len(near), x=pa.array(sets[near]), y=pa.array(sets[other]))
         take = pa.array(out)
         yield self._out(columns, len(out), far=pa.array(at[out] > self.reach + 1), **{c: v.take(take) for c, v in columns.items()})
 
@@ -443,7 +445,7 @@ def dedup_lines(docs: DataFrame, similarity: tuple[int, int] = (4, 5), least: in
     """(key, n_lines, removed, kept) per row: the numbers of the removed lines, the text left.
 
     Lines end at line feeds; words are runs of other than ASCII white space.  A line of at least `least`
-    different words goes if an earlier line, removed or not, has the same words or a Jaccard
+    different words (one: any line with a word) goes if an earlier line, removed or not, has the same words or a Jaccard
     similarity of at least num / den; earlier means a smaller key (null first), then a smaller line
     number.  Shorter lines and lines without words stay.  Rows repeated with key and text are one
     document and lose the same lines; null texts have no lines and stay null; an empty table gives
