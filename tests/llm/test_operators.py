@@ -192,6 +192,30 @@ def test_long_documents_are_cut_at_lines(monkeypatch):
     assert got == {i: lines for i, t in enumerate(texts) if (lines := [n for n, x in enumerate((t or "").split("\n")) if x.split()])}
 
 
+@pytest.mark.parametrize("frequent", [1, 4, 99])
+def test_similar_sets_share_a_key(monkeypatch, frequent):
+    """Whether tokens stand alone or in pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    rnd = random.Random(frequent)
+    base = [rnd.sample(range(40), rnd.randrange(1, 25)) for _ in range(12)]
+    sets = [sorted({w if rnd.random() < 0.95 else rnd.randrange(40) for w in rnd.choice(base)}) for _ in range(120)]
+    names = np.sort(np.random.default_rng(1).integers(0, 1 << line_dedup.NAME, 40)).astype("<u8")
+    classes = np.ones(1 << line_dedup.BUCKETS, np.uint8)
+    classes[names >> np.uint64(line_dedup.NAME - line_dedup.BUCKETS)] = np.arange(40) % 7 + 1
+    sizes, lines = np.array([len(s) for s in sets], "<i4"), np.zeros(len(sets), "<i4")
+    block = line_dedup._Block(names.tobytes(), np.concatenate(sets).astype("<u2").tobytes(), sizes.tobytes(), lines.tobytes(), classes)
+    for num, den in ((4, 5), (1, 2)):
+        of, _, token = block.keys(num, den)
+        keys = [set(token[of == i].tolist()) for i in range(len(sets))]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                common = len(set(a) & set(b))
+                if a != b and common * den >= (len(a) + len(b) - common) * num:
+                    assert keys[i] & keys[j]
+
+
 def test_groups_by_batches():
     """Any cut into batches gives every earlier line: as a pair, or as rows of a long group."""
     import numpy as np
