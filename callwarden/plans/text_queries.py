@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from callwarden import constants as C
 from callwarden.functions import secrets, text
-from callwarden.functions.base import words_regex
+from callwarden.functions.base import computed_once, words_regex
 from callwarden.operators import arguments, results
 from callwarden.plans.inputs import load, view, with_views
 from callwarden.plans.registry import query
@@ -273,9 +273,11 @@ SELECT lang, kind, count(*) AS documents FROM (SELECT lang, unnest([x for x in [
   FROM (SELECT lang, {_redact_sql(True)} AS r FROM ({_SECRET_TEXTS.format(documents='documents')}) t) x) y GROUP BY ALL""",
 )
 def secret_counts(spark, sf):
-    kinds = secrets.kinds_in_redacted(secrets.redact_text("text", pii=True), pii=True)
+    # redacted once; each kind looks at the result
+    redacted = computed_once(_secret_texts(spark, sf), "redacted", secrets.redact_text("text", pii=True))
+    kinds = secrets.kinds_in_redacted("redacted", pii=True)
     return (
-        _secret_texts(spark, sf).select("lang", F.explode(kinds).alias("kind")).groupBy("lang", "kind")
+        redacted.select("lang", F.explode(kinds).alias("kind")).groupBy("lang", "kind")
         .agg(F.count(F.lit(1)).alias("documents"))
     )
 
