@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from callwarden import constants as C
+from callwarden.functions.base import computed_once
 from callwarden.operators import audit, budgets, policy
 from callwarden.operators.budgets import Limits
 from callwarden.operators.pins import commit_unknown
@@ -184,7 +185,8 @@ def audit_records(spark, sf):
     """Written to the log's JSON form and read back with its schema."""
     records = audit.to_audit(policy.evaluate_policy(view(spark, sf, "calls"), FIRST_MATCH))
     line = F.to_json(F.struct(*records.columns))
-    back = records.select(F.from_json(line, schemas.AUDIT).alias("r")).select("r.*")
+    written = computed_once(records, "line", line)
+    back = computed_once(written, "r", F.from_json("line", schemas.AUDIT)).select("r.*")
     return back.groupBy("decision", "decision_source", "rule", "is_error").agg(F.count(F.lit(1)).alias("records"))
 
 
