@@ -185,3 +185,17 @@ def test_repeats_by_words_and_bytes_against_brute_force(spark):
     by_bytes = without(docs, repeated_bytes(docs))
     print("documents that a window of 400 bytes alone leaves otherwise:", sum(by_bytes.get(i, "") != want.get(i, "") for i in docs))
     assert any(by_bytes.get(i, "") != want.get(i, "") for i in docs)
+
+
+def test_near_copies_begin_with_fingerprints(spark, monkeypatch):
+    """Near duplicates by SimHash are verified and handed to the join, which finds what they miss."""
+    from callwarden.llm import shingles
+
+    base = [f"w{i}" for i in range(300)]
+    edited = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    docs = {1: edited(), 2: edited(0), 3: edited(0, 299), 4: " ".join(f"v{i}" for i in range(300)), 5: None, 6: edited()}
+    frame = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs.items()], "doc_id bigint, text string, n_chars bigint")
+    given, links = [], shingles.Join.links
+    monkeypatch.setattr(shingles.Join, "links", lambda self, nodes, known=None: given.append(known.count()) or links(self, nodes, known))
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, frame, FOLDER).collect()} == {1, 4, 5}
+    assert given[0] > 0
