@@ -5,7 +5,10 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from callwarden import constants as C
+from callwarden.functions import jsonx
 from callwarden.functions.secrets import is_credential_key
 from callwarden.operators.arguments import redact_arguments
 
@@ -85,3 +88,24 @@ def test_deep_nesting(spark, depth):
     [row] = redact_arguments(df).select("arguments_redacted").collect()
     if row.arguments_redacted is not None:  # deeper than the parser goes, arguments are unreadable, and denied as that
         assert row.arguments_redacted.count(FIELD) == 1 and '"y"' in row.arguments_redacted
+
+
+def test_names_with_and_without_credential_words(spark):
+    """Runs of brackets and plain names are taken at once; names that hold a word are still judged one by one."""
+    names = ["bypass", "Pass", "x-API-key", "keyboard", "my key", "monkey.key", "a", "tokın", "to\"ken", "{key}", "", "é auth", "PAT1", "pa:t"]
+    marked = {r.n: r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", is_credential_key("n").alias("c")).collect()}
+    values = [{"a": [{"b": [[{n: [{"c": ["x", {}, [], 1, None]}, "y"]}, [], {"d": "z"}]]}, "u", [["v"]], {n: "w", "e": {n: {}, "f": 2}}], "g": True} for n in names]
+    assert [v for v, _ in redact(spark, values)] == [masked(v, dict.fromkeys("abcdefg", False) | marked) for v in values]
+
+
+def test_each_string_is_redacted_once(spark):
+    calls = spark.createDataFrame([(0, "t", "{}")], "call_id bigint, tool string, arguments string")
+    plan = redact_arguments(calls).select("arguments_redacted")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 5 and plan.count("StructsToJsonEvaluator(Map(),VariantType") == 1
+
+
+def test_levels_between_two_values_are_one_piece(spark):
+    text = '{"a":[' * 40 + '{"password":"x"}' + "]}" * 40
+    pattern, _ = jsonx._pieces(C.CREDENTIAL_KEY_WORDS)
+    [row] = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("p")).collect()
+    assert len(row.p) == 4 and "".join(row.p) == text
