@@ -63,6 +63,20 @@ def scan_text(text: Column | str) -> Column:
     return F.coalesce(F.when(text.isNotNull(), let(normalise_text(text), hits)), empty)
 
 
+def scan_json(text: Column | str) -> Column:
+    """Ordered heuristics that the strings of a JSON text trip, names included; empty for text that is not JSON.
+
+    A text is taken apart only if it trips something as a whole or holds an escape: without one its strings stand in it
+    as they are, between quotes, which normalise to the spaces that a string is padded with.
+    """
+    from callwarden.functions import jsonx
+
+    text = col(text)
+    found = ordered_union(F.transform(jsonx.json_strings(F.try_parse_json(text), text), scan_text))
+    suspect = text.contains("\\") | (F.size(scan_text(text)) > 0)
+    return F.coalesce(F.when(suspect, found), F.array().cast("array<string>"))
+
+
 def ordered_union(arrays: Column) -> Column:
     """Names of an array of arrays in order of first appearance."""
     return F.array_distinct(F.flatten(arrays))
