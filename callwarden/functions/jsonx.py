@@ -426,3 +426,31 @@ def rewrite_scalars(text: Column, words: list[str], is_marked, change) -> Column
     whole = lambda acc: F.array_join(F.concat(acc["parts"], F.array(acc["last"]["out"])), "")
     # the pieces are taken apart once: a one-element array hands them to the fold
     return F.element_at(F.transform(F.array(pieces), lambda all_: F.when(F.size(all_) == 0, F.lit("")).otherwise(F.aggregate(blocks(all_), begin, block, whole))), 1)
+
+
+# --- one text for equal values ------------------------------------------------
+
+#: A number that may be spelled in several ways, or that a long does not hold, in compact JSON.
+_SPELLED = r"[0-9][.eE]|[0-9]{19}"
+#: In the place of words: no name holds it.
+_NO_WORD = "(?!)"
+
+
+def canonical_json(text: Column) -> Column:
+    """One compact text for equal JSON, whatever its spacing, order of keys and spelling of numbers.
+
+    Texts differ where `json_leaves` do; what is not JSON, and an empty root, is the empty text.  VARIANT sorts the
+    keys, so no value is walked: only texts with such numbers, outside strings, are taken apart.
+    """
+    compact = F.to_json(F.try_parse_json(text))
+    outside = F.regexp_replace(compact, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+
+    def number(piece: Column, _: Column) -> Column:
+        spelled = normalised_leaf(F.try_parse_json(piece))
+        return F.when(piece.rlike("^-?[0-9]"), F.coalesce(F.substring(spelled, F.lit(3), F.length(spelled)), piece)).otherwise(piece)
+
+    return (
+        F.when(compact.isNull() | compact.isin("{}", "[]"), F.lit(""))
+        .when(compact.rlike(_SPELLED) & outside.rlike(_SPELLED), rewrite_scalars(compact, [_NO_WORD], lambda name: F.lit(False), number))
+        .otherwise(compact)
+    )

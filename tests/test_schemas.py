@@ -44,3 +44,34 @@ def test_schemas_without_suggestions_are_not_walked(spark):
     # rows are left out in front of the walk, not behind it
     plan = suggested._jdf.queryExecution().optimizedPlan().toString()
     assert "default|const|example|examples|enum" in plan.splitlines()[-2]
+
+
+#: In each line texts that are equal JSON, and none that is equal to one of another line.
+EQUAL = [
+    ['{"a": 1, "b": 2}', '{"b":2.0,"a":1}', '{"a": 10e-1, "b": 0.2e1}'], ['{"a": "1", "b": 2}'], ['{"a": "1.0", "b": 2}', '{ "b": 2e0, "a": "1.0"}'],
+    ['{"a": {"b": [1.5, -0.0, true, null]}}', '{"a":{"b":[15e-1,0,true,null]}}'], ['{"a": {"b": [1.5, 0, true, "null"]}}'], ['{"a": {"b": [1.5, [0], true, null]}}'],
+    ['{"x": 12345678901234567890123}', '{"x": 1.2345678901234567890123e22}'], ["[1e30]", "[1000000000000000000000000000000]", "[1000000000000000000000000000000.0]"], ["[9223372036854775807]"], ["[9223372036854775806]", "[9223372036854775806.0]"],
+    ['{"1.5": 1.50}', '{"1.5": 1.5}'], ['{"1.50": 1.5}'], ['{"a.b": 1}'], ['{"a": {"b": 1}}'], ['{"a\\"1.5": 2.50, "b": "\\\\"}', '{"a\\u00221.5": 2.5, "b": "\\u005c"}'], ['{"a": {}}'], ['{"a": []}'],
+    ['{"a": "é\\n"}', '{"a": "\\u00e9\\u000a"}'], ["0.1", "1e-1", "0.10"], ['"0.1"'], ["7", "7.0"], ["null"], ["{}", "[]", "no json", "", '{"a": 1, "a": 1}', " { } "],
+]
+
+
+def test_one_text_for_equal_json(spark):
+    """As fine as `json_leaves`, which takes every value apart."""
+    texts = [t for line in EQUAL for t in line]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", jsonx.json_leaves(F.try_parse_json("t"), F.col("t")).alias("leaves"), jsonx.canonical_json(F.col("t")).alias("text")).orderBy("i").collect()
+    at = [n for n, line in enumerate(EQUAL) for _ in line]
+    for a in range(len(texts)):
+        for b in range(a):
+            assert (got[a].text == got[b].text) == (got[a].leaves == got[b].leaves), (texts[a], texts[b])
+            assert (got[a].text == got[b].text) == (at[a] == at[b]), (texts[a], texts[b])
+
+
+def test_definitions_are_hashed_without_a_walk(spark):
+    fields = "name string, title string, description string, input_schema string, output_schema string, annotations struct<title: string>"
+    rows = spark.createDataFrame([("n", None, "d", '{"a": 1.0, "b": "2.0"}', None, None), ("n", None, "d", '{"b":"2.0","a":1}', None, None), ("n", None, "d", None, None, None), ("n", None, "d", "{}", None, None)], fields)
+    hashed = rows.select(catalog.definition_hash().alias("hash"))
+    first, second, none, empty = (r.hash for r in hashed.collect())
+    assert first == second and len({first, none, empty}) == 3
+    assert "kids" not in hashed._jdf.queryExecution().optimizedPlan().toString()
