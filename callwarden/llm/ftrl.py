@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from callwarden.llm.arrays import blocks, text_bytes
+from callwarden.llm.arrays import blocks, text_bytes, tidy
 from callwarden.llm.ngrams import features
 from callwarden.llm.storage import keyed_texts, stored
 
@@ -62,7 +62,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings, key: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(cut, pa.binary())], ["key", "y", "x"])
 
     kind = slim.schema["key"].dataType.simpleString()
-    examples = stored(rows.mapInArrow(extract, f"key {kind}, y int, x binary"))
+    examples = stored(rows.mapInArrow(tidy(extract), f"key {kind}, y int, x binary"))
     sample = examples.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", F.xxhash64("x"))
 
     def learn(batches):
@@ -72,7 +72,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings, key: str = "do
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weights[at])], ["i", "w"])
 
     out = np.zeros((1 << settings.bits) + 1)
-    for row in sample.select("y", "x").mapInArrow(learn, "i int, w double").collect():
+    for row in sample.select("y", "x").mapInArrow(tidy(learn), "i int, w double").collect():
         out[row.i] = row.w
     return out
 
@@ -118,7 +118,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, settings: Settings, text: s
                 values[lo:hi] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, weights: np.ndarray, settings: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:

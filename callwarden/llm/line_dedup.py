@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callwarden.llm.arrays import Hasher, blocks, mix, text_bytes, words
+from callwarden.llm.arrays import Hasher, blocks, mix, text_bytes, tidy, words
 from callwarden.llm.storage import LARGE_VALUES, stored
 
 #: Buckets of token counts, bits that name a token, bits of the filter of wanted sets.
@@ -184,7 +184,7 @@ def _occurrences(slim: DataFrame, least: int, num: int, den: int) -> DataFrame:
 
     kind = slim.schema["key"].dataType.simpleString()
     blocks_of = ", ".join(f"{c} binary" for c in _BLOCK)
-    return slim.mapInArrow(run, f"key {kind}, h bigint, line int, set bigint, chunk int, at binary, n binary, keys array<{kind}>, {blocks_of}")
+    return slim.mapInArrow(tidy(run), f"key {kind}, h bigint, line int, set bigint, chunk int, at binary, n binary, keys array<{kind}>, {blocks_of}")
 
 
 def _rarity(rows: DataFrame) -> np.ndarray:
@@ -202,7 +202,7 @@ def _rarity(rows: DataFrame) -> np.ndarray:
 
     out = np.zeros(1 << BUCKETS, np.uint8)
     # 2 ** BUCKETS bytes in all
-    for row in rows.where("chunk is not null").select("chunk", "at", "n").repartition("chunk").mapInArrow(run, "chunk int, classes binary").collect():
+    for row in rows.where("chunk is not null").select("chunk", "at", "n").repartition("chunk").mapInArrow(tidy(run), "chunk int, classes binary").collect():
         out[row.chunk << _CHUNK : row.chunk + 1 << _CHUNK] = np.frombuffer(row.classes, np.uint8)
     return out
 
@@ -257,7 +257,7 @@ class Join:
                         )
 
         kind = self.blocks.schema["keys"].dataType.elementType.simpleString()
-        return self.blocks.mapInArrow(run, f"token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint")
+        return self.blocks.mapInArrow(tidy(run), f"token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint")
 
     def _filter(self, values: DataFrame):
         """A broadcast filter of 2 ** WANTED bits for the column v, whatever the number of rows."""
@@ -291,7 +291,7 @@ class Join:
             for batch in batches:
                 yield from group.feed(batch)
 
-        return dealt.mapInArrow(run, f"x bigint, y bigint, token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint, far boolean")
+        return dealt.mapInArrow(tidy(run), f"x bigint, y bigint, token bigint, set bigint, key {kind}, line int, size int, pos int, bits bigint, far boolean")
 
     def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """(token, x, y) for each set x of `left` and each earlier set y of `right` that passes with it.
@@ -324,7 +324,7 @@ class Join:
                         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(block.names[block.word[at]].view(np.int64)))
                         yield pa.RecordBatch.from_arrays([pa.array(block.set[hit]), batch.column(0)[i].values.take(pa.array(hit)), pa.array(block.line[hit]), lists], ["set", "key", "line", "tokens"])
 
-        found = self.blocks.mapInArrow(run, f"set bigint, key {kind}, line int, tokens array<bigint>").join(wanted, "set", "left_semi")
+        found = self.blocks.mapInArrow(tidy(run), f"set bigint, key {kind}, line int, tokens array<bigint>").join(wanted, "set", "left_semi")
         # a set of several blocks counts at its first place
         sets = found.groupBy("set").agg(F.min(F.struct("key", "line")).alias("place"), F.any_value("tokens").alias("tokens"))
         x, y = (sets.select(F.col("set").alias(c), F.col("tokens").alias(f"t{c}"), F.struct("place", "set").alias(f"p{c}")) for c in "xy")

@@ -14,10 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callwarden.llm.arrays import tidy
 from callwarden.llm.bpe_words import Splitter, WordEncoder, load_tokenizer, parts
 from callwarden.llm.storage import keyed_texts, stored
 
-#: Encoded words that a worker keeps; beyond that it starts anew.  Results do not depend on it.
+#: Encoded words that a worker keeps while texts are encoded; beyond that it starts anew.  Results do not depend on it.
 KEPT_WORDS = 800_000
 
 
@@ -72,7 +73,29 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
                 )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(encode, f"key {kind}, part int, before bigint, n bigint, ids binary")
+    return docs.mapInArrow(tidy(encode), f"key {kind}, part int, before bigint, n bigint, ids binary")
+
+
+def _cut(batches, length: int):
+    """(key, start, length, ids, doc_tokens, sequence_id, offset) of each piece of the rows (key, at, n, ids)."""
+    _encoders.clear()  # the first pass is over
+    for batch in batches:
+        keys, at, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        first, last = at // length, (at + n - 1) // length
+        count = last - first + 1
+        row = np.repeat(np.arange(len(n)), count)
+        sequence = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+        begin = np.maximum(at[row], sequence * length)
+        size = np.minimum(at[row] + n[row], (sequence + 1) * length) - begin
+        start = begin - at[row]
+        for lo in range(0, len(row), 4096):
+            s = slice(lo, lo + 4096)
+            ids = batch.column(3)
+            pieces = [ids[int(r)].as_buffer()[4 * a : 4 * (a + z)].to_pybytes() for r, a, z in zip(row[s], start[s].tolist(), size[s].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(row[s])), pa.array(start[s]), pa.array(size[s]), pa.array(pieces, pa.binary()), pa.array(n[row[s]]), pa.array(sequence[s]), pa.array(begin[s] - sequence[s] * length)],
+                ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+            )
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,25 +113,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     places = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("place"))
     placed = encoded.join(F.broadcast(places), "part").select("key", (F.col("place") + F.col("before")).alias("at"), "n", "ids")
 
-    def cut(batches):
-        for batch in batches:
-            keys, at, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            first, last = at // length, (at + n - 1) // length
-            count = last - first + 1
-            row = np.repeat(np.arange(len(n)), count)
-            sequence = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-            begin = np.maximum(at[row], sequence * length)
-            size = np.minimum(at[row] + n[row], (sequence + 1) * length) - begin
-            start = begin - at[row]
-            for lo in range(0, len(row), 4096):
-                s = slice(lo, lo + 4096)
-                ids = batch.column(3)
-                pieces = [ids[int(r)].as_buffer()[4 * a : 4 * (a + z)].to_pybytes() for r, a, z in zip(row[s], start[s].tolist(), size[s].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(row[s])), pa.array(start[s]), pa.array(size[s]), pa.array(pieces, pa.binary()), pa.array(n[row[s]]), pa.array(sequence[s]), pa.array(begin[s] - sequence[s] * length)],
-                    ["key", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-                )
-
     kind = encoded.schema["key"].dataType.simpleString()
-    out = placed.mapInArrow(cut, f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = placed.mapInArrow(tidy(lambda batches: _cut(batches, length)), f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("key", key)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callwarden.llm.arrays import LOWER, SPACE, blocks, text_bytes, words
+from callwarden.llm.arrays import LOWER, SPACE, blocks, text_bytes, tidy, words
 from callwarden.llm.components import components
 from callwarden.llm.storage import keyed_texts, stored
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(">i8").ravel().astype(np.int64))], ["key", "fp"])
 
     slim = keyed_texts(docs, key, text)
-    return slim.mapInArrow(run, f"key {slim.schema['key'].dataType.simpleString()}, fp bigint")
+    return slim.mapInArrow(tidy(run), f"key {slim.schema['key'].dataType.simpleString()}, fp bigint")
 
 
 def _segment(fp: Column, j: int, width: int) -> Column:
