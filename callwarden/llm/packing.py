@@ -14,11 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callwarden.llm.arrays import tidy
+from callwarden.llm.arrays import kept, tidy
 from callwarden.llm.bpe_words import Splitter, WordEncoder, load_tokenizer, parts
 from callwarden.llm.storage import keyed_texts, stored
 
-#: Encoded words that a worker keeps while texts are encoded; beyond that it starts anew.  Results do not depend on it.
+#: Encoded words that a worker keeps until it gets another operator's task; beyond that it starts anew.  Results do not depend on it.
 KEPT_WORDS = 800_000
 
 
@@ -44,7 +44,7 @@ class _Encoder:
         return [b"".join(map(kept.__getitem__, k)) for k in keys]
 
 
-_encoders: dict[str, _Encoder] = {}
+_encoders: dict[str, _Encoder] = kept.setdefault("packing", {})
 
 
 def _encoder(path: str) -> _Encoder:
@@ -73,12 +73,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataF
                 )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(tidy(encode), f"key {kind}, part int, before bigint, n bigint, ids binary")
+    return docs.mapInArrow(tidy(encode, "packing"), f"key {kind}, part int, before bigint, n bigint, ids binary")
 
 
 def _cut(batches, length: int):
     """(key, start, length, ids, doc_tokens, sequence_id, offset) of each piece of the rows (key, at, n, ids)."""
-    _encoders.clear()  # the first pass is over
     for batch in batches:
         keys, at, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         first, last = at // length, (at + n - 1) // length
@@ -114,5 +113,5 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     placed = encoded.join(F.broadcast(places), "part").select("key", (F.col("place") + F.col("before")).alias("at"), "n", "ids")
 
     kind = encoded.schema["key"].dataType.simpleString()
-    out = placed.mapInArrow(tidy(lambda batches: _cut(batches, length)), f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = placed.mapInArrow(tidy(lambda batches: _cut(batches, length), "packing"), f"key {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("key", key)
