@@ -123,6 +123,13 @@ def _gather(rows: DataFrame, group: str) -> DataFrame:
     return rows.select(group, "id", "v").repartition(group).sortWithinPartitions(group, "id").mapInArrow(run, f"{group} bigint, data binary")
 
 
+def meetings(trees: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
+    """(shard, kind, data), a shard's rows together: its vectors (kind 0), once, then each block of queries (kind 1)."""
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard")
+    blocks = asked.select(every, F.lit(1).alias("kind"), "data")
+    return trees.select("shard", F.lit(0).alias("kind"), "data").unionByName(blocks).repartition("shard").sortWithinPartitions("shard", "kind")
+
+
 def nearest_of_every(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose key `every` divides.
 
@@ -142,26 +149,28 @@ def nearest_of_every(vectors: DataFrame, every: int = 20, k: int = 20, factor: f
     trees = stored(_gather(good.select(shard, "id", "v"), "shard"))
     asked = good.where(F.col("id") % every == 0).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "v")
     asked = stored(_gather(asked, "block"))
-    pairs = asked.select(F.col("data").alias("queries"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"))
-    met = pairs.join(trees, "shard").select("queries", "data", "shard")
 
     def run(batches):
         now, shard_data, tree = None, None, None
         for batch in batches:
-            for q, d, name in zip(*[batch.column(i) for i in range(3)], strict=True):
+            for name, kind, d in zip(*[batch.column(i) for i in range(3)], strict=True):
                 if name.as_py() != now:
-                    now = name.as_py()
+                    now, tree = name.as_py(), None
+                if kind.as_py() == 0:
                     ids, originals = _unpack(d.as_py())
                     points = np.concatenate((originals, np.sqrt(np.maximum(top - (originals**2).sum(1), 0))[:, None]), axis=1)
                     shard_data, tree = (ids, originals, points), build(points)
+                    continue
+                if tree is None:  # a shard without vectors
+                    continue
                 ids, originals, points = shard_data
-                query_ids, queries = _unpack(q.as_py())
+                query_ids, queries = _unpack(d.as_py())
                 spots = np.concatenate((queries, np.zeros((len(queries), 1))), axis=1)
                 found, score = search(points, ids, originals, tree, queries, query_ids, spots, k, factor)
                 row, column = np.nonzero(found >= 0) if ids.min() >= 0 else np.nonzero(~np.isneginf(score))
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(found[row, column]), pa.array(score[row, column])], ["query_id", "vec_id", "score"])
 
-    found = met.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = meetings(trees, asked, shards).mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -278,6 +278,29 @@ def test_vantage_trees(spark):
     assert vantage_trees.nearest_of_every(frame.where("false")).count() == 0
 
 
+def test_vantage_trees_of_many_shards(spark, monkeypatch):
+    """A shard's vectors travel once, however many blocks of queries it meets; all shards are searched."""
+    monkeypatch.setattr(vantage_trees, "SHARD", 100)
+    monkeypatch.setattr(vantage_trees, "BLOCK", 10)
+    rnd = np.random.default_rng(6)
+    points = rnd.normal(size=(900, 6))
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>")
+    kinds, meetings = {}, vantage_trees.meetings
+
+    def counted(trees, asked, shards):
+        met = meetings(trees, asked, shards)
+        kinds.update({r.kind: r["count"] for r in met.groupBy("kind").count().collect()}, shards=shards, blocks=asked.count())
+        return met
+
+    monkeypatch.setattr(vantage_trees, "meetings", counted)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vantage_trees.nearest_of_every(frame, every=5, k=7, factor=1.0).collect()}
+    assert kinds["shards"] == 9 and kinds[0] == 9 and kinds["blocks"] > 10 and kinds[1] == 9 * kinds["blocks"]
+    for q in range(0, 900, 5):
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        assert [got[q, rank] for rank in range(1, 8)] == np.argsort(-scores)[:7].tolist()
+
+
 def test_sharding(docs, empty, rows):
     got = sharding.shard(docs, 7).collect()
     want = order((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
