@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from callwarden.llm.arrays import blocks, text_bytes, tidy
 from callwarden.llm.ngrams import features
-from callwarden.llm.storage import keyed_texts, stored
+from callwarden.llm.storage import keyed_texts, scratch, stored
 
 
 @dataclass(frozen=True)
@@ -62,9 +62,6 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings, key: str = "do
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(cut, pa.binary())], ["key", "y", "x"])
 
     kind = slim.schema["key"].dataType.simpleString()
-    examples = stored(rows.mapInArrow(tidy(extract), f"key {kind}, y int, x binary"))
-    sample = examples.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", F.xxhash64("x"))
-
     def learn(batches):
         held = [(np.frombuffer(x, "<i4"), y) for b in batches for x, y in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
         weights = ftrl(held, settings)
@@ -72,8 +69,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings, key: str = "do
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weights[at])], ["i", "w"])
 
     out = np.zeros((1 << settings.bits) + 1)
-    for row in sample.select("y", "x").mapInArrow(tidy(learn), "i int, w double").collect():
-        out[row.i] = row.w
+    with scratch():
+        examples = stored(rows.mapInArrow(tidy(extract), f"key {kind}, y int, x binary"))
+        sample = examples.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", F.xxhash64("x"))
+        for row in sample.select("y", "x").mapInArrow(tidy(learn), "i int, w double").collect():
+            out[row.i] = row.w
     return out
 
 

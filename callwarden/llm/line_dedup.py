@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwarden.llm.arrays import Hasher, blocks, mix, text_bytes, tidy, words
-from callwarden.llm.storage import LARGE_VALUES, stored
+from callwarden.llm.storage import LARGE_VALUES, scratch, stored
 
 #: Buckets of token counts, bits that name a token, bits of the filter of wanted sets.
 BUCKETS, NAME, WANTED = 22, 42, 24
@@ -423,14 +423,16 @@ def _marked(docs: DataFrame, similarity: tuple[int, int], least: int, key: str,
     named = docs.select(docs[key].alias("key"), F.xxhash64(docs[text]).alias("h"), docs[text].alias("text"), F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != text]).alias("row"))
     slim = named.select("key", "h", "text")
     num, den = similarity
-    rows = stored(_occurrences(slim, least, num, den), LARGE_VALUES)
-    matched = Join(rows, _rarity(rows), num, den).matched()
-    lines = rows.where("set is not null").select("key", "h", "line", "set")
-    earliest = lines.groupBy("set").agg(F.min(F.struct("key", "line", "h")).alias("first")).join(matched.withColumn("near", F.lit(True)), "set", "left")
-    place = F.struct("key", "line", "h")
-    gone = lines.join(earliest, "set").where(F.col("near") | ~place.eqNullSafe(F.col("first")))
-    # per document at most one entry per line
-    gone = gone.select("key", "h", "line").distinct().groupBy("key", "h").agg(F.collect_list("line").alias("removed")).withColumnsRenamed({"key": "key2", "h": "h2"})
+    with scratch() as own:
+        rows = stored(_occurrences(slim, least, num, den), LARGE_VALUES)
+        with scratch() as inner:
+            matched = inner.keep(Join(rows, _rarity(rows), num, den).matched())
+        lines = rows.where("set is not null").select("key", "h", "line", "set")
+        earliest = lines.groupBy("set").agg(F.min(F.struct("key", "line", "h")).alias("first")).join(matched.withColumn("near", F.lit(True)), "set", "left")
+        place = F.struct("key", "line", "h")
+        gone = lines.join(earliest, "set").where(F.col("near") | ~place.eqNullSafe(F.col("first")))
+        # per document at most one entry per line
+        gone = own.keep(gone.select("key", "h", "line").distinct().groupBy("key", "h").agg(F.collect_list("line").alias("removed")).withColumnsRenamed({"key": "key2", "h": "h2"}))
     both = named.join(gone, F.col("h").eqNullSafe(F.col("h2")) & F.col("key").eqNullSafe(F.col("key2")), "left")
     return both.select("key", "text", "row", "removed")
 

@@ -199,3 +199,40 @@ def test_near_copies_begin_with_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(shingles.Join, "links", lambda self, nodes, known=None: given.append(known.count()) or links(self, nodes, known))
     assert {r.doc_id for r in corpus_pipeline.near_copies(spark, frame, FOLDER).collect()} == {1, 4, 5}
     assert given[0] > 0
+
+
+def test_sketches_lose_no_similar_pair():
+    """Sketches differ in no more classes than sets do in shingles, also sketches of two sizes."""
+    import pyarrow as pa
+
+    from callwarden.llm.shingles import _apart, _lists, _sketch
+
+    rnd = np.random.default_rng(3)
+    pairs = []
+    for n in (0, 1, 5, 63, 64, 65, 120, 130, 1000, 1030, 1300):
+        for changed in (0, 1, n // 20, n // 9, n // 2, n):
+            a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+            pairs.append((a, np.unique(np.append(a[changed:], rnd.integers(0, 1 << 63, changed + n // 9).astype(np.uint64)))))
+    assert any(len(_sketch(a)) != len(_sketch(b)) for a, b in pairs)
+    a, b = (_lists([_sketch(p[i]) for p in pairs]) for i in (0, 1))
+    apart, differ = _apart(a, b), np.array([len(np.setxor1d(x, y)) for x, y in pairs])
+    assert (apart <= differ).all() and (apart[differ < 3] == differ[differ < 3]).mean() > 0.8
+    assert (_apart(a.slice(3), b.slice(3)) == apart[3:]).all() and len(_apart(a.slice(0, 0), b.slice(0, 0))) == 0
+    assert isinstance(a, pa.ListArray)
+
+
+def test_stages_leave_no_tables_and_no_shuffles(spark, tmp_path):
+    """What a stage writes on its way is gone when its result is there, but for one narrow table that the result reads."""
+    from pathlib import Path
+
+    from callwarden.sources.checkpoints import ensure_checkpoint_dir
+
+    docs = table(spark, FOLDER)
+    here = lambda: {p for p in Path(ensure_checkpoint_dir(spark).removeprefix("file:")).glob("llm-*")}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        before = here()
+        out = stage(spark, docs, FOLDER)
+        left = here() - before
+        assert len(left) <= 2 and (not left or max(sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in left) < 60_000), name
+        out.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
