@@ -201,6 +201,23 @@ def test_near_copies_begin_with_fingerprints(spark, monkeypatch):
     assert given[0] > 0
 
 
+def test_classes_of_fingerprints_are_checked_in_whole(spark, monkeypatch):
+    """Texts of one class that are unlike its head, but like each other, are linked before the join of all texts."""
+    from callwarden.llm import shingles
+
+    same = ["p", "q", "r", "s", "t"] * 200  # decides the fingerprint
+    docs = {}
+    for family in range(5):
+        tail = [f"f{family}x{i}" for i in range(60)]
+        docs[2 * family] = " ".join([*same, *tail])
+        docs[2 * family + 1] = " ".join([*same, *tail[:30], "other", *tail[31:]])
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in docs.items()], "doc_id bigint, text string, n_chars bigint")
+    given, links = [], shingles.Join.links
+    monkeypatch.setattr(shingles.Join, "links", lambda self, nodes, known=None: given.append(known.count()) or links(self, nodes, known))
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, frame, FOLDER).collect()} == {0, 2, 4, 6, 8}
+    assert given == [1, 5]
+
+
 def test_sketches_lose_no_similar_pair():
     """Sketches differ in no more classes than sets do in shingles, also sketches of two sizes."""
     import pyarrow as pa
